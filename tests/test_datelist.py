@@ -1,0 +1,88 @@
+import datetime as dt
+import random
+
+import pytest
+from helpers import day, jan, plan, rows
+from pyspark.sql import functions as F
+
+from tidemark import schemas
+from tidemark.operators import datelist
+from tidemark.plans.session import shared_dir
+from tidemark.sources.snapshots import fold_periods
+
+
+def test_hosts_of_today_are_appended(spark):
+    before = spark.createDataFrame(
+        [("host1", [jan(26), jan(28)], jan(30)), ("host2", [jan(27), jan(28), jan(29)], jan(30)),
+         ("host3", [jan(29), jan(30)], jan(30)), ("idle", [jan(1)], jan(30))],
+        schemas.HOSTS_CUMULATED,
+    )
+    days = spark.createDataFrame(
+        [(h, jan(31)) for h in ("host1", "host2", "host3", "new", "new")], "host string, date_active date"
+    )
+    found = datelist.cumulate_dates(before, days, ["host"], jan(31), newest_first=False)
+    expected = [
+        ("host1", [jan(26), jan(28), jan(31)], jan(31)),
+        ("host2", [jan(27), jan(28), jan(29), jan(31)], jan(31)),
+        ("host3", [jan(29), jan(30), jan(31)], jan(31)),
+        ("idle", [jan(1)], jan(31)),
+        ("new", [jan(31)], jan(31)),
+    ]
+    assert rows(found) == expected
+    active = datelist.cumulate_dates(
+        before, days, ["host"], jan(31), newest_first=False, keep_inactive=False
+    )
+    assert rows(active) == [row for row in expected if row[0] != "idle"]
+
+
+def test_user_days(spark):
+    events = spark.createDataFrame(
+        [(1, 5, "2023-01-31 10:00:00"), (1, 5, "2023-01-31 11:00:00"), (None, 5, "2023-01-31 10:00:00"),
+         (2, 9, "2023-01-31 10:00:00"), (1, 5, "2023-01-30 23:59:59")],
+        "user_id long, device_id long, event_time string",
+    ).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    devices = spark.createDataFrame(
+        [(5, "Chrome"), (5, "Chrome"), (5, "Safari"), (6, "Edge")], "device_id long, browser_type string"
+    )
+    found = datelist.user_device_days(events, devices)
+    assert rows(found) == [
+        ("1", "5", browser, jan(d)) for browser in ("Chrome", "Safari") for d in (30, 31)
+    ]
+
+
+@pytest.fixture(scope="module")
+def days(spark):
+    rng = random.Random(5)
+    data = [
+        (f"h{rng.randrange(12)}", dt.date(2023, 1, rng.randrange(1, 13))) for _ in range(60)
+    ]
+    return spark.createDataFrame(data, "host string, date_active date").cache()
+
+
+@pytest.mark.parametrize("newest_first", [True, False])
+def test_fold_equals_history(spark, days, newest_first):
+    folded = fold_periods(
+        spark, shared_dir(spark, "hosts"), schemas.HOSTS_CUMULATED, "date",
+        [jan(n) for n in range(1, 13)],
+        lambda stored, d: datelist.cumulate_dates(stored, days, ["host"], d, newest_first),
+    )
+    whole = datelist.datelist_history(days, ["host"], jan(12), newest_first)
+    assert rows(folded, *whole.columns) == rows(whole)
+
+
+def test_bitmap_counts_days(days):
+    lists = datelist.datelist_history(days, ["host"], jan(12))
+    bits = datelist.datelist_int(lists, ["host"], jan(12), n=5)
+    counted = bits.select("host", F.bit_count("datelist_int").cast("long").alias("n"))
+    recent = (
+        days.select("host").distinct().join(
+            days.distinct().filter(F.col("date_active") > F.lit(day("2023-01-07"))), "host", "left"
+        ).groupBy("host").agg(F.count("date_active").alias("n"))
+    )
+    assert rows(counted) == rows(recent)
+
+
+def test_bitmap_needs_no_join_and_no_shuffle(spark):
+    stored = spark.createDataFrame([("h", [jan(1)], jan(2))], schemas.HOSTS_CUMULATED)
+    text = plan(datelist.datelist_int(stored, ["host"], jan(2)))
+    assert "Exchange" not in text and "Join" not in text and "Cartesian" not in text

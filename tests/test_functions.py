@@ -1,0 +1,78 @@
+import pytest
+from helpers import jan, rows
+from pyspark.sql import functions as F
+
+from tidemark.functions import bit_string, box_score_flags, datelist_bits, minutes_played, tier
+
+
+def test_tier_bounds_are_exclusive(spark):
+    df = spark.createDataFrame(
+        [(8.1,), (8.0,), (7.1,), (7.0,), (6.1,), (6.0,), (0.0,), (None,)], "x double"
+    )
+    found = [r[0] for r in df.select(tier("x")).collect()]
+    assert found == ["star", "good", "good", "average", "average", "bad", "bad", None]
+
+
+def test_tier_with_own_bounds(spark):
+    df = spark.createDataFrame([(1.0,), (10.0,)], "x double")
+    assert [r[0] for r in df.select(tier("x", [5], ["high", "low"])).collect()] == ["low", "high"]
+    with pytest.raises(ValueError):
+        tier("x", [5], ["one"])
+    with pytest.raises(ValueError):
+        tier("x", [5, 6], ["a", "b", "c"])
+
+
+def test_datelist_bits_horizon(spark):
+    from datetime import timedelta
+
+    today = jan(31)
+    back = [[0], [31], [32], [0, 1, 31], [], [0, 0], None]
+    data = [
+        (i, None if ks is None else [today - timedelta(days=k) for k in ks])
+        for i, ks in enumerate(back)
+    ]
+    df = spark.createDataFrame(data, "id int, dates array<date>")
+    top, second = 1 << 31, 1 << 30
+    bits = datelist_bits("dates", F.lit(today))
+    assert [r[0] for r in df.orderBy("id").select(bits).collect()] == [
+        top, 1, 0, top + second + 1, 0, top, None
+    ]
+    shifted = datelist_bits("dates", F.lit(today), top=32)
+    assert [r[0] for r in df.orderBy("id").select(shifted).collect()] == [
+        0, 2, 0, top + 2, 0, 0, None
+    ]
+    text = df.filter("id = 3").select(bit_string(bits)).first()[0]
+    assert text == "11" + "0" * 29 + "1"
+
+
+def test_datelist_bits_count_the_recent_days(spark):
+    df = spark.sql("SELECT sequence(date'2022-11-01', date'2023-01-31', interval 1 day) AS dates")
+    for n in (7, 32, 63):
+        bits = datelist_bits("dates", F.lit(jan(31)), n)
+        assert df.select(F.bit_count(bits)).first()[0] == n
+    with pytest.raises(ValueError):
+        datelist_bits("dates", F.lit(jan(31)), 64)
+
+
+def test_minutes(spark):
+    df = spark.createDataFrame(
+        [("36:30",), ("36",), ("",), (None,), ("5:",), ("0:06",), ("x:10",)], "min string"
+    )
+    found = [r[0] for r in df.select(minutes_played("min")).collect()]
+    assert found == [36.5, 36.0, None, None, 5.0, 0.1, None]
+
+
+def test_box_score_flags(spark):
+    df = spark.createDataFrame(
+        [(1, 1, "DNP - Coach", "1:00", 2), (1, 2, "DND", None, 0), (1, 2, "NWT", "", 0),
+         (1, 1, None, "2:30", 0)],
+        "team_id int, home_team_id int, comment string, min string, TO int",
+    )
+    found = box_score_flags(df)
+    assert rows(
+        found, "dim_is_playing_at_home", "dim_did_not_play", "dim_did_not_dress",
+        "dim_not_with_team", "minutes", "turnovers",
+    ) == sorted(
+        [(True, True, False, False, 1.0, 2), (False, False, True, False, None, 0),
+         (False, False, False, True, None, 0), (True, False, False, False, 2.5, 0)], key=repr,
+    )

@@ -1,0 +1,136 @@
+import datetime as dt
+import json
+
+import pytest
+from helpers import plan, rows
+from pyspark.sql import functions as F
+
+from tidemark.operators import joins
+from tidemark.plans.session import AUTO_BROADCAST, build_session, join_policy, set_join_policy, shared_dir
+from tidemark.plans.skew import find_hot_keys
+from tidemark.sources.files import read_csv, write_bucketed
+from tidemark import schemas
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    """The three match tables in buckets; match 1 has most of the rows."""
+    medals = [(1, f"m{n}", n % 4, 1) for n in range(40)] + [(2, "x", 1, 2), (8, "y", 1, 1)]
+    details = [(1, f"d{n}", n) for n in range(6)] + [(2, "x", 3), (3, "z", 4), (5, "w", 1)]
+    matches = [
+        (n, True, f"p{n % 2}", None, True, None, None, "mode", f"map{n}") for n in (1, 2, 3, 4)
+    ]
+    frames = {
+        "medals": spark.createDataFrame(
+            medals, "match_id int, player_gamertag string, medal_id int, count int"
+        ),
+        "details": spark.createDataFrame(
+            details, "match_id int, player_gamertag string, player_total_kills int"
+        ),
+        "matches": spark.createDataFrame(
+            matches,
+            "match_id int, is_team_game boolean, playlist_id string, game_variant_id string, "
+            "is_match_over boolean, completion_date timestamp, match_duration string, "
+            "game_mode string, map_variant_id string",
+        ),
+    }
+    folder = shared_dir(spark, "tables")
+    names = {
+        name: write_bucketed(df, f"test_{name}", "match_id", 4, f"{folder}/{name}")
+        for name, df in frames.items()
+    }
+    return names, frames
+
+
+def test_bucketed_join_equals_plain_chain(spark, tables):
+    names, f = tables
+    a = f["medals"].withColumnRenamed("player_gamertag", "player_gamertag_medal").alias("a")
+    b = f["details"].alias("b")
+    c = f["matches"].alias("c")
+    chain = (
+        a.join(b, F.col("a.match_id") == F.col("b.match_id"), "left")
+        .join(c, F.col("b.match_id") == F.col("c.match_id"), "left")
+        .select("player_gamertag_medal", "medal_id", "count", "b.match_id", "b.player_gamertag",
+                "player_total_kills", "playlist_id", "map_variant_id")
+    )
+    plain = joins.bucketed_match_join(spark, **names)
+    assert rows(plain, *chain.columns) == rows(chain)
+    hot = find_hot_keys(f["medals"], ["match_id"], 10)
+    assert rows(joins.bucketed_match_join(spark, **names, hot=hot), *chain.columns) == rows(chain)
+
+
+def test_bucketed_join_shuffles_nothing(spark, tables):
+    names, _ = tables
+    apart = join_policy(spark, auto_broadcast=False)
+    text = plan(joins.bucketed_match_join(apart, **names))
+    assert "Exchange" not in text
+    assert text.count("SortMergeJoin") == 2
+
+
+def test_bucket_files(spark, tables):
+    names, _ = tables
+    described = spark.sql(f"DESCRIBE EXTENDED {names['details']}").collect()
+    assert ("Num Buckets", "4") in [(r.col_name, r.data_type) for r in described]
+
+
+def test_broadcast_is_used_only_within_the_bound(spark):
+    fact = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
+    dim = spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("name"))
+    off = join_policy(spark, auto_broadcast=False)
+    assert off.conf.get(AUTO_BROADCAST) == "-1"
+    assert spark.conf.get(AUTO_BROADCAST) != "-1"
+    fact_off = off.range(1000).select((F.col("id") % 10).alias("k"), "id")
+    dim_off = off.range(5).select(F.col("id").alias("k"), F.lit("x").alias("name"))
+    assert "SortMergeJoin" in plan(fact_off.join(dim_off, "k"))
+    assert "BroadcastHashJoin" in plan(joins.broadcast_lookup(fact_off, dim_off, "k"))
+    over = joins.broadcast_lookup(fact_off, dim_off, "k", max_rows=4)
+    assert "BroadcastHashJoin" not in plan(over)
+    assert rows(over) == rows(joins.broadcast_lookup(fact, dim, "k"))
+
+
+def test_policy_in_place(spark):
+    before = spark.conf.get(AUTO_BROADCAST)
+    try:
+        assert set_join_policy(spark, False).conf.get(AUTO_BROADCAST) == "-1"
+        set_join_policy(spark, True)
+        assert spark.conf.get(AUTO_BROADCAST) != "-1"
+    finally:
+        spark.conf.set(AUTO_BROADCAST, before)
+    assert build_session("again") is not None
+
+
+def test_location(spark):
+    events = spark.createDataFrame([("1", "h"), ("2", "h"), (None, "h")], "ip string, host string")
+    places = spark.createDataFrame(
+        [("1", "Land", None, 'Ci"ty')], "ip string, country string, state string, city string"
+    )
+    found = {r.ip: json.loads(r.geodata) for r in joins.enrich_location(events, places).collect()}
+    assert found == {"1": {"country": "Land", "state": "", "city": 'Ci"ty'}, "2": {}, None: {}}
+
+
+def test_event_devices(spark):
+    time = dt.datetime(2023, 1, 9, 23, 59, 59)
+    events = spark.createDataFrame(
+        [(1, 5, "h", time), (None, 5, "h", time), (1, 6, "h", time),
+         (1, 5, "h", dt.datetime(2023, 1, 10))],
+        schemas.EVENTS,
+    )
+    devices = spark.createDataFrame(
+        [(5, "Chrome", "phone", "A"), (5, "Chrome", "phone", "B")],
+        "device_id long, browser_type string, device_type string, os_type string",
+    )
+    found = joins.enrich_events(events, devices, dt.date(2023, 1, 9))
+    assert rows(found, "user_id", "device_id", "os_type") == [(1, 5, "A"), (1, 5, "B")]
+
+
+def test_csv(spark, tmp_path):
+    (tmp_path / "medals.csv").write_text("medal_id,name\n1,Spree\n2,\n")
+    typed = read_csv(spark, str(tmp_path), schemas.MEDALS)
+    assert rows(typed) == [(1, "Spree"), (2, None)]
+    assert read_csv(spark, str(tmp_path)).dtypes == [("medal_id", "int"), ("name", "string")]
+
+
+def test_shared_folder_is_the_configured_one(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    one, other = shared_dir(spark, "a"), shared_dir(spark, "a")
+    assert one.startswith(root) and one != other

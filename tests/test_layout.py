@@ -1,0 +1,47 @@
+import pytest
+from helpers import rows
+from pyspark.sql import functions as F
+
+from tidemark.operators.layout import arrange, layout_report
+from tidemark.plans.session import shared_dir
+
+
+@pytest.fixture(scope="module")
+def matches(spark):
+    """Nine of ten rows share one playlist."""
+    shuffled = F.xxhash64("id")
+    return spark.range(20_000).select(
+        F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id") % 7)).alias("playlist"),
+        F.concat(F.lit("map"), F.pmod(shuffled, F.lit(20))).alias("map"),
+        shuffled.alias("match_id"),
+    )
+
+
+def test_report(spark, matches):
+    layouts = {"none": [], "playlist": ["playlist"], "map": ["map"]}
+    report = layout_report(matches, layouts, shared_dir(spark, "sizes"), parts=4, ties=["match_id"])
+    found = {r.layout: r for r in report.collect()}
+    assert {r.rows for r in found.values()} == {20_000}
+    assert {r.files for r in found.values()} == {4}
+    assert 0 < found["map"].bytes < found["none"].bytes
+    assert [r.bytes for r in report.collect()] == sorted(r.bytes for r in found.values())
+
+
+def test_range_splits_a_hot_key_and_hash_does_not(matches):
+    def largest(by):
+        sizes = arrange(matches, ["playlist"], 8, by, ["match_id"]).groupBy(F.spark_partition_id())
+        return max(r["count"] for r in sizes.count().collect())
+
+    assert largest("hash") >= 18_000
+    assert largest("range") < 5_000
+    with pytest.raises(ValueError):
+        arrange(matches, ["playlist"], by="other")
+
+
+def test_sorted_inside_partitions(matches):
+    marked = arrange(matches, ["playlist"], 4, "range", ["match_id"]).select(
+        F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("n"), "playlist", "match_id"
+    )
+    seen = sorted(rows(marked, "p", "n", "playlist", "match_id"), key=lambda r: (r[0], r[1]))
+    keys = [(r[0], r[2], r[3]) for r in seen]
+    assert keys == sorted(keys)

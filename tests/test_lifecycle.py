@@ -1,0 +1,38 @@
+import random
+
+from helpers import rows
+
+from tidemark import schemas
+from tidemark.operators.lifecycle import lifecycle_history, lifecycle_step
+from tidemark.plans.session import shared_dir
+from tidemark.sources.snapshots import fold_periods
+
+
+def test_every_transition(spark):
+    seasons = spark.createDataFrame(
+        [("p", s) for s in (2000, 2001, 2004, 2005)] + [("p", 2005), (None, 2001)],
+        schemas.PLAYER_SEASONS,
+    )
+    expected = [
+        ("p", "New", 2000), ("p", "Continued Playing", 2001), ("p", "Retired", 2002),
+        ("p", "Stayed Retired", 2003), ("p", "Returned from Retirement", 2004),
+        ("p", "Continued Playing", 2005), ("p", "Retired", 2006),
+    ]
+    assert rows(lifecycle_history(seasons, 2006)) == sorted(expected, key=repr)
+    state = spark.createDataFrame([], schemas.PLAYER_STATES)
+    for season in range(2000, 2007):
+        state = lifecycle_step(state, seasons, season)
+        assert rows(state) == [row for row in expected if row[2] == season]
+
+
+def test_fold_equals_history(spark):
+    rng = random.Random(11)
+    data = [(f"p{p}", s) for p in range(20) for s in range(2000, 2010) if rng.random() < 0.5]
+    seasons = spark.createDataFrame(data, schemas.PLAYER_SEASONS)
+    folded = fold_periods(
+        spark, shared_dir(spark, "players"), schemas.PLAYER_STATES, "season", range(2000, 2010),
+        lambda stored, season: lifecycle_step(stored, seasons, season),
+    )
+    whole = lifecycle_history(seasons, 2009)
+    assert rows(folded, *whole.columns) == rows(whole)
+    assert rows(lifecycle_history(seasons, 2009, since=2008)) == rows(whole.filter("season >= 2008"))

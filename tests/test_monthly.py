@@ -1,0 +1,68 @@
+import datetime as dt
+import random
+
+import pytest
+from helpers import jan, rows
+from pyspark.sql import functions as F
+
+from tidemark import schemas
+from tidemark.operators.monthly import monthly_history, monthly_reduce_step
+from tidemark.plans.session import shared_dir
+from tidemark.sources.snapshots import fold_periods, upsert_snapshot
+
+EVENTS = "host string, user_id long, event_time timestamp"
+
+
+def at(number, hour=1):
+    return dt.datetime(2023, 1, number, hour)
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    data = [
+        ("early", 1, at(1)), ("early", 1, at(1, 2)), ("early", None, at(1, 3)), ("early", 2, at(3)),
+        ("late", 3, at(3)), ("late", None, at(3, 5)), ("gap", 1, at(1)), ("gap", 1, at(4)),
+    ]
+    rng = random.Random(7)
+    data += [
+        (f"r{rng.randrange(6)}", rng.choice([1, 2, None]), at(rng.randrange(1, 9))) for _ in range(60)
+    ]
+    return spark.createDataFrame(data, EVENTS).cache()
+
+
+def test_steps_by_hand(spark, events):
+    few = events.filter("host IN ('early', 'late', 'gap')")
+    stored = spark.createDataFrame([], schemas.HOST_ACTIVITY_REDUCED)
+    for number in (1, 2, 3):
+        stored = monthly_reduce_step(stored, few, jan(1), jan(number))
+    assert rows(stored) == [
+        ("early", [3, None, 1], [1, None, 1], jan(1), jan(1), jan(3)),
+        ("gap", [1, None, None], [1, None, None], jan(1), jan(1), jan(3)),
+        ("late", [None, None, 2], [None, None, 1], jan(1), jan(3), jan(3)),
+    ]
+
+
+@pytest.mark.parametrize("fill_zero", [False, True])
+def test_fold_equals_history(spark, events, fill_zero):
+    folded = fold_periods(
+        spark, shared_dir(spark, "months"), schemas.HOST_ACTIVITY_REDUCED, "date_partition",
+        [jan(n) for n in range(1, 9)],
+        lambda stored, d: monthly_reduce_step(stored, events, jan(1), d, fill_zero=fill_zero),
+    )
+    whole = monthly_history(events, jan(1), jan(8), fill_zero=fill_zero)
+    assert rows(folded, *whole.columns) == rows(whole)
+    elapsed = F.datediff("date_partition", "month_start") + 1
+    assert whole.filter(F.size("hit_array") != elapsed).isEmpty()
+
+
+def test_day_must_lie_in_month(spark, events):
+    with pytest.raises(ValueError):
+        monthly_history(events, jan(1), dt.date(2023, 2, 1))
+    with pytest.raises(ValueError):
+        monthly_history(events, jan(2), jan(3))
+
+
+def test_upsert(spark):
+    target = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    new = spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int")
+    assert rows(upsert_snapshot(target, new, ["k"])) == [("a", 1), ("b", 3), ("c", 4)]

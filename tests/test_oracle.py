@@ -1,0 +1,30 @@
+"""Every named query against its SQL counterpart, on whole tables."""
+
+import pytest
+from compare import connect, differences
+
+import __spark_entry__ as entry
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(FOLDER)
+
+
+@pytest.mark.parametrize("name", list(entry.queries()))
+def test_query(spark, con, name):
+    df = entry.queries()[name](spark, FOLDER)
+    if name in entry.oracle_sql():
+        assert differences(df, con, entry.oracle_sql()[name]) == ""
+    assert df.count() > 0
+
+
+def test_every_statement_has_a_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.queries()) - set(entry.oracle_sql()) == {"layout_sizes"}
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0

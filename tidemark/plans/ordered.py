@@ -128,8 +128,8 @@ def _scan_runs(pieces, window, carry, breaks, first: Lookup, last: Lookup) -> Da
         }
     )
     start = F.struct(
-        F.col("_at").alias("at"),
-        (F.col("_total") - F.col("_n")).alias("before"),
+        F.col("_at"),
+        (F.col("_total") - F.col("_n")).alias("_before"),
         *(first(name).alias(name) for name in carry),
     )
     marked = marked.withColumn(
@@ -137,8 +137,8 @@ def _scan_runs(pieces, window, carry, breaks, first: Lookup, last: Lookup) -> Da
     )
     ends = marked.filter(F.coalesce(F.col("_next"), F.lit(True)))
     found = {
-        "_n": F.col("_total") - F.col("_start.before"),
-        "_opens": F.col("_start.at") == 1,
+        "_n": F.col("_total") - F.col("_start._before"),
+        "_opens": F.col("_start._at") == 1,
         "_closes": F.col("_next").isNull(),
     }
     found |= {f"last_{name}": last(name) for name in carry}
