@@ -55,8 +55,22 @@ def test_bucketed_join_equals_plain_chain(spark, tables):
     )
     plain = joins.bucketed_match_join(spark, **names)
     assert rows(plain, *chain.columns) == rows(chain)
-    hot = find_hot_keys(f["medals"], ["match_id"], 10)
-    assert rows(joins.bucketed_match_join(spark, **names, hot=hot), *chain.columns) == rows(chain)
+
+
+def test_hot_matches_are_stored_apart_and_salted(spark, tables):
+    names, f = tables
+    hot = [find_hot_keys(f["medals"], ["match_id"], 10), find_hot_keys(f["details"], ["match_id"], 3)]
+    folder = shared_dir(spark, "hot")
+    apart = {
+        name: write_bucketed(df, f"hot_{name}", "match_id", 4, f"{folder}/{name}", hot=hot)
+        for name, df in f.items()
+    }
+    stored = spark.table(apart["medals"])
+    assert rows(stored.filter("hot").select("match_id").distinct()) == [(1,)]
+    assert stored.filter("hot").select("_metadata.file_path").distinct().count() > 1
+    plain = joins.bucketed_match_join(spark, **names)
+    found = joins.bucketed_match_join(spark, **apart, hot_medals=hot[0], hot_details=hot[1])
+    assert rows(found) == rows(plain)
 
 
 def test_bucketed_join_shuffles_nothing(spark, tables):

@@ -71,14 +71,24 @@ def test_runs_cross_chunk_borders(skewed, max_rows):
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_keeps_every_pair(spark, how):
     left = spark.createDataFrame(
-        [(1 if n % 3 else n, n) for n in range(120)] + [(None, -1), (7, -2), (7, -2)], "k int, a int"
+        [(1 if n % 3 else n, n) for n in range(120)] + [(None, -1), (7, -2), (7, -2), (8, 1), (9, 5)],
+        "k int, a int",
     )
-    right = spark.createDataFrame([(1, n) for n in range(5)] + [(6, 9), (None, 3)], "k int, b int")
-    hot = skew.find_hot_keys(left, ["k"], 10)
-    assert rows(skew.salted_join(left, right, "k", hot, how)) == rows(left.join(right, "k", how))
-    assert rows(skew.salted_join(left, right, "k", None, how)) == rows(left.join(right, "k", how))
+    right = spark.createDataFrame(
+        [(1, n) for n in range(35)] + [(6, 9), (None, 3)] + [(8, n) for n in range(30)], "k int, b int"
+    )
+    expected = rows(left.join(right, "k", how))
+    hot_left, hot_right = (skew.find_hot_keys(df, ["k"], 10) for df in (left, right))
+    assert hot_left and hot_right
+    for lists in ((None, None), (hot_left, None), (None, hot_right), (hot_left, hot_right)):
+        assert rows(skew.salted_join(left, right, "k", how, *lists)) == expected
     with pytest.raises(ValueError):
-        skew.salted_join(left, right, "k", hot, "full")
+        skew.salted_join(left, right, "k", "full", hot_left)
+
+
+def test_rows_bound(skewed):
+    assert skew.rows_bound(skewed, ["k"], 200) == 200
+    assert skew.rows_bound(skewed, ["k"], 300) is None
 
 
 def test_size_check(spark):

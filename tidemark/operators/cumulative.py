@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.tiers import tier
+from tidemark.plans.skew import find_hot_keys
 
 PAGE_ROWS = 100_000
 
@@ -57,17 +58,20 @@ def _period_figures(table: EntityTable) -> list[Column]:
 
 
 def period_rows(
-    rows: DataFrame, table: EntityTable = ACTORS, page_rows: int = PAGE_ROWS
+    rows: DataFrame, table: EntityTable = ACTORS, page_rows: int | None = PAGE_ROWS
 ) -> DataFrame:
     """One row per (entity, period, page): items, and on page 0 the label and average.
 
     Entities are paged only if one really exceeds ``page_rows``, which a count per entity and
-    period, combined map-side, finds out first.
+    period, combined map-side, finds out first. ``page_rows=None`` says that none does.
     """
     unit = [table.key, table.period]
-    hot = rows.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > page_rows)
-    paged = not hot.isEmpty()
-    usual = rows.join(hot, unit, "left_anti") if paged else rows
+    hot = None if page_rows is None else find_hot_keys(rows, unit, page_rows)
+    if hot is None:
+        usual = rows
+    else:
+        marked = hot.mark(rows)
+        usual = marked.filter("hot_n IS NULL")
     # Lists do not shrink map-side: one shuffle on the entity serves both this grouping and the
     # grouping by entity that a backfill adds.
     flat = (
@@ -76,10 +80,10 @@ def period_rows(
         .groupBy(table.key, "page", table.period)
         .agg(_items(table).alias(table.items), *_period_figures(table))
     )
-    if not paged:
+    if hot is None:
         return flat
-    large = rows.join(hot, unit)
-    page = F.pmod(F.xxhash64(table.item_id), F.ceil(F.col("_n") / F.lit(page_rows))).cast("int")
+    large = marked.filter("hot_n IS NOT NULL")
+    page = F.pmod(F.xxhash64(table.item_id), hot.parts()).cast("int")
     pages = (
         large.withColumn("page", page)
         .groupBy(table.key, "page", table.period)
@@ -102,7 +106,7 @@ def cumulate_entities(
     current: DataFrame,
     period: int,
     table: EntityTable = ACTORS,
-    page_rows: int = PAGE_ROWS,
+    page_rows: int | None = PAGE_ROWS,
 ) -> DataFrame:
     """Snapshot of ``period`` from the snapshot of ``period - 1`` and the rows of ``period``.
 
@@ -133,7 +137,7 @@ def entity_history(
     rows: DataFrame,
     through: int,
     table: EntityTable = ACTORS,
-    page_rows: int = PAGE_ROWS,
+    page_rows: int | None = PAGE_ROWS,
     with_items: bool = True,
     since: int | None = None,
 ) -> DataFrame:

@@ -38,7 +38,12 @@ def broadcast_lookup(
 
 
 def bucketed_match_join(
-    spark: SparkSession, medals: str, details: str, matches: str, hot: HotKeys | None = None
+    spark: SparkSession,
+    medals: str,
+    details: str,
+    matches: str,
+    hot_medals: HotKeys | None = None,
+    hot_details: HotKeys | None = None,
 ) -> DataFrame:
     """Medals with all detail rows of their match and the match itself, from bucketed tables.
 
@@ -47,31 +52,29 @@ def bucketed_match_join(
     the nullable side and costs an exchange; the rows are the same, since a medal without details
     has no match columns either way.
 
-    Buckets cannot be split at run time, so matches listed in ``hot`` (from ``find_hot_keys``) are
-    taken out of the bucketed join and joined with salts.
+    A bucket cannot be split at run time. Matches in one of the ``hot`` lists, for which the tables
+    must have been written with those lists, are joined apart with salts.
     """
-    a = spark.table(medals).select(
-        "match_id", F.col("player_gamertag").alias("player_gamertag_medal"), "medal_id", "count"
-    )
-    b, c = spark.table(details), spark.table(matches).select("match_id", *MATCH_COLUMNS)
+    a = spark.table(medals).withColumnRenamed("player_gamertag", "player_gamertag_medal")
     # The match of the detail row, NULL where a medal has none.
-    detail = b.withColumn("detail_match_id", F.col("match_id")).join(c, "match_id", "left")
-    if hot is None:
-        joined = a.join(detail, "match_id", "left")
+    b = spark.table(details).withColumn("detail_match_id", F.col("match_id"))
+    c = spark.table(matches)
+    if hot_medals is None and hot_details is None:
+        joined = a.join(b.join(c, "match_id", "left"), "match_id", "left")
     else:
-        usual, large = hot.mark(a), hot.mark(detail)
-        joined = (
-            usual.filter("hot_n IS NULL").drop("hot_n")
-            .join(large.filter("hot_n IS NULL").drop("hot_n"), "match_id", "left")
-            .unionByName(
-                salted_join(
-                    usual.filter("hot_n IS NOT NULL").drop("hot_n"),
-                    large.filter("hot_n IS NOT NULL").drop("hot_n"),
-                    "match_id", hot,
-                )
-            )
+        usual, large = (
+            [df.filter(F.col("hot") == flag).drop("hot") for df in (a, b, c)]
+            for flag in (False, True)
+        )
+        joined = usual[0].join(usual[1].join(usual[2], "match_id", "left"), "match_id", "left")
+        described = salted_join(large[1], large[2], "match_id", hot_left=hot_details)
+        joined = joined.unionByName(
+            salted_join(large[0], described, "match_id", "left", hot_medals, hot_details)
         )
-    return joined.drop("match_id").withColumnRenamed("detail_match_id", "match_id")
+    return joined.select(
+        "player_gamertag_medal", "medal_id", "count", F.col("detail_match_id").alias("match_id"),
+        "player_gamertag", "player_total_kills", *MATCH_COLUMNS,
+    )
 
 
 def enrich_location(

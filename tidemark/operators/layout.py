@@ -38,14 +38,17 @@ def layout_report(
     """Write ``df`` once per layout below ``path``; report rows, files and bytes, smallest first.
 
     The figures come from the written files themselves. An empty key list writes the rows as they
-    come.
+    come; it goes first, and the other layouts are then made from its files instead of computing
+    ``df`` again.
     """
     spark = df.sparkSession
     reports = []
-    for name, keys in layouts.items():
+    for name, keys in sorted(layouts.items(), key=lambda item: bool(item[1])):
         target = f"{path.rstrip('/')}/{name}"
         shaped = arrange(df, keys, parts, by, ties) if keys else df.repartition(parts)
         shaped.write.mode("overwrite").parquet(target)
+        if not keys:
+            df = spark.read.schema(df.schema).parquet(target)
         files = (
             spark.read.schema(df.schema).parquet(target)
             .groupBy("_metadata.file_path")

@@ -82,22 +82,28 @@ def monthly_history(
     day = F.to_date(time)
     events = events.filter((day >= F.lit(month_start)) & (day <= F.lit(through)))
     daily = daily_figures(events, key, time, visitor)
-    entry = F.struct("day", F.struct(*FIGURES.values()))
     by_day = daily.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("by_day"),  # at most 31 entries
+        F.map_from_entries(F.collect_list(F.struct("day", F.struct(*FIGURES.values())))).alias(
+            "by_day"  # at most 31 entries
+        ),
         F.min("day").alias("first_found_date"),
     )
-    start = F.greatest("first_found_date", F.lit(since or month_start))
-    grid = by_day.withColumn("date_partition", F.explode(F.sequence(start, F.lit(through))))
     empty = F.lit(0 if fill_zero else None).cast("bigint")
-    days = F.sequence(F.lit(month_start), F.col("date_partition"))
+    days = F.sequence(F.lit(month_start), F.lit(through))
 
     def series(figure: str) -> Column:
         return F.transform(days, lambda d: F.coalesce(F.try_element_at("by_day", d)[figure], empty))
 
+    # Each key gets its series of the whole month once; a snapshot is the front part of it.
+    whole = by_day.select(
+        key, "first_found_date", *(series(figure).alias(array) for array, figure in FIGURES.items())
+    )
+    start = F.greatest("first_found_date", F.lit(since or month_start))
+    grid = whole.withColumn("date_partition", F.explode(F.sequence(start, F.lit(through))))
+    elapsed = F.datediff("date_partition", F.lit(month_start)) + F.lit(1)
     return grid.select(
         key,
-        *(series(figure).alias(array) for array, figure in FIGURES.items()),
+        *(F.slice(array, F.lit(1), elapsed).alias(array) for array in FIGURES),
         F.lit(month_start).alias("month_start"),
         "first_found_date",
         "date_partition",

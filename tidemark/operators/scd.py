@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.ordered import collapse_runs
-from tidemark.plans.skew import MAX_ROWS_PER_KEY
 
 TRACKED = ("quality_class", "is_active")
 
@@ -20,11 +19,12 @@ def scd2_backfill(
     key: str = "actorid",
     period: str = "current_year",
     tracked: Sequence[str] = TRACKED,
-    max_rows: int = MAX_ROWS_PER_KEY,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """All intervals from a snapshot table that holds one row per (key, period).
 
-    Only periods up to ``as_of`` are read. Attributes are compared null-safe: a change to or from
+    A key has at most as many rows as there are periods; ``max_rows`` cuts keys for which that is
+    too many for one task. Only periods up to ``as_of`` are read. Attributes are compared null-safe: a change to or from
     NULL starts an interval, NULL after NULL does not.
     """
 

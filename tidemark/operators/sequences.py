@@ -36,7 +36,7 @@ def rolling_count_max(
     order: Sequence[str],
     flag: str,
     n: int = 90,
-    max_rows: int = MAX_ROWS_PER_KEY,
+    max_rows: int | None = MAX_ROWS_PER_KEY,
 ) -> DataFrame:
     """Per key, the largest number of set flags among any ``n`` consecutive rows.
 
@@ -70,7 +70,7 @@ def streaks(
     order: Sequence[str],
     condition: Column,
     min_len: int = 2,
-    max_rows: int = MAX_ROWS_PER_KEY,
+    max_rows: int | None = MAX_ROWS_PER_KEY,
 ) -> DataFrame:
     """Runs of at least ``min_len`` consecutive rows that meet ``condition``, per key.
 

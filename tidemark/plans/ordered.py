@@ -39,18 +39,23 @@ def position_of(df: DataFrame, name: str) -> Column:
 
 
 def cut_hot_keys(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = MAX_ROWS_PER_KEY
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    max_rows: int | None = MAX_ROWS_PER_KEY,
 ) -> tuple[DataFrame, bool]:
     """Add a chunk number that never falls along the order; tell whether any key needed a cut.
 
     Keys of at most ``max_rows`` rows stay whole (chunk 0). The range of a hot key is cut into equal
     steps of its first order column. Rows equal in that column share a chunk; rows without a value
-    come last.
+    come last. ``max_rows=None`` says that no key is large, as ``rows_bound`` found out or the key of
+    the table implies.
     """
+    # The common case is decided by the key columns alone; only hot keys need the range of the order.
+    if max_rows is None or find_hot_keys(df, keys, max_rows) is None:
+        return df.withColumn(CHUNK, F.lit(0)), False
     place = position_of(df, order[0])
     hot = find_hot_keys(df, keys, max_rows, place)
-    if hot is None:
-        return df.withColumn(CHUNK, F.lit(0)), False
     steps = F.ceil(F.col("hot_n") * F.lit(CHUNKS_PER_TASK_LOAD) / F.lit(max_rows))
     width = (F.col("hot_high") - F.col("hot_low")) / steps
     step = F.when(width > 0, F.least(F.floor((place - F.col("hot_low")) / width), steps - 1))
@@ -70,7 +75,7 @@ def collapse_runs(
     carry: Sequence[str],
     breaks: Callable[[Lookup, Lookup], Column],
     keep: Callable[[Lookup, Column], Column] | None = None,
-    max_rows: int = MAX_ROWS_PER_KEY,
+    max_rows: int | None = MAX_ROWS_PER_KEY,
 ) -> DataFrame:
     """Collapse maximal runs of consecutive rows of a key into one row each.
 

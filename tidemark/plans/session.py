@@ -11,11 +11,12 @@ from pyspark.sql import SparkSession
 AUTO_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 DEFAULT_AUTO_BROADCAST = "10485760b"
 
-# AQE splits skewed join partitions and merges small ones, so the number of shuffle partitions is
-# only the upper bound it starts from. Sessions are merged map-side before their shuffle.
+# AQE splits skewed join partitions, even where that costs a shuffle, and merges small ones, so the
+# number of shuffle partitions is only the upper bound it starts from. Sessions are merged map-side before their shuffle.
 CLUSTER_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",

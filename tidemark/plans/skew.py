@@ -54,14 +54,20 @@ class HotKeys:
     keys: tuple[str, ...]
     max_rows: int
 
-    def mark(self, df: DataFrame) -> DataFrame:
+    def mark(self, df: DataFrame, into: str = "hot_n") -> DataFrame:
         """Left join on the keys, NULL keys included; the hot columns are NULL for other keys."""
-        hot = self.table.withColumnsRenamed({key: f"hot_{key}" for key in self.keys})
+        hot = self.table.withColumnsRenamed(
+            {key: f"hot_{key}" for key in self.keys} | {"hot_n": into}
+        )
         same = reduce(
             Column.__and__, (df[key].eqNullSafe(hot[f"hot_{key}"]) for key in self.keys)
         )
         return df.join(hot, same, "left").drop(*(f"hot_{key}" for key in self.keys))
 
+    def parts(self, count: str = "hot_n") -> Column:
+        """Into how many parts the rows of a key are to be split; 1 for keys that are not hot."""
+        return F.ceil(F.coalesce(F.col(count), F.lit(1)) / F.lit(self.max_rows)).cast("int")
+
 
 def find_hot_keys(
     df: DataFrame,
@@ -71,10 +77,10 @@ def find_hot_keys(
 ) -> HotKeys | None:
     """Keys with more than ``max_rows`` rows, or None if there are none.
 
-    One aggregation, combined map-side, so a hot key costs one row per task. With ``position`` the
-    smallest and largest value per hot key are kept as ``hot_low`` and ``hot_high``. At most
-    rows / ``max_rows`` keys can be hot; up to ``MAX_LOCAL_KEYS`` of them are kept as a local table
-    and broadcast, a longer list stays distributed.
+    One aggregation over the key columns, combined map-side, so a hot key costs one row per task.
+    With ``position`` the smallest and largest value per hot key are kept as ``hot_low`` and
+    ``hot_high``. At most rows / ``max_rows`` keys can be hot; up to ``MAX_LOCAL_KEYS`` of them are
+    kept as a local table and broadcast, a longer list stays distributed.
     """
     sizes = [F.count(F.lit(1)).alias("hot_n")]
     if position is not None:
@@ -88,25 +94,56 @@ def find_hot_keys(
     return HotKeys(hot, tuple(keys), max_rows)
 
 
+def rows_bound(
+    df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_KEY
+) -> int | None:
+    """``max_rows`` if some key of ``df`` exceeds it, else None: no later scan has to look again.
+
+    Meant for the table an ordered scan is built from, which is cheaper to count than its joins.
+    """
+    return None if find_hot_keys(df, keys, max_rows) is None else max_rows
+
+
 def salted_join(
-    left: DataFrame, right: DataFrame, key: str, hot: HotKeys | None, how: str = "left"
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "left",
+    hot_left: HotKeys | None = None,
+    hot_right: HotKeys | None = None,
 ) -> DataFrame:
     """Inner or left join on ``key`` in which the rows of a hot key are spread over many tasks.
 
-    Left rows of a hot key take one of its salts by a hash of the row; its right rows are copied to
-    each of them, so every left row still meets every right row once. Other keys have one salt.
+    The pairs of a hot key form a grid: a left row takes one line of it by a hash of the row and is
+    copied along that line, a right row likewise takes one column. Every pair meets in exactly one
+    cell. Other keys have a single cell.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins keep left rows unique under salting")
-    if hot is None:
+    if hot_left is None and hot_right is None:
         return left.join(right, key, how)
-    salts = F.least(
-        F.ceil(F.coalesce(F.col("hot_n"), F.lit(1)) / F.lit(hot.max_rows)), F.lit(10_000)
-    ).cast("int")
-    spread = hot.mark(left).withColumn("salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
-    copies = hot.mark(right).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - F.lit(1))))
-    return (
-        spread.drop("hot_n")
-        .join(copies.drop("hot_n"), [key, "salt"], how)
-        .select(*left.columns, *(c for c in right.columns if c != key))
+
+    def grid(df: DataFrame, own: str, other: str) -> DataFrame:
+        spread = df
+        sizes = {}
+        for hot, side in ((hot_left, "line"), (hot_right, "column")):
+            sizes[side] = F.lit(1)
+            if hot is not None:
+                spread = hot.mark(spread, f"_{side}_n")
+                sizes[side] = hot.parts(f"_{side}_n")
+        return spread.select(
+            *df.columns,
+            F.pmod(F.xxhash64(*df.columns), sizes[own]).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), sizes[other] - F.lit(1))).alias(other),
+            (sizes["column"] > F.lit(1)).alias(f"_{own}_split"),
+        )
+
+    joined = grid(left, "line", "column").join(
+        grid(right, "column", "line"), [key, "line", "column"], how
+    )
+    # A key with split right rows has matches; a left copy that met none of them in its cell is not
+    # an unmatched row.
+    empty_cell = F.col("_line_split") & F.col("_column_split").isNull()
+    return joined.filter(~empty_cell).select(
+        *left.columns, *(c for c in right.columns if c != key)
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -28,9 +28,9 @@ from tidemark.operators import (
     sequences,
 )
 from tidemark.plans.session import join_policy, shared_dir
-from tidemark.plans.skew import find_hot_keys
+from tidemark.plans.skew import HotKeys, find_hot_keys, rows_bound
 from tidemark.sources.files import write_bucketed
-from tidemark.sources.kafka import with_event_time
+from tidemark.sources.kafka import EVENT_TIME_FORMAT, with_event_time
 from tidemark.sources.snapshots import fold_periods, read_snapshot, upsert_snapshot, write_snapshot
 from tidemark.sources.tables import Tables
 from tidemark.streaming import runs, windows
@@ -49,16 +49,12 @@ def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]
     return build
 
 
-def _text(column: str | Column, pattern: str = "yyyy-MM-dd") -> Column:
-    return F.date_format(column, pattern)
+def _text(column: str | Column) -> Column:
+    return (F.col(column) if isinstance(column, str) else column).cast("string")
 
 
-def _dates(array: str) -> Column:
-    return F.array_join(F.transform(array, lambda d: _text(d)), ",")
-
-
-def _numbers(array: str) -> Column:
-    return F.array_join(F.transform(array, lambda n: n.cast("string")), ",", "-")
+def _list(array: str) -> Column:
+    return F.array_join(F.col(array).cast("array<string>"), ",", "-")
 
 
 # Entities
@@ -80,16 +76,27 @@ def _snapshot_view(df: DataFrame) -> DataFrame:
     )
 
 
+def _page_rows(t: Tables) -> int | None:
+    """Decided on the orders alone, without the join for names."""
+    return rows_bound(t.actor_ratings(), ["actorid", "year"], cumulative.PAGE_ROWS)
+
+
 @query
 def entity_snapshot_step(t: Tables) -> DataFrame:
-    films = t.actor_films()
-    before = cumulative.entity_history(films, STEP_YEAR - 1, since=STEP_YEAR - 1)
-    return _snapshot_view(cumulative.cumulate_entities(before, films, STEP_YEAR))
+    films, pages = t.actor_films(), _page_rows(t)
+    before = cumulative.entity_history(
+        films, STEP_YEAR - 1, page_rows=pages, since=STEP_YEAR - 1
+    )
+    return _snapshot_view(
+        cumulative.cumulate_entities(before, films, STEP_YEAR, page_rows=pages)
+    )
 
 
 @query
 def entity_snapshot_history(t: Tables) -> DataFrame:
-    return _snapshot_view(cumulative.entity_history(t.actor_films(), LAST_YEAR))
+    return _snapshot_view(
+        cumulative.entity_history(t.actor_films(), LAST_YEAR, page_rows=_page_rows(t))
+    )
 
 
 def _actor_states(t: Tables, through: int, since: int | None = None) -> DataFrame:
@@ -165,7 +172,7 @@ def _list_view(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "n_days": F.size("dates_active").cast("bigint"),
-            "dates_active": _dates("dates_active"),
+            "dates_active": _list("dates_active"),
             "date": _text("date"),
         }
     )
@@ -229,8 +236,8 @@ def _monthly_view(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "n_days": F.size("hit_array").cast("bigint"),
-            "hit_array": _numbers("hit_array"),
-            "unique_visitors": _numbers("unique_visitors"),
+            "hit_array": _list("hit_array"),
+            "unique_visitors": _list("unique_visitors"),
             **{c: _text(c) for c in ("month_start", "first_found_date", "date_partition")},
         }
     )
@@ -289,7 +296,7 @@ def broadcast_lookup_join(t: Tables) -> DataFrame:
     return joins.broadcast_lookup(customers, names.filter("c_nationkey < 20"), "c_nationkey")
 
 
-def _bucketed(t: Tables) -> dict[str, str]:
+def _bucketed(t: Tables, hot: list[HotKeys | None]) -> dict[str, str]:
     """The match tables in 16 buckets, written to the shared folder under names of their own."""
     folder = shared_dir(t.spark, "bucketed")
     suffix = folder.rsplit("-", 1)[-1]
@@ -297,15 +304,15 @@ def _bucketed(t: Tables) -> dict[str, str]:
         "medals": t.match_medals(), "details": t.match_details(), "matches": t.matches()
     }
     return {
-        name: write_bucketed(df, f"{name}_{suffix}", "match_id", path=f"{folder}/{name}")
+        name: write_bucketed(df, f"{name}_{suffix}", "match_id", path=f"{folder}/{name}", hot=hot)
         for name, df in inputs.items()
     }
 
 
 @query
 def bucketed_match_join(t: Tables) -> DataFrame:
-    hot = find_hot_keys(t.match_medals(), ["match_id"])
-    joined = joins.bucketed_match_join(t.spark, **_bucketed(t), hot=hot)
+    hot = [find_hot_keys(df, ["match_id"]) for df in (t.match_medals(), t.match_details())]
+    joined = joins.bucketed_match_join(t.spark, **_bucketed(t, hot), hot_medals=hot[0], hot_details=hot[1])
     return joined.select(
         "player_gamertag_medal", "medal_id", "count", "match_id", "player_gamertag",
         "player_total_kills", "playlist_id", "map_variant_id", "is_team_game",
@@ -474,46 +481,52 @@ def team_with_most_wins(t: Tables) -> DataFrame:
 GAME_ORDER = ["game_date_est", "game_id"]
 
 
+def _team_rows(t: Tables) -> int | None:
+    """A team has at most as many games as detail rows, which are counted without a join."""
+    return rows_bound(t.game_details(), ["team_id"])
+
+
+def _stretch(t: Tables, games: DataFrame) -> DataFrame:
+    return sequences.rolling_count_max(games, "team_id", GAME_ORDER, "won", 90, _team_rows(t))
+
+
 @query
 def best_home_stretch(t: Tables) -> DataFrame:
-    return sequences.rolling_count_max(
-        sequences.team_games(t.games()), "team_id", GAME_ORDER, "won", 90
-    )
+    return _stretch(t, sequences.team_games(t.games()))
 
 
 @query
 def best_stretch(t: Tables) -> DataFrame:
-    games = sequences.team_games(t.games(), t.game_details())
-    return sequences.rolling_count_max(games, "team_id", GAME_ORDER, "won", 90)
+    return _stretch(t, sequences.team_games(t.games(), t.game_details()))
 
 
 @query
 def top_stretch(t: Tables) -> DataFrame:
-    games = sequences.team_games(t.games(), t.game_details())
-    best = sequences.rolling_count_max(games, "team_id", GAME_ORDER, "won", 90)
+    best = _stretch(t, sequences.team_games(t.games(), t.game_details()))
     return best.orderBy(F.col("max_in_stretch").desc(), "team_id").limit(1)
 
 
-@query
-def scoring_streaks(t: Tables) -> DataFrame:
+def _streaks(t: Tables) -> DataFrame:
     scores = t.game_details().join(t.game_dates(), "game_id", "left")
     order = ["game_date_est", "game_id", "line", "team_id"]
-    found = sequences.streaks(scores, "player_id", order, F.col("pts") > 10)
-    return found.withColumns({c: _text(c) for c in ("start_date", "end_date")})
+    bound = rows_bound(t.game_details(), ["player_id"])
+    return sequences.streaks(scores, "player_id", order, F.col("pts") > 10, 2, bound)
+
+
+@query
+def scoring_streaks(t: Tables) -> DataFrame:
+    return _streaks(t).withColumns({c: _text(c) for c in ("start_date", "end_date")})
 
 
 @query
 def longest_scoring_streaks(t: Tables) -> DataFrame:
     """The longest streak of every player, the earliest of equal ones."""
-    scores = t.game_details().join(t.game_dates(), "game_id", "left")
-    order = ["game_date_est", "game_id", "line", "team_id"]
-    found = sequences.streaks(scores, "player_id", order, F.col("pts") > 10)
-    first = Window.partitionBy("player_id").orderBy(
+    order = [
         F.col("streak_length").desc(), F.col("start_date").asc_nulls_last(),
         F.col("end_date").asc_nulls_last(),
-    )
-    ranked = found.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place")
-    return ranked.withColumns({c: _text(c) for c in ("start_date", "end_date")})
+    ]
+    longest = dedup.first_per_key(_streaks(t), ["player_id"], order)
+    return longest.withColumns({c: _text(c) for c in ("start_date", "end_date")})
 
 
 # Windows over event time
@@ -521,7 +534,7 @@ def longest_scoring_streaks(t: Tables) -> DataFrame:
 
 def _window_view(df: DataFrame) -> DataFrame:
     times = [c for c in ("window_start", "window_end") if c in df.columns]
-    return df.withColumns({c: _text(c, "yyyy-MM-dd HH:mm:ss.SSS") for c in times})
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS") for c in times})
 
 
 @query
@@ -558,7 +571,7 @@ def _stream(t: Tables) -> DataFrame:
         stream.select(
             F.col("user_id").cast("string").alias("ip"),
             F.col("event_type").alias("host"),
-            _text(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("event_time"),
+            F.date_format(F.col("ts").cast("timestamp"), EVENT_TIME_FORMAT).alias("event_time"),
         )
     )
 

@@ -35,7 +35,7 @@ def session_counts(
     gap: str = "5 minutes",
     lateness: str = "15 seconds",
     time: str = TIME,
-    max_rows: int = MAX_ROWS_PER_KEY,
+    max_rows: int | None = MAX_ROWS_PER_KEY,
 ) -> DataFrame:
     """Events per session and key; a session ends after ``gap`` without an event.
 
