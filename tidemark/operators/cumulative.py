@@ -59,11 +59,12 @@ def _period_figures(table: EntityTable) -> list[Column]:
 
 def period_rows(
     rows: DataFrame, table: EntityTable = ACTORS, page_rows: int | None = PAGE_ROWS
-) -> DataFrame:
-    """One row per (entity, period, page): items, and on page 0 the label and average.
+) -> tuple[DataFrame, bool]:
+    """One row per (entity, period, page) with its items, and whether any entity needed pages.
 
-    Entities are paged only if one really exceeds ``page_rows``, which a count per entity and
-    period, combined map-side, finds out first. ``page_rows=None`` says that none does.
+    Page 0 also has the label and average. Entities are paged only if one really exceeds
+    ``page_rows``, which a count per entity and period, combined map-side, finds out first.
+    ``page_rows=None`` says that none does.
     """
     unit = [table.key, table.period]
     hot = None if page_rows is None else find_hot_keys(rows, unit, page_rows)
@@ -75,13 +76,13 @@ def period_rows(
     # Lists do not shrink map-side: one shuffle on the entity serves both this grouping and the
     # grouping by entity that a backfill adds.
     flat = (
-        usual.withColumn("page", F.lit(0))
-        .repartition(table.key, "page")
-        .groupBy(table.key, "page", table.period)
+        usual.repartition(table.key)
+        .groupBy(*unit)
         .agg(_items(table).alias(table.items), *_period_figures(table))
+        .withColumn("page", F.lit(0))
     )
     if hot is None:
-        return flat
+        return flat, False
     large = marked.filter("hot_n IS NOT NULL")
     page = F.pmod(F.xxhash64(table.item_id), hot.parts()).cast("int")
     pages = (
@@ -90,11 +91,10 @@ def period_rows(
         .agg(_items(table).alias(table.items))
     )
     heads = large.groupBy(*unit).agg(*_period_figures(table)).withColumn("page", F.lit(0))
-    return flat.unionByName(
-        pages.join(heads, [table.key, "page", table.period], "full").withColumn(
-            table.items, F.coalesce(table.items, _no_items(pages, table))
-        )
+    paged = pages.join(heads, [table.key, "page", table.period], "full").withColumn(
+        table.items, F.coalesce(table.items, _no_items(pages, table))
     )
+    return flat.unionByName(paged), True
 
 
 def _no_items(df: DataFrame, table: EntityTable) -> Column:
@@ -114,7 +114,7 @@ def cumulate_entities(
     for an entity without rows. An empty ``prev`` starts the table.
     """
     old = prev.filter(F.col(table.snapshot_period) == period - 1)
-    new = period_rows(current.filter(F.col(table.period) == period), table, page_rows)
+    new, _ = period_rows(current.filter(F.col(table.period) == period), table, page_rows)
     old, new = old.alias("old"), new.alias("new")
     none = _no_items(new, table)
     head, present = F.col("page") == 0, F.col(f"new.{table.period}").isNotNull()
@@ -143,27 +143,24 @@ def entity_history(
 ) -> DataFrame:
     """All snapshots up to ``through`` at once, from each entity's first period on.
 
-    ``since`` leaves out the snapshots of earlier periods, not their items.
-    Without items only (entity, period) averages are kept: they are combined map-side, and the
-    group of an entity is bounded by the number of periods.
+    ``since`` leaves out the snapshots of earlier periods, not their items. Without items only key,
+    tier, activity and period are returned, and only (entity, period) averages are kept: they are
+    combined map-side, and the group of an entity is bounded by the number of periods.
     """
-    rows = rows.filter(F.col(table.period) <= through)
+    rows, unit = rows.filter(F.col(table.period) <= through), [table.key]
+    known = [F.col(table.period).alias("period"), F.col("_average").alias("average")]
     if with_items:
-        periods = period_rows(rows, table, page_rows)
+        periods, paged = period_rows(rows, table, page_rows)
+        known += [F.col(table.label).alias("label"), F.col(table.items).alias("items")]
+        # A constant page would keep Spark from seeing that the rows are partitioned already.
+        unit += ["page"] if paged else []
     else:
-        periods = (
-            rows.groupBy(table.key, table.period)
-            .agg(*_period_figures(table))
-            .withColumn("page", F.lit(0))
-        )
-    known = F.struct(
-        F.col(table.period).alias("period"),
-        F.col(table.label).alias("label"),
-        F.col("_average").alias("average"),
-        *([F.col(table.items).alias("items")] if with_items else []),
-    )
+        average = F.avg(table.measure).alias("_average")
+        periods = rows.groupBy(table.key, table.period).agg(average)
     # One entry per period: at most as many as there are periods.
-    entity = periods.groupBy(table.key, "page").agg(F.sort_array(F.collect_list(known)).alias("known"))
+    entity = periods.groupBy(*unit).agg(F.sort_array(F.collect_list(F.struct(*known))).alias("known"))
+    if "page" not in unit:
+        entity = entity.withColumn("page", F.lit(0))
     start = F.col("known")[0]["period"]
     if since is not None:
         start = F.greatest(start, F.lit(since))
@@ -172,11 +169,13 @@ def entity_history(
     grid = grid.withColumn("seen", seen)
     latest, head = F.element_at("seen", -1), F.col("page") == 0
     columns = {
-        table.label: F.col("seen")[0]["label"],
         table.tier: F.when(head, tier(latest["average"])),
         table.active: F.when(head, latest["period"] == F.col(table.snapshot_period)),
     }
     if with_items:
+        columns[table.label] = F.col("seen")[0]["label"]
         columns[table.items] = F.flatten(F.transform("seen", lambda x: x["items"]))
-    wanted = [c for c in table.snapshot_columns if with_items or c not in (table.items, "page")]
+    wanted = [c for c in table.snapshot_columns if c in grid.columns or c in columns]
+    if not with_items:
+        wanted.remove("page")
     return grid.withColumns(columns).select(*wanted)

@@ -84,8 +84,10 @@ box_scores AS (
          CASE WHEN l_tax > 0 THEN CAST(l_quantity AS INTEGER) END AS whole,
          CASE WHEN l_tax > 0.01 THEN CAST(trunc(l_discount * 100) AS INTEGER) ELSE 0 END AS seconds,
          l_tax AS turnovers, l_quantity AS pts,
-         row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey)
-           AS place
+         row_number() OVER (
+           PARTITION BY l_orderkey, l_linenumber
+           ORDER BY l_partkey, l_suppkey, l_quantity, l_tax, l_discount,
+             l_returnflag || l_linestatus) AS place
   FROM lineitem),
 box_games AS (
   SELECT o_orderkey AS game_id, strftime(o_orderdate, '%Y-%m-%d') AS game_date_est,

@@ -116,10 +116,12 @@ def scd_step(t: Tables) -> DataFrame:
 
 # Deduplication and profiles
 
+BOX_ORDER = ["part", "supplier", "pts", "TO", "discount", "flags"]
+
 
 @query
 def fact_dedup(t: Tables) -> DataFrame:
-    facts = dedup.dedup_facts(t.box_scores(), t.box_games(), ["part", "supplier"])
+    facts = dedup.dedup_facts(t.box_scores(), t.box_games(), BOX_ORDER)
     return facts.select(
         "game_id", "team_id", "player_id", "part", "supplier", "season", "home_team_id",
         _text("game_date_est").alias("game_date_est"),
@@ -128,7 +130,7 @@ def fact_dedup(t: Tables) -> DataFrame:
 
 @query
 def box_score_flags(t: Tables) -> DataFrame:
-    facts = dedup.dedup_box_scores(t.box_scores(), t.box_games(), ["part", "supplier"])
+    facts = dedup.dedup_box_scores(t.box_scores(), t.box_games(), BOX_ORDER)
     return facts.select(
         "game_id", "team_id", "player_id", "dim_is_playing_at_home", "dim_did_not_play",
         "dim_did_not_dress", "dim_not_with_team", F.round("minutes", 6).alias("minutes"),

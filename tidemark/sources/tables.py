@@ -40,7 +40,6 @@ class Tables:
         """Actor, year and rating only: what the tiers need, without the join for names."""
         return self.raw("orders").select(
             F.col("o_custkey").cast("string").alias("actorid"),
-            F.col("o_custkey").cast("string").alias("actor"),
             F.year("o_orderdate").alias("year"),
             (F.col("o_totalprice") / 50000).alias("rating"),
         )
@@ -80,6 +79,8 @@ class Tables:
             .alias("min"),
             F.col("l_tax").alias("TO"),
             F.col("l_quantity").alias("pts"),
+            F.col("l_discount").alias("discount"),
+            F.concat("l_returnflag", "l_linestatus").alias("flags"),
         )
 
     def home_teams(self) -> DataFrame:
