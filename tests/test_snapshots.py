@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.plans.session import shared_dir
-from tidemark.sources.snapshots import read_snapshot, write_snapshot
+from tidemark.sources.snapshots import attach_table, read_snapshot, write_snapshot
 
 SCHEMA = schemas.PLAYER_STATES
 
@@ -40,3 +40,14 @@ def test_one_period_is_read_from_its_partition(spark):
     one = read_snapshot(spark, path, SCHEMA, "season", 2001)
     assert rows(one, "player_name") == [("b",)]
     assert "PartitionFilters: [isnotnull(season" in plan(one)
+
+
+def test_catalog_table_follows_the_store(spark):
+    path = shared_dir(spark, "store")
+    write_snapshot(season(spark, 2000, "a"), path, "season")
+    table = attach_table(spark, "player_states_test", path, SCHEMA, "season")
+    assert rows(table, "player_name", "season") == [("a", 2000)]
+    write_snapshot(season(spark, 2001, "b"), path, "season")
+    table = attach_table(spark, "player_states_test", path, SCHEMA, "season")
+    assert rows(table, "player_name", "season") == [("a", 2000), ("b", 2001)]
+    assert rows(spark.sql("SELECT max(season) FROM player_states_test")) == [(2001,)]

@@ -12,7 +12,8 @@ AUTO_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 DEFAULT_AUTO_BROADCAST = "10485760b"
 
 # AQE splits skewed join partitions, even where that costs a shuffle, and merges small ones, so the
-# number of shuffle partitions is only the upper bound it starts from. Sessions are merged map-side before their shuffle.
+# number of shuffle partitions is only the upper bound it starts from. Sessions are merged map-side
+# before their shuffle, and the state of streams is kept on disk rather than in the heap.
 CLUSTER_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -22,6 +23,9 @@ CLUSTER_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 

@@ -14,10 +14,10 @@ def write_snapshot(df: DataFrame, path: str, period_column: str, rebalance: bool
     """Replace the periods that ``df`` holds, keep all others; a rerun gives the same table.
 
     Dynamic partition overwrite is set on this very write: with the session default a rerun would
-    delete the other periods, among them the one being read. ``rebalance`` lets AQE merge small and
-    split large output partitions.
+    delete the other periods, among them the one being read. ``rebalance`` gathers each period in
+    few files and lets AQE split a period that is large.
     """
-    df = df.hint("rebalance") if rebalance else df
+    df = df.hint("rebalance", F.col(period_column)) if rebalance else df
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -38,6 +38,23 @@ def read_snapshot(
     return df if period_column is None else df.filter(F.col(period_column) == F.lit(period))
 
 
+def attach_table(
+    spark: SparkSession, table: str, path: str, schema: StructType, period_column: str
+) -> DataFrame:
+    """Make the snapshots below ``path`` a catalog table, or refresh its list of periods.
+
+    Writes go through ``write_snapshot``: an insert into the table would follow the overwrite mode
+    of the session.
+    """
+    columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+        f"PARTITIONED BY (`{period_column}`) LOCATION '{path}'"
+    )
+    spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
+    return spark.table(table)
+
+
 def upsert_snapshot(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new``, and those of ``target`` whose key ``new`` lacks.
 
