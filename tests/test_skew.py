@@ -43,6 +43,28 @@ def test_chunks_follow_the_order(skewed):
     assert max(r["count"] for r in cut.groupBy("k", CHUNK).count().collect()) <= 50
 
 
+def test_uneven_keys_are_cut_evenly(spark):
+    """Most rows of the key lie in a hundredth of its range."""
+    df = spark.range(20_000).select(
+        F.lit(1).alias("k"),
+        F.when(F.col("id") % 10 > 0, F.col("id") * 0.01).otherwise(F.col("id") * 1.0).alias("at"),
+        "id",
+    )
+    cut, _ = cut_hot_keys(df, ["k"], ["at", "id"], 1000)
+    sizes = [r["count"] for r in cut.groupBy(CHUNK).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 1000
+    spans = cut.groupBy(CHUNK).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    found = sorted((r[CHUNK], r.low, r.high) for r in spans.collect())
+    assert all(one[2] < other[1] for one, other in zip(found, found[1:]))
+
+
+def test_distributed_list_is_cut_by_range(spark, skewed, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_LOCAL_KEYS", 0)
+    cut, needed = cut_hot_keys(skewed, ["k"], ["at", "id"], 50)
+    assert needed and rows(cut.drop(CHUNK)) == rows(skewed)
+    assert cut.select("k", CHUNK).distinct().count() > 20
+
+
 def test_position_counts_through_chunks(skewed):
     cut, _ = cut_hot_keys(skewed, ["k"], ["at", "id"], 50)
     found = with_position(cut, ["k"], ["at", "id"])

@@ -254,6 +254,9 @@ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"""
 ORACLE_SQL["broadcast_lookup_join"] = """
 SELECT c_custkey, c_nationkey, n_name AS name
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20"""
+ORACLE_SQL["csv_lookup_join"] = """
+SELECT c_nationkey, c_custkey, c_name, n_name AS name
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"""
 ORACLE_SQL["bucketed_match_join"] = """
 SELECT a.l_suppkey AS player_gamertag_medal, a.l_partkey AS medal_id, a.l_linenumber AS count,
        b.l_orderkey AS match_id, b.l_suppkey AS player_gamertag,
@@ -488,3 +491,7 @@ HAVING time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE
 ORACLE_SQL["streamed_session_counts"] = f"""
 WITH {_sessions("host", "5 MINUTE")} SELECT host, {SESSION_VIEW} FROM sessions
 WHERE ended <= (SELECT max(ts) FROM web) - INTERVAL 15 SECOND"""
+ORACLE_SQL["streamed_session_averages"] = f"""
+WITH {_sessions("ip, host", "6 HOUR")}
+SELECT host, avg(num_logs) AS avg_events, CAST(floor(avg(num_logs)) AS BIGINT) AS avg_events_int
+FROM sessions WHERE ended <= (SELECT max(ts) FROM web) - INTERVAL 15 SECOND GROUP BY host"""

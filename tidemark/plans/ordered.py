@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tidemark.plans.skew import MAX_ROWS_PER_KEY, find_hot_keys
 
 CHUNK = "_chunk"
-CHUNKS_PER_TASK_LOAD = 8  # finer than the row bound asks for, since order values are never even
+CHUNKS_PER_TASK_LOAD = 4  # finer than the row bound asks for, since order values are never even
 LAST_CHUNK = 2**31 - 1
 
 Lookup = Callable[[str], Column]
@@ -46,26 +46,31 @@ def cut_hot_keys(
 ) -> tuple[DataFrame, bool]:
     """Add a chunk number that never falls along the order; tell whether any key needed a cut.
 
-    Keys of at most ``max_rows`` rows stay whole (chunk 0). The range of a hot key is cut into equal
-    steps of its first order column. Rows equal in that column share a chunk; rows without a value
-    come last. ``max_rows=None`` says that no key is large, as ``rows_bound`` found out or the key of
-    the table implies.
+    Keys of at most ``max_rows`` rows stay whole (chunk 0). The range of a hot key is cut at the
+    quantiles of its first order column, and between them into equal steps. Rows equal in that column
+    share a chunk; rows without a value come last. ``max_rows=None`` says that no key is large, as
+    ``rows_bound`` found out or the key of the table implies.
     """
     # The common case is decided by the key columns alone; only hot keys need the range of the order.
     if max_rows is None or find_hot_keys(df, keys, max_rows) is None:
         return df.withColumn(CHUNK, F.lit(0)), False
     place = position_of(df, order[0])
     hot = find_hot_keys(df, keys, max_rows, place)
-    steps = F.ceil(F.col("hot_n") * F.lit(CHUNKS_PER_TASK_LOAD) / F.lit(max_rows))
-    width = (F.col("hot_high") - F.col("hot_low")) / steps
-    step = F.when(width > 0, F.least(F.floor((place - F.col("hot_low")) / width), steps - 1))
+    bounds = F.col("hot_bounds")
+    intervals = F.size(bounds) - F.lit(1)
+    steps = F.ceil(F.col("hot_n") * F.lit(CHUNKS_PER_TASK_LOAD) / F.lit(max_rows) / intervals)
+    passed = F.size(F.filter(bounds, lambda bound: bound <= place))
+    interval = F.greatest(F.least(passed, intervals), F.lit(1))
+    low, high = F.element_at(bounds, interval), F.element_at(bounds, interval + F.lit(1))
+    step = F.when(high > low, F.floor((place - low) / (high - low) * steps))
+    step = F.greatest(F.least(F.coalesce(step, F.lit(0)), steps - F.lit(1)), F.lit(0))
     chunk = (
         F.when(F.col("hot_n").isNull(), F.lit(0))
         .when(place.isNull(), F.lit(LAST_CHUNK))
-        .otherwise(F.coalesce(step, F.lit(0)))
+        .otherwise((interval - F.lit(1)) * steps + step)
         .cast("int")
     )
-    return hot.mark(df).withColumn(CHUNK, chunk).drop("hot_n", "hot_low", "hot_high"), True
+    return hot.mark(df).withColumn(CHUNK, chunk).drop("hot_n", "hot_bounds"), True
 
 
 def collapse_runs(

@@ -14,6 +14,7 @@ MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_ROWS_PER_KEY = 5_000_000
 MAX_LOCAL_KEYS = 20_000
+QUANTILES = 64
 
 
 def is_small(
@@ -77,21 +78,33 @@ def find_hot_keys(
 ) -> HotKeys | None:
     """Keys with more than ``max_rows`` rows, or None if there are none.
 
-    One aggregation over the key columns, combined map-side, so a hot key costs one row per task.
-    With ``position`` the smallest and largest value per hot key are kept as ``hot_low`` and
-    ``hot_high``. At most rows / ``max_rows`` keys can be hot; up to ``MAX_LOCAL_KEYS`` of them are
-    kept as a local table and broadcast, a longer list stays distributed.
+    One aggregation over the key columns, combined map-side, so a hot key costs one row per task. At
+    most rows / ``max_rows`` keys can be hot; up to ``MAX_LOCAL_KEYS`` of them are kept as a local
+    table and broadcast, a longer list stays distributed.
+
+    With ``position``, a number, ``hot_bounds`` tells how it spreads over the rows of a hot key: its
+    quantiles in a local table. They are estimates and could differ when computed again, so a
+    distributed list, which may be recomputed after a loss, has the exact smallest and largest value
+    instead.
     """
-    sizes = [F.count(F.lit(1)).alias("hot_n")]
-    if position is not None:
-        sizes += [F.min(position).alias("hot_low"), F.max(position).alias("hot_high")]
-    hot = df.groupBy(*keys).agg(*sizes).filter(F.col("hot_n") > max_rows)
-    rows = hot.take(MAX_LOCAL_KEYS + 1)
+
+    def hot_with(*figures: Column) -> DataFrame:
+        size = F.count(F.lit(1)).alias("hot_n")
+        return df.groupBy(*keys).agg(size, *figures).filter(F.col("hot_n") > max_rows)
+
+    if position is None:
+        local, distributed = hot_with(), hot_with()
+    else:
+        shares = [n / QUANTILES for n in range(QUANTILES + 1)]
+        local = hot_with(F.percentile_approx(position, shares).alias("hot_bounds"))
+        distributed = hot_with(F.array(F.min(position), F.max(position)).alias("hot_bounds"))
+    rows = local.take(MAX_LOCAL_KEYS + 1)
     if not rows:
         return None
-    if len(rows) <= MAX_LOCAL_KEYS:
-        hot = F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
-    return HotKeys(hot, tuple(keys), max_rows)
+    if len(rows) > MAX_LOCAL_KEYS:
+        return HotKeys(distributed, tuple(keys), max_rows)
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, local.schema))
+    return HotKeys(table, tuple(keys), max_rows)
 
 
 def rows_bound(

@@ -29,7 +29,7 @@ from tidemark.operators import (
 )
 from tidemark.plans.session import join_policy, shared_dir
 from tidemark.plans.skew import HotKeys, find_hot_keys, rows_bound
-from tidemark.sources.files import write_bucketed
+from tidemark.sources.files import read_csv, write_bucketed
 from tidemark.sources.kafka import EVENT_TIME_FORMAT, with_event_time
 from tidemark.sources.snapshots import fold_periods, read_snapshot, upsert_snapshot, write_snapshot
 from tidemark.sources.tables import Tables
@@ -298,6 +298,21 @@ def broadcast_lookup_join(t: Tables) -> DataFrame:
     return joins.broadcast_lookup(customers, names.filter("c_nationkey < 20"), "c_nationkey")
 
 
+@query
+def csv_lookup_join(t: Tables) -> DataFrame:
+    """The same join over two datasets that are kept as CSV files with a header."""
+    folder = shared_dir(t.spark, "csv")
+    names = t.raw("nation").select(
+        F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name")
+    )
+    customers = t.raw("customer").select("c_custkey", "c_nationkey", "c_name")
+    stored = {}
+    for name, df in {"customers": customers, "names": names}.items():
+        df.write.option("header", True).csv(f"{folder}/{name}")
+        stored[name] = read_csv(t.spark, f"{folder}/{name}", df.schema)
+    return joins.broadcast_lookup(stored["customers"], stored["names"], "c_nationkey")
+
+
 def _bucketed(t: Tables, hot: list[HotKeys | None]) -> dict[str, str]:
     """The match tables in 16 buckets, written to the shared folder under names of their own."""
     folder = shared_dir(t.spark, "bucketed")
@@ -544,26 +559,31 @@ def tumbling_counts(t: Tables) -> DataFrame:
     return _window_view(windows.tumbling_counts(t.web_events()))
 
 
+def _sessions(t: Tables, *keys: str, gap: str = "5 minutes") -> DataFrame:
+    """Keys are counted on the raw events, before their time is parsed."""
+    bound = rows_bound(t.events(), ["host"] if keys == ("host",) else ["user_id", "host"])
+    return windows.session_counts(t.web_events(), keys, gap, max_rows=bound)
+
+
 @query
 def session_counts(t: Tables) -> DataFrame:
-    return _window_view(windows.session_counts(t.web_events()))
+    return _window_view(_sessions(t, "ip", "host"))
 
 
 @query
 def host_session_counts(t: Tables) -> DataFrame:
-    return _window_view(windows.session_counts(t.web_events(), ["host"]))
+    return _window_view(_sessions(t, "host"))
 
 
 @query
 def average_session_by_ip_host(t: Tables) -> DataFrame:
-    sessions = windows.session_counts(t.web_events(), gap="6 hours")
+    sessions = _sessions(t, "ip", "host", gap="6 hours")
     return windows.average_session_size(sessions, ["ip", "host"], host_like="%i%")
 
 
 @query
 def average_session_by_host(t: Tables) -> DataFrame:
-    sessions = windows.session_counts(t.web_events(), gap="6 hours")
-    return windows.average_session_size(sessions, ["host"])
+    return windows.average_session_size(_sessions(t, "ip", "host", gap="6 hours"), ["host"])
 
 
 def _stream(t: Tables) -> DataFrame:
@@ -583,14 +603,21 @@ def _drain(t: Tables, counts: DataFrame) -> DataFrame:
     folder = shared_dir(t.spark, "stream")
     run = runs.append_to_files(counts, f"{folder}/out", f"{folder}/checkpoint", interval=None)
     run.awaitTermination()
-    return _window_view(t.spark.read.schema(counts.schema).parquet(f"{folder}/out"))
+    return t.spark.read.schema(counts.schema).parquet(f"{folder}/out")
 
 
 @query
 def streamed_tumbling_counts(t: Tables) -> DataFrame:
-    return _drain(t, windows.tumbling_counts(_stream(t)))
+    return _window_view(_drain(t, windows.tumbling_counts(_stream(t))))
 
 
 @query
 def streamed_session_counts(t: Tables) -> DataFrame:
-    return _drain(t, windows.session_counts(_stream(t), ["host"]))
+    return _window_view(_drain(t, windows.session_counts(_stream(t), ["host"])))
+
+
+@query
+def streamed_session_averages(t: Tables) -> DataFrame:
+    """Both stages: sessions streamed into a table, then averaged over it."""
+    sessions = _drain(t, windows.session_counts(_stream(t), gap="6 hours"))
+    return windows.average_session_size(sessions, ["host"])

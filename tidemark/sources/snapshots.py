@@ -15,9 +15,10 @@ def write_snapshot(df: DataFrame, path: str, period_column: str, rebalance: bool
 
     Dynamic partition overwrite is set on this very write: with the session default a rerun would
     delete the other periods, among them the one being read. ``rebalance`` gathers each period in
-    few files and lets AQE split a period that is large.
+    few files and lets AQE split a period that is large; without AQE rows are written as they come.
     """
-    df = df.hint("rebalance", F.col(period_column)) if rebalance else df
+    adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    df = df.hint("rebalance", F.col(period_column)) if rebalance and adaptive else df
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
