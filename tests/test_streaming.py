@@ -6,7 +6,8 @@ from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from tidemark.plans.session import shared_dir
-from tidemark.sources.kafka import kafka_options, parse_events, read_event_files
+from tidemark.sources.jdbc import read_jdbc, write_jdbc
+from tidemark.sources.kafka import kafka_options, parse_events, read_event_files, read_kafka
 from tidemark.streaming import runs, windows
 
 BASE = dt.datetime(2024, 1, 1)
@@ -134,6 +135,17 @@ def test_kafka_options():
     assert 'username="name" password="secret"' in secure["kafka.sasl.jaas.config"]
 
 
+def test_wrappers_reach_their_sources(spark):
+    """Neither package is here: what fails is the lookup of the source or driver, by its name."""
+    with pytest.raises(Exception, match="(?i)kafka"):
+        read_kafka(spark, kafka_options("host:1", "topic"))
+    options = {"url": "jdbc:none://nowhere/db", "dbtable": "t"}
+    with pytest.raises(Exception, match="(?i)driver"):
+        read_jdbc(spark, options)
+    with pytest.raises(Exception, match="(?i)driver"):
+        write_jdbc(spark.range(1), options)
+
+
 def test_shared_folder_for_checkpoints(spark):
     assert shared_dir(spark, "stream")
     assert "HashAggregate" in plan(windows.tumbling_counts(batch(spark, LINES)))

@@ -161,21 +161,31 @@ def entity_history(
     entity = periods.groupBy(*unit).agg(F.sort_array(F.collect_list(F.struct(*known))).alias("known"))
     if "page" not in unit:
         entity = entity.withColumn("page", F.lit(0))
-    start = F.col("known")[0]["period"]
-    if since is not None:
-        start = F.greatest(start, F.lit(since))
-    grid = entity.withColumn(table.snapshot_period, F.explode(F.sequence(start, F.lit(through))))
-    seen = F.filter("known", lambda x: x["period"] <= F.col(table.snapshot_period))
-    grid = grid.withColumn("seen", seen)
-    latest, head = F.element_at("seen", -1), F.col("page") == 0
+    # Items and tier change only in active periods: they are built once in each and repeated until
+    # the next one.
+    spans = entity.select(table.key, "page", "known", F.posexplode("known").alias("place", "latest"))
+    following = F.try_element_at("known", F.col("place") + F.lit(2))["period"]
+    until = F.coalesce(following - F.lit(1), F.lit(through))
+    active = F.col("latest.period")
+    start = active if since is None else F.greatest(active, F.lit(since))
+    head = F.col("page") == 0
     columns = {
-        table.tier: F.when(head, tier(latest["average"])),
-        table.active: F.when(head, latest["period"] == F.col(table.snapshot_period)),
+        table.tier: F.when(head, tier(F.col("latest.average"))),
+        "_active": active,
+        "_periods": F.sequence(start, until),
     }
     if with_items:
-        columns[table.label] = F.col("seen")[0]["label"]
-        columns[table.items] = F.flatten(F.transform("seen", lambda x: x["items"]))
-    wanted = [c for c in table.snapshot_columns if c in grid.columns or c in columns]
+        sofar = F.slice("known", F.lit(1), F.col("place") + F.lit(1))
+        columns[table.label] = F.col("known")[0]["label"]
+        columns[table.items] = F.flatten(F.transform(sofar, lambda x: x["items"]))
+    grid = (
+        spans.filter(start <= until)
+        .withColumns(columns)
+        .drop("known", "place", "latest")
+        .withColumn(table.snapshot_period, F.explode("_periods"))
+        .withColumn(table.active, F.when(head, F.col("_active") == F.col(table.snapshot_period)))
+    )
+    wanted = [c for c in table.snapshot_columns if c in grid.columns]
     if not with_items:
         wanted.remove("page")
-    return grid.withColumns(columns).select(*wanted)
+    return grid.select(*wanted)

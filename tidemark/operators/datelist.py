@@ -73,21 +73,28 @@ def datelist_history(
 ) -> DataFrame:
     """Date lists of every day up to ``through`` at once, from each key's first active day on.
 
-    ``first_day`` leaves out the snapshots of earlier days, not their dates.
+    ``first_day`` leaves out the snapshots of earlier days, not their dates. A list changes only on
+    active days, so it is built once per active day and repeated until the next one.
     """
     lists = (
         days.filter(F.col("date_active") <= F.lit(through))
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set("date_active"), asc=not newest_first).alias("all_dates"))
+        .agg(F.sort_array(F.collect_set("date_active")).alias("all_dates"))
     )
-    start = F.array_min("all_dates")
-    if first_day is not None:
-        start = F.greatest(start, F.lit(first_day))
-    grid = lists.filter(start <= F.lit(through)).withColumn(
-        "date", F.explode(F.sequence(start, F.lit(through)))
-    )
-    return grid.select(
-        *keys, F.filter("all_dates", lambda d: d <= F.col("date")).alias("dates_active"), "date"
+    spans = lists.select(*keys, "all_dates", F.posexplode("all_dates").alias("place", "since"))
+    following = F.try_element_at("all_dates", F.col("place") + F.lit(2))
+    until = F.coalesce(F.date_sub(following, 1), F.lit(through))
+    since = F.col("since") if first_day is None else F.greatest("since", F.lit(first_day))
+    sofar = F.slice("all_dates", F.lit(1), F.col("place") + F.lit(1))
+    return (
+        spans.select(
+            *keys,
+            (F.reverse(sofar) if newest_first else sofar).alias("dates_active"),
+            since.alias("since"),
+            until.alias("until"),
+        )
+        .filter(F.col("since") <= F.col("until"))
+        .select(*keys, "dates_active", F.explode(F.sequence("since", "until")).alias("date"))
     )
 
 
