@@ -16,7 +16,7 @@ def skewed(spark):
 
 
 def test_hot_keys_include_null(skewed):
-    hot = skew.find_hot_keys(skewed, ["k"], 200, F.col("at"))
+    hot = skew.find_hot_keys(skewed, ["k"], 200)
     assert [(r.k, r.hot_n) for r in hot.table.collect()] == [(None, 300)]
     assert skew.find_hot_keys(skewed, ["k"], 300) is None
     marked = hot.mark(skewed)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.skew import MAX_ROWS_PER_KEY, find_hot_keys
+from tidemark.plans.skew import MAX_ROWS_PER_KEY, QUANTILES, find_hot_keys
 
 CHUNK = "_chunk"
 CHUNKS_PER_TASK_LOAD = 4  # finer than the row bound asks for, since order values are never even
@@ -52,25 +52,40 @@ def cut_hot_keys(
     ``rows_bound`` found out or the key of the table implies.
     """
     # The common case is decided by the key columns alone; only hot keys need the range of the order.
-    if max_rows is None or find_hot_keys(df, keys, max_rows) is None:
+    hot = None if max_rows is None else find_hot_keys(df, keys, max_rows)
+    if hot is None:
         return df.withColumn(CHUNK, F.lit(0)), False
     place = position_of(df, order[0])
-    hot = find_hot_keys(df, keys, max_rows, place)
-    bounds = F.col("hot_bounds")
-    intervals = F.size(bounds) - F.lit(1)
+    rows = hot.with_bounds(df, place).mark(df).withColumn("_interval", F.lit(1))
+    # Binary search for the last bound not above the place. One column per step, so that no step is
+    # computed twice; missing bounds never match.
+    width = QUANTILES // 2
+    while width:
+        ahead = F.col("_interval") + F.lit(width)
+        passed = F.try_element_at("hot_bounds", ahead) <= place
+        rows = rows.withColumn(
+            "_interval", F.when(passed, ahead).otherwise(F.col("_interval"))
+        )
+        width //= 2
+    intervals = F.size("hot_bounds") - F.lit(1)
     steps = F.ceil(F.col("hot_n") * F.lit(CHUNKS_PER_TASK_LOAD) / F.lit(max_rows) / intervals)
-    passed = F.size(F.filter(bounds, lambda bound: bound <= place))
-    interval = F.greatest(F.least(passed, intervals), F.lit(1))
-    low, high = F.element_at(bounds, interval), F.element_at(bounds, interval + F.lit(1))
+    rows = rows.withColumn("_interval", F.least(F.col("_interval"), intervals)).withColumns(
+        {
+            "_low": F.try_element_at("hot_bounds", F.col("_interval")),
+            "_high": F.try_element_at("hot_bounds", F.col("_interval") + F.lit(1)),
+            "_steps": steps,
+        }
+    )
+    low, high, steps = F.col("_low"), F.col("_high"), F.col("_steps")
     step = F.when(high > low, F.floor((place - low) / (high - low) * steps))
     step = F.greatest(F.least(F.coalesce(step, F.lit(0)), steps - F.lit(1)), F.lit(0))
     chunk = (
         F.when(F.col("hot_n").isNull(), F.lit(0))
         .when(place.isNull(), F.lit(LAST_CHUNK))
-        .otherwise((interval - F.lit(1)) * steps + step)
+        .otherwise((F.col("_interval") - F.lit(1)) * steps + step)
         .cast("int")
     )
-    return hot.mark(df).withColumn(CHUNK, chunk).drop("hot_n", "hot_bounds"), True
+    return rows.withColumn(CHUNK, chunk).select(*df.columns, CHUNK), True
 
 
 def collapse_runs(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,8 @@ MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_ROWS_PER_KEY = 5_000_000
 MAX_LOCAL_KEYS = 20_000
-QUANTILES = 64
+QUANTILES = 64  # a power of two
+QUANTILE_ACCURACY = 1000
 
 
 def is_small(
@@ -54,6 +55,7 @@ class HotKeys:
     table: DataFrame
     keys: tuple[str, ...]
     max_rows: int
+    local: bool
 
     def mark(self, df: DataFrame, into: str = "hot_n") -> DataFrame:
         """Left join on the keys, NULL keys included; the hot columns are NULL for other keys."""
@@ -69,42 +71,47 @@ class HotKeys:
         """Into how many parts the rows of a key are to be split; 1 for keys that are not hot."""
         return F.ceil(F.coalesce(F.col(count), F.lit(1)) / F.lit(self.max_rows)).cast("int")
 
+    def with_bounds(self, df: DataFrame, position: Column) -> HotKeys:
+        """Add ``hot_bounds``: how the number ``position`` spreads over the rows of each hot key.
+
+        For a local list these are quantiles. They are estimates and could differ when computed
+        again, so a distributed list, which may be recomputed after a loss, gets the exact smallest
+        and largest value instead. Only rows of hot keys are looked at.
+        """
+        if self.local:
+            shares = [n / QUANTILES for n in range(QUANTILES + 1)]
+            bounds = F.percentile_approx(position, shares, QUANTILE_ACCURACY)
+        else:
+            bounds = F.array(F.min(position), F.max(position))
+        rows = self.mark(df).filter("hot_n IS NOT NULL")
+        figures = [F.count(F.lit(1)).alias("hot_n"), bounds.alias("hot_bounds")]
+        table = rows.groupBy(*self.keys).agg(*figures)
+        return replace(self, table=_keep_local(table) if self.local else table)
+
+
+def _keep_local(table: DataFrame) -> DataFrame:
+    """At most ``MAX_LOCAL_KEYS`` rows, by way of the driver, so that later plans see them fixed."""
+    return F.broadcast(table.sparkSession.createDataFrame(table.collect(), table.schema))
+
 
 def find_hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    max_rows: int = MAX_ROWS_PER_KEY,
-    position: Column | None = None,
+    df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_KEY
 ) -> HotKeys | None:
     """Keys with more than ``max_rows`` rows, or None if there are none.
 
     One aggregation over the key columns, combined map-side, so a hot key costs one row per task. At
     most rows / ``max_rows`` keys can be hot; up to ``MAX_LOCAL_KEYS`` of them are kept as a local
     table and broadcast, a longer list stays distributed.
-
-    With ``position``, a number, ``hot_bounds`` tells how it spreads over the rows of a hot key: its
-    quantiles in a local table. They are estimates and could differ when computed again, so a
-    distributed list, which may be recomputed after a loss, has the exact smallest and largest value
-    instead.
     """
-
-    def hot_with(*figures: Column) -> DataFrame:
-        size = F.count(F.lit(1)).alias("hot_n")
-        return df.groupBy(*keys).agg(size, *figures).filter(F.col("hot_n") > max_rows)
-
-    if position is None:
-        local, distributed = hot_with(), hot_with()
-    else:
-        shares = [n / QUANTILES for n in range(QUANTILES + 1)]
-        local = hot_with(F.percentile_approx(position, shares).alias("hot_bounds"))
-        distributed = hot_with(F.array(F.min(position), F.max(position)).alias("hot_bounds"))
-    rows = local.take(MAX_LOCAL_KEYS + 1)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n"))
+    hot = counts.filter(F.col("hot_n") > max_rows)
+    rows = hot.take(MAX_LOCAL_KEYS + 1)
     if not rows:
         return None
-    if len(rows) > MAX_LOCAL_KEYS:
-        return HotKeys(distributed, tuple(keys), max_rows)
-    table = F.broadcast(df.sparkSession.createDataFrame(rows, local.schema))
-    return HotKeys(table, tuple(keys), max_rows)
+    local = len(rows) <= MAX_LOCAL_KEYS
+    if local:
+        hot = F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
+    return HotKeys(hot, tuple(keys), max_rows, local)
 
 
 def rows_bound(
