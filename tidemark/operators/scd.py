@@ -24,8 +24,8 @@ def scd2_backfill(
     """All intervals from a snapshot table that holds one row per (key, period).
 
     A key has at most as many rows as there are periods; ``max_rows`` cuts keys for which that is
-    too many for one task. Only periods up to ``as_of`` are read. Attributes are compared null-safe: a change to or from
-    NULL starts an interval, NULL after NULL does not.
+    too many for one task. Only periods up to ``as_of`` are read. Attributes are compared null-safe:
+    a change to or from NULL starts an interval, NULL after NULL does not.
     """
 
     def changed(before, now) -> Column:
