@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import column, schema_of
 from tidemark.llm.langid import held_out
 
-SAMPLE = 8000  # labelled documents that the model is fitted on, at most
+SAMPLE = 4000  # labelled documents that the model is fitted on, at most
 SAMPLE_CHARS = 20_000  # longer documents are not fitted on, so the sample is bounded; all are scored
 FEATURES = 20_000  # words and stems of the model, at most
 LEAST_DOCS = 3  # documents of the sample that a feature occurs in, at least
