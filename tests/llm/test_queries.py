@@ -262,3 +262,20 @@ def test_pipeline(spark):
 def test_same_again(spark, name):
     first, second = ([tuple(r) for r in QUERIES[name](spark, FOLDER).collect()] for _ in range(2))
     assert sorted(map(repr, first)) == sorted(map(repr, second))
+
+
+def test_near_copies(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = {d["doc_id"]: d["text"] or "" for d in stored("documents", folder)}
+    shingles = {}
+    for d, text in docs.items():
+        words = text.encode().lower().split()
+        shingles[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    alike = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, frame, folder).collect()}
+    for d in set(docs) - kept:
+        assert any(alike(d, k) for k in kept)
+    pairs = [p for p in combinations(sorted(docs), 2) if alike(*p)]
+    left = [p for p in pairs if set(p) <= kept]
+    assert pairs and len(left) <= 0.05 * len(pairs)

@@ -10,16 +10,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import arrow_rows, column, lists, schema_of, staged
 from tidemark.llm.components import components
-from pyspark.sql import types as T
 
 SEED = 42
 WORDS = 3
 RADIUS = 2
 TILE = 2048  # fingerprints of a tile: 16 KB
-QUARTERS = 4  # parts of 16 bits, whose population counts name the cell of a fingerprint
+WIDE_RADIUS = 10  # of the search whose links are checked on the texts
+CHECKED_WORDS = 5  # shingles of that check, and how similar their sets have to be
+SIMILARITY = 0.8
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 CHUNK = 1 << 16
 ROWS_AT_ONCE = 64
@@ -57,6 +59,11 @@ def with_fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -
     return docs.mapInArrow(run, schema_of(docs, _fp=T.LongType()))
 
 
+def _parts(radius: int) -> int:
+    """In how many parts the bits of a fingerprint are counted: with more, more cells are in reach, and smaller ones."""
+    return 4 if radius <= 2 else 1
+
+
 def _offsets(radius: int) -> list[int]:
     """Differences of cell numbers between cells that can hold fingerprints within the radius.
 
@@ -64,8 +71,8 @@ def _offsets(radius: int) -> list[int]:
     ``radius`` in total. One of each pair of opposite differences, and zero.
     """
     steps = range(-radius, radius + 1)
-    near = [d for d in product(steps, repeat=QUARTERS) if sum(map(abs, d)) <= radius]
-    codes = [sum(x << (6 * i) for i, x in enumerate(d)) for d in near]
+    near = [d for d in product(steps, repeat=_parts(radius)) if sum(map(abs, d)) <= radius]
+    codes = [sum(x << (7 * i) for i, x in enumerate(d)) for d in near]
     return sorted(c for c in codes if c >= 0)
 
 
@@ -109,17 +116,18 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     """Stored links (a, b) that span every group of fingerprints connected within ``radius`` bits.
 
     ``prints`` has one row per fingerprint, ``_fp``. Tiles hold fingerprints of one cell, that is,
-    with the same population counts of their four quarters; a cell of many fingerprints has many
-    tiles. A tile meets only the tiles of cells whose counts differ by at most the radius in total;
+    with the same population counts, of their four quarters if the radius is small; a cell of many
+    fingerprints has many tiles. A tile meets only the tiles of cells whose counts differ by at most the radius in total;
     all other tile pairs are skipped, and exactly, since each differing bit moves one count by one.
     Every pair of tiles is a row of a join on the cell, compared by exclusive-or and bit counts.
     """
     spark = prints.sparkSession
-    counts = [
-        F.bit_count(F.shiftrightunsigned("_fp", 16 * i).bitwiseAND(F.lit(0xFFFF))).cast("int")
-        for i in range(QUARTERS)
-    ]
-    cell = sum((F.shiftleft(c + F.lit(16), 6 * i) for i, c in enumerate(counts[1:], 1)), counts[0] + F.lit(16))
+    parts = _parts(radius)
+    mask = F.lit((1 << (64 // parts)) - 1 if parts > 1 else -1).cast("long")
+    cell = F.lit(0)
+    for i in range(parts):
+        ones = F.bit_count(F.shiftrightunsigned("_fp", 64 // parts * i).bitwiseAND(mask)).cast("int")
+        cell = cell + F.shiftleft(ones + F.lit(radius), 7 * i)
     placed = prints.select("_fp", cell.cast("int").alias("cell"))
     # At most 17 ** 4 cells, so this table is of bounded size.
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
@@ -195,21 +203,65 @@ def simhash_components(
     )
 
 
+def similar(a: str, b: str, words: int, similarity: float) -> bool:
+    """Whether the sets of shingles have a Jaccard similarity of at least ``similarity``."""
+    if a == b:
+        return True
+    sets = []
+    for text in (a, b):
+        tokens = text.encode().translate(LOWER).split()
+        sets.append({tuple(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set())
+    both = len(sets[0] & sets[1])
+    return both >= similarity * (len(sets[0]) + len(sets[1]) - both)
+
+
 def keep_one(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     words: int = WORDS,
-    radius: int = RADIUS,
+    radius: int = WIDE_RADIUS,
+    checked_words: int = CHECKED_WORDS,
+    similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest key.
+    """The rows of ``docs`` without near copies: no row goes unless it is similar to one that stays.
 
-    Of repeated rows with that key one stays, the first as stored. Rows without words form a component.
-    All columns are kept as they are.
+    Fingerprints within a wide radius only suggest copies. Of every group that they connect, the row with
+    the smallest key stays, and its text is compared with each other one by the sets of their shingles of ``checked_words``
+    words. Similar ones go, the others form groups anew without it, until there are no groups. So each
+    group makes as many comparisons as it has rows, not pairs.
+
+    Of rows with the same key and similar texts the first as stored stays. Rows without words are similar to
+    each other only. NULL keys come last. All columns are kept as they are.
     """
     marked = docs.withColumn("_row", F.monotonically_increasing_id())
     rows = staged(with_fingerprints(marked, text, words), "marked")
     order = F.struct(column(key).isNull().alias("none"), column(key).alias("key"), F.col("_row").alias("row"))
-    found = classes(rows.select("_fp", order.alias("_order")), "_order", radius)
-    first = found.select(F.col("least.row").alias("_row")).distinct()
-    return rows.join(first, "_row", "left_semi").select(*(column(c) for c in docs.columns))
+    values = rows.select("_row", F.coalesce(column(text), F.lit("")).alias("text"))
+    waiting = rows.select("_row", "_fp", order.alias("_order"))
+    gone = None
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("text").to_pylist(), batch.column("first_text").to_pylist(), strict=True)
+            found = [similar(a, b, checked_words, similarity) for a, b in pairs]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), pa.array(found, pa.bool_())], names=["_row", "similar"]
+            )
+
+    while True:
+        found = classes(waiting, "_order", radius)
+        pairs = staged(
+            waiting.join(found, "_fp").select("_row", "_fp", "_order", F.col("least.row").alias("first")).filter("_row <> first"),
+            "pairs",
+        )
+        if pairs.isEmpty():
+            break
+        firsts = values.withColumnsRenamed({"_row": "first", "text": "first_text"})
+        texts = pairs.select("_row", "first").join(values, "_row").join(firsts, "first")
+        checked = staged(texts.select("_row", "text", "first_text").mapInArrow(compare, "_row long, similar boolean"), "checked")
+        removed = checked.filter("similar").select("_row")
+        gone = removed if gone is None else gone.union(removed)
+        waiting = staged(pairs.join(checked.filter("NOT similar"), "_row").select("_row", "_fp", "_order"), "waiting")
+    kept = rows if gone is None else rows.join(gone, "_row", "left_anti")
+    return kept.select(*(column(c) for c in docs.columns))
