@@ -23,6 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm import files
 from tidemark.llm.common import column, staged
@@ -200,8 +201,6 @@ def write_tokens(
         before.append((row["task"], at))
         at += row["ids"]
     earlier = spark.createDataFrame(before, "task int, task_before long")
-    from pyspark.sql.window import Window
-
     own = Window.partitionBy("task").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     return (
         listed.join(F.broadcast(earlier), "task")
@@ -231,7 +230,7 @@ def read_tokens(spark: SparkSession, listed: DataFrame, dictionary: bytes) -> Da
                         keys, starts, ids, size = [], [], [], 0
                 yield _batch(keys, starts, ids)
 
-    return listed.select("address", "before").repartition("address").mapInArrow(
+    return listed.select("address", "before").repartition(max(1, listed.count())).mapInArrow(
         run, "doc_id long, start long, ids binary"
     )
 

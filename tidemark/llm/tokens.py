@@ -2,82 +2,116 @@
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import tokenizers
 
-DOUBLE_BLANK = re.compile(r"\s\s")
-AFTER_SIGN = re.compile(r"[\W_][.,]")
-REMEMBERED = 600_000  # pieces whose ids a worker remembers, twice that with the generation before
-GROUP = 100_000  # code points of the texts that are looked up together
+from tidemark.llm.rolling import MIX, POWERS
+
+REMEMBERED = 500_000  # pieces whose ids a worker remembers, twice that with the generation before
+GROUP = 400_000  # code points of the texts that are looked up together
+BLANK, SIGN, LETTER = 1, 2, 4
+
+
+@lru_cache(maxsize=1)
+def _points() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of every code point, and a random number for it."""
+    signs = [chr(i) for i in range(0x110000)]
+    kind = np.fromiter((BLANK * c.isspace() + LETTER * c.isalnum() for c in signs), np.uint8, len(signs))
+    kind[[ord("."), ord(",")]] += SIGN
+    value = (np.arange(len(signs), dtype=np.uint64) + np.uint64(1)) * MIX
+    value ^= value >> np.uint64(29)
+    return kind, value * np.uint64(0x94D049BB133111EB)
 
 
 class Encoder:
     """Encodes texts with a tokenizer file; ids come as little-endian unsigned 32-bit integers.
 
-    A single blank or line feed between two other characters always starts a new piece of a byte-level
-    or word tokenizer, and no piece goes over it. So the text is cut before each of them, and every
-    distinct piece is encoded by the tokenizer once. The same holds before a dot or comma that follows
-    a letter or digit; texts with other ones are cut at blanks only. Texts with two blank characters in a row, where
-    pieces do go over blanks, are encoded whole. Strings of special tokens are ordinary text.
+    A blank or line feed between two other characters always starts a new piece of a byte-level or
+    word tokenizer, and no piece goes over it. The same holds for a dot or comma after a letter or
+    digit. So texts are cut before each of these, and every distinct piece, told by a 64-bit hash and
+    its length, is encoded by the tokenizer once. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
     def _encode(self, values: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(values, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of at least these pieces; pieces not seen since the last change of generation go."""
-        known = self.known
-        missing = [p for p in pieces if p not in known]
+    def _ids(self, keys: list[int], text: str, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
+        """Ids of pieces, by their keys. Those not used since the last change of generation go."""
+        known, older = self.known, self.older
+        found = [known.get(k) for k in keys]
+        missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                self.older, self.known = known, {p: known[p] for p in pieces if p in known}
-                known = self.known
-            older = self.older
             fresh = []
-            for p in missing:
-                ids = older.get(p)
+            for i in missing:
+                ids = found[i] = older.get(keys[i])
                 if ids is None:
-                    fresh.append(p)
-                else:
-                    known[p] = ids
-            known.update(zip(fresh, self._encode(fresh), strict=True))
-        return known
+                    fresh.append(i)
+            for i, ids in zip(fresh, self._encode([text[starts[i] : stops[i]] for i in fresh]), strict=True):
+                found[i] = ids
+            if len(known) + len(missing) > REMEMBERED:
+                self.older, self.known = known, {}
+            self.known.update((keys[i], found[i]) for i in missing)
+        return found
 
     def many(self, values: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text, in order; texts are looked up in small groups."""
-        group: list[list[str] | str] = []
+        """Ids of each text, in order; texts are looked up in groups."""
+        group: list[str] = []
         size = 0
         for value in values:
-            text = value or ""
-            size += len(text)
-            if "\0" in text or DOUBLE_BLANK.search(text):
-                group.append(text)
-            else:
-                cut = text.replace(" ", "\0 ").replace("\n", "\0\n")
-                if text[:1] not in (".", ",") and not AFTER_SIGN.search(text):
-                    cut = cut.replace(".", "\0.").replace(",", "\0,")
-                group.append(cut.split("\0"))
+            group.append(value or "")
+            size += len(group[-1])
             if size > GROUP:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[list[str] | str]) -> list[bytes]:
-        known = self._learn(set().union(*(g for g in group if isinstance(g, list))))
-        return [
-            self._encode([g])[0] if isinstance(g, str) else b"".join(map(known.__getitem__, g)) for g in group
-        ]
+    def _group(self, group: list[str]) -> Iterator[bytes]:
+        text = "".join(group)
+        if not text:
+            yield from (b"" for _ in group)
+            return
+        kind_of, value_of = _points()
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = kind_of[points]
+        blank, letter = (kind & BLANK) > 0, (kind & LETTER) > 0
+        cut = np.zeros(len(points), bool)
+        cut[1:] = ((kind[1:] & SIGN) > 0) & letter[:-1]
+        plain = (points == 32) | (points == 10)
+        cut[1:-1] |= plain[1:-1] & ~blank[:-2] & ~blank[2:]
+        ends = np.cumsum([len(t) for t in group])
+        begins = np.r_[0, ends[:-1]]
+        cut[begins[begins < len(points)]] = True
+        # A blank at the start of a text has no character before it; one at its end is no cut.
+        last = ends[ends > begins] - 1
+        cut[last[plain[last]]] = np.isin(last[plain[last]], begins)
+        starts = np.flatnonzero(cut)
+        stops = np.r_[starts[1:], len(points)]
+        up, down = POWERS.get(len(points) + 1)
+        running = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(value_of[points] * up[: len(points)], out=running[1:])
+        keys = (running[stops] - running[starts]) * down[starts] + (stops - starts).astype(np.uint64)
+        keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        found = self._ids(keys.tolist(), text, starts[first], stops[first])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        offsets = np.cumsum(sizes) - sizes
+        counts = sizes[place]
+        upto = np.cumsum(counts)
+        ids = flat[np.repeat(offsets[place] - upto + counts, counts) + np.arange(upto[-1])]
+        bounds = np.r_[0, upto][np.searchsorted(starts, np.r_[begins, len(points)])]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield ids[a:b].tobytes()
 
 
 @lru_cache(maxsize=4)

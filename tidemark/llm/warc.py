@@ -203,7 +203,7 @@ def read_warc(spark: SparkSession, archives: DataFrame) -> DataFrame:
                             rows, size = [], 0
                 yield result(rows)
 
-    return archives.select("address").repartition("address").mapInArrow(run, kind)
+    return archives.select("address").repartition(max(1, archives.count())).mapInArrow(run, kind)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
