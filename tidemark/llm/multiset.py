@@ -79,13 +79,13 @@ def lanes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 def _centred(values: Column) -> Column:
     """Lanes modulo the power, as numbers from minus a half of it up to the other half."""
     half = SIGNED_MODULUS // 2
-    return F.transform(values, lambda v: F.pmod(v + half, F.lit(SIGNED_MODULUS)) - half)
+    return F.transform(values, lambda v: (F.pmod(v + half, F.lit(SIGNED_MODULUS)) - half).cast("short"))
 
 
 def combine(left: tuple[Column, Column], right: tuple[Column, Column], sign: int = 1) -> tuple[Column, Column]:
     """Lanes (exact, signed) of two multisets taken together, or with ``sign`` -1 of the first without the second."""
     exact = F.zip_with(left[0], right[0], lambda a, b: F.pmod(a + sign * b, F.lit(EXACT_MODULUS)))
-    signed = _centred(F.zip_with(left[1], right[1], lambda a, b: a + sign * b))
+    signed = _centred(F.zip_with(left[1], right[1], lambda a, b: a.cast("long") + sign * b.cast("long")))
     return exact, signed
 
 
@@ -97,7 +97,7 @@ def as_text(exact: Column, signed: Column) -> Column:
         for i in range(0, size, per):
             packed = F.lit(0).cast("long")
             for j in range(per):
-                lane = F.get(values, F.lit(i + j)).bitwiseAND(F.lit((1 << (4 * width)) - 1))
+                lane = F.get(values, F.lit(i + j)).cast("long").bitwiseAND(F.lit((1 << (4 * width)) - 1))
                 packed = packed.bitwiseOR(F.shiftleft(lane, 4 * width * (per - 1 - j)))
             parts.append(F.lpad(F.hex(packed), 16, "0"))
         return parts
@@ -154,7 +154,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     The edited text: the last floor(n / 2) of n code points give way to the first as many, or all, of
     the next text in ascending order of the key, after the last row the first. Rows (doc_id,
-    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id, next_n_chars).
 
     ``docs`` must be a stored table, read the same way each time. Text NULL is the empty text. Rows with a NULL key
     come first; repeated keys keep the stored order. Every row is a document of its own.
@@ -164,33 +164,39 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.coalesce(column(text), F.lit("")).alias("text"),
     ).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    order = rows.select("doc_id", "uid", half.alias("half"))
-    next_to = successors(order, ["doc_id", "uid"], "uid")
+    next_to = successors(rows.select("doc_id", "uid"), ["doc_id", "uid"], "uid")
     own = staged(lanes(rows.select("uid", "text"), ["uid"], "text"), "lanes")
-    halves = order.select("uid", "half").join(next_to, "uid")
-    # Of the next text only the part that is used travels on to the document before it.
-    borrowed = (
-        rows.select(F.col("uid").alias("next_uid"), "text").join(halves, "next_uid")
-        .select("uid", "next_uid", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("tail"))
+    # The texts are shuffled by their number once; both sides of the join below read that shuffle. Then only the
+    # part of a text that stays travels on, to the next text.
+    moved = rows.repartition("uid")
+    heads = moved.join(next_to, "uid").select(
+        "uid", "next_uid", "doc_id", "n_chars", half.alias("half"),
+        F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")).alias("head"),
     )
-    kept = rows.select(
-        "uid", "doc_id", "n_chars", F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")).alias("head")
+    nexts = moved.select(
+        F.col("uid").alias("next_uid"), F.col("doc_id").alias("next_doc_id"), F.col("n_chars").alias("next_n_chars"),
+        F.col("text").alias("next_text"),
     )
     edited = (
-        kept.join(borrowed, "uid").select("uid", "next_uid", "doc_id", "n_chars", F.concat("head", "tail").alias("edited"))
+        heads.join(nexts, "next_uid")
+        .select(
+            "uid", "next_uid", "doc_id", "n_chars", "next_doc_id", "next_n_chars",
+            F.concat("head", F.substring(F.col("next_text"), F.lit(1), F.col("half"))).alias("edited"),
+        )
         .withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     )
-    new = lanes(edited, ["uid", "next_uid", "doc_id", "n_chars", "edited_sha256"], "edited")
+    kept = ["uid", "next_uid", "doc_id", "n_chars", "next_doc_id", "next_n_chars", "edited_sha256"]
+    new = lanes(edited, kept, "edited")
     a, b, c = ((F.col(f"{p}exact"), F.col(f"{p}signed")) for p in ("own_", "new_", "next_"))
 
     def named(df: DataFrame, prefix: str) -> DataFrame:
         return df.withColumnsRenamed({"exact": f"{prefix}exact", "signed": f"{prefix}signed"})
 
     joined = (
-        named(new, "new_").join(named(own, "own_"), "uid")
-        .join(named(own, "next_").withColumnRenamed("uid", "next_uid"), "next_uid")
+        named(new, "new_").join(named(own, "next_").withColumnRenamed("uid", "next_uid"), "next_uid")
+        .join(named(own, "own_"), "uid")
     )
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", as_text(*a).alias("fingerprint"), as_text(*b).alias("edited_fingerprint"),
-        likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"),
+        likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"), "next_doc_id", "next_n_chars",
     )
