@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import column, staged
+from tidemark.llm.common import arrow_rows, column, staged
 from tidemark.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -176,12 +176,13 @@ def pack(
                 names=["doc_id", "start", "length", "ids", "doc_tokens", "task", "place"],
             )
 
-    pieces = staged(
-        rows.mapInArrow(
-            cut, f"doc_id {key_kind}, start long, length long, ids binary, doc_tokens long, task int, place long"
-        ),
-        "pieces",
-    )
+    with arrow_rows(docs.sparkSession, 2000):
+        pieces = staged(
+            rows.mapInArrow(
+                cut, f"doc_id {key_kind}, start long, length long, ids binary, doc_tokens long, task int, place long"
+            ),
+            "pieces",
+        )
     # One row for each task and length; the sums run over the tasks of one length.
     per_task = staged(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "histogram")
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

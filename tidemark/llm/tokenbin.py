@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import files
-from tidemark.llm.common import column, staged
+from tidemark.llm.common import arrow_rows, column, staged
 from tidemark.llm.tokens import encoder
 from tidemark.plans.session import shared_dir
 
@@ -188,12 +188,13 @@ def write_tokens(
         )
 
     # The range bounds come from the keys alone; nothing is encoded for them.
-    listed = staged(
-        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(
-            write, "address string, task int, number int, documents long, ids long, bytes long"
-        ),
-        "files",
-    )
+    with arrow_rows(spark, 2000):
+        listed = staged(
+            rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(
+                write, "address string, task int, number int, documents long, ids long, bytes long"
+            ),
+            "files",
+        )
     # A line per file of up to FILE_BYTES; the driver adds up one number for each task.
     sums = listed.groupBy("task").agg(F.sum("ids").alias("ids")).orderBy("task").collect()
     before, at = [], 0
