@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import column
+from tidemark.llm.common import column, staged
 
 LEVELS = ("domain", "lang", "source")
 MAX_LEAVES = 100_000  # leaves are budgeted on the driver; more are refused
@@ -95,7 +95,8 @@ def budgets(
 
 def count_tokens(text: Column) -> Column:
     """Words of a text; 0 for NULL or blank ones."""
-    return F.when(text.rlike(r"\S"), F.size(F.split(text, PIECES)) - F.when(text.rlike(r"\S\s+$"), 1).otherwise(0)).otherwise(0).cast("long")
+    blanks = F.when(text.rlike(r"^\s"), 1).otherwise(0) + F.when(text.rlike(r"\s$"), 1).otherwise(0)
+    return F.when(text.rlike(r"\S"), F.size(F.split(text, r"\s+")) - blanks).otherwise(0).cast("long")
 
 
 def mix(
@@ -110,6 +111,7 @@ def mix(
     lang: str = "lang",
     source: str = "source",
     default: float = 1.0,
+    with_text: bool = True,
 ) -> DataFrame:
     """``docs`` with the selection: ``_domain``, ``_epoch``, ``_tokens`` and ``_take``, a row per document and epoch.
 
@@ -119,18 +121,21 @@ def mix(
     tokens of the document belong to it: fewer than ``_tokens`` for the last document of a leaf only.
 
     NULL domain, language or source is a leaf name like any other. Documents without tokens belong to no
-    prefix and are left out. Repeated keys are ordered by their texts; repeated rows are alike, so which
-    of them comes last makes no difference. An empty table gives no rows.
+    prefix and are left out. Repeated keys are ordered by a hash of their texts; repeated rows are alike, so which
+    of them comes last makes no difference. An empty table gives no rows. Tokens are counted once, and stored
+    with the columns of ``docs``; ``with_text`` False leaves out the text.
 
     Counts are aggregated before the shuffle. Whole epochs need no order. In the last one the
     documents fall into ``BUCKETS`` parts by the leading bits of the hash; sums per part find the
     one in which the prefix ends, and only the documents of that part are sorted.
     """
     spark = docs.sparkSession
-    marked = docs.select(
-        "*", F.coalesce(domain.cast("string"), F.lit(None)).alias("_domain"),
-        count_tokens(column(text)).alias("_tokens"),
-    ).filter("_tokens > 0")
+    held = [column(c) for c in docs.columns if with_text or c != text]
+    counted = docs.select(
+        *held, domain.cast("string").alias("_domain"), count_tokens(column(text)).alias("_tokens"),
+        F.xxhash64(column(text)).alias("_tie"),
+    )
+    marked = staged(counted.filter("_tokens > 0"), "counted")
     names = [F.col("_domain"), column(lang), column(source)]
     leaf = [n.alias(f"_level{i}") for i, n in enumerate(names)]
     sums = marked.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens")).limit(MAX_LEAVES + 1).collect()
@@ -170,7 +175,7 @@ def mix(
     columns = [*(column(c) for c in marked.columns), F.col("_whole").cast("int").alias("_epoch")]
     inside = placed.filter("_bucket < _end").select(*columns, F.col("_tokens").alias("_take"))
     by_leaf = Window.partitionBy(*names).orderBy(
-        F.shiftleft("_order", 0), column(key), column(text)
+        "_order", column(key), "_tie"
     ).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("_rest") - F.col("_before") - F.coalesce(F.sum("_tokens").over(by_leaf), F.lit(0))
     border = (

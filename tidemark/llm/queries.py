@@ -49,7 +49,7 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = mixing.mix(docs, MIX_SHARE, WEIGHTS, domain_of(), MIX_EPOCHS, MIX_SEED)
+    found = mixing.mix(docs, MIX_SHARE, WEIGHTS, domain_of(), MIX_EPOCHS, MIX_SEED, with_text=False)
     return found.select(
         "doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"),
         F.col("_tokens").alias("n_tokens"), F.col("_take").cast("long").alias("take_tokens"),

@@ -112,8 +112,38 @@ def tile_links(
     return left, right
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Stored links (a, b) that span every group of fingerprints connected within ``radius`` bits.
+def closest_links(
+    tiles_a: list[np.ndarray], tiles_b: list[np.ndarray], same: list[bool], radius: int
+) -> tuple[list[int], list[int]]:
+    """Links of every fingerprint of a tile pair with the closest one of the other tile, if within the radius."""
+    left: list[int] = []
+    right: list[int] = []
+    for a, b, own in zip(tiles_a, tiles_b, same, strict=True):
+        u, v = a.view(np.uint64), b.view(np.uint64)
+        best = np.full(len(b), 65, np.uint8)
+        who = np.zeros(len(b), np.int64)
+        for at in range(0, len(u), ROWS_AT_ONCE):
+            differ = np.bitwise_count(u[at : at + ROWS_AT_ONCE, None] ^ v[None, :])
+            if own:
+                step = np.arange(len(differ))
+                differ[step, at + step] = 65
+            rows = np.flatnonzero(differ.min(axis=1, initial=65) <= radius)
+            if len(rows):
+                left.extend(a[at + rows].tolist())
+                right.extend(b[differ[rows].argmin(axis=1)].tolist())
+                if not own:
+                    least = differ[rows].argmin(axis=0)
+                    value = differ[rows[least], np.arange(len(v))]
+                    better = value < best
+                    best[better], who[better] = value[better], (at + rows[least])[better]
+        found = np.flatnonzero(best <= radius)
+        left.extend(b[found].tolist())
+        right.extend(a[who[found]].tolist())
+    return left, right
+
+
+def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, links=tile_links) -> DataFrame:
+    """Stored links (a, b) within ``radius`` bits: by default some that connect whatever all of them connect.
 
     ``prints`` has one row per fingerprint, ``_fp``. Tiles hold fingerprints of one cell, that is,
     with the same population counts, of their four quarters if the radius is small; a cell of many
@@ -152,7 +182,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = tile_links(
+            left, right = links(
                 lists(batch.column("from_fps")), lists(batch.column("fps")),
                 batch.column("same").to_pylist(), radius,
             )
@@ -217,51 +247,44 @@ def similar(a: str, b: str, words: int, similarity: float) -> bool:
 
 def keep_one(
     docs: DataFrame,
-    key: str = "doc_id",
     text: str = "text",
     words: int = WORDS,
     radius: int = WIDE_RADIUS,
     checked_words: int = CHECKED_WORDS,
     similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """The rows of ``docs`` without near copies: no row goes unless it is similar to one that stays.
+    """The rows of ``docs`` without near copies: one row, the first as stored, of each group.
 
-    Fingerprints within a wide radius only suggest copies. Of every group that they connect, the row with
-    the smallest key stays, and its text is compared with each other one by the sets of their shingles of ``checked_words``
-    words. Similar ones go, the others form groups anew without it, until there are no groups. So each
-    group makes as many comparisons as it has rows, not pairs.
+    Fingerprints within a wide radius only suggest copies. Every fingerprint is compared, on the texts,
+    with the closest one of each tile, and every row with the first row of its own fingerprint: the sets
+    of their shingles of ``checked_words`` words must have a similarity of ``similarity``. Groups are connected by the
+    links that pass. So a group of any size makes a few comparisons for each row, not all pairs.
 
-    Of rows with the same key and similar texts the first as stored stays. Rows without words are similar to
-    each other only. NULL keys come last. All columns are kept as they are.
+    Rows without words are similar to each other only. Keys do not matter: repeated and NULL ones are compared like any
+    other. All columns are kept as they are.
     """
     marked = docs.withColumn("_row", F.monotonically_increasing_id())
     rows = staged(with_fingerprints(marked, text, words), "marked")
-    order = F.struct(column(key).isNull().alias("none"), column(key).alias("key"), F.col("_row").alias("row"))
-    values = rows.select("_row", F.coalesce(column(text), F.lit("")).alias("text"))
-    waiting = rows.select("_row", "_fp", order.alias("_order"))
-    gone = None
+    per_print = staged(rows.groupBy("_fp").agg(F.min("_row").alias("first")), "firsts")
+    links = near_links(per_print.select("_fp"), radius, links=closest_links)
+    apart = links.select(F.least("a", "b").alias("_fp"), F.greatest("a", "b").alias("other")).distinct()
+    others = per_print.select(F.col("_fp").alias("other"), F.col("first").alias("b"))
+    pairs = (
+        apart.join(per_print, "_fp").join(others, "other").select(F.col("first").alias("a"), "b")
+        .union(rows.select("_row", "_fp").join(per_print, "_fp").filter("_row <> first").select("_row", "first"))
+    )
+    values = rows.select(F.col("_row").alias("a"), F.coalesce(column(text), F.lit("")).alias("text_a"))
+    other_values = values.withColumnsRenamed({"a": "b", "text_a": "text_b"})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("text").to_pylist(), batch.column("first_text").to_pylist(), strict=True)
-            found = [similar(a, b, checked_words, similarity) for a, b in pairs]
+            texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
+            found = pa.array([similar(a, b, checked_words, similarity) for a, b in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(found, pa.bool_())], names=["_row", "similar"]
+                [batch.column("a").filter(found), batch.column("b").filter(found)], names=["a", "b"]
             )
 
-    while True:
-        found = classes(waiting, "_order", radius)
-        pairs = staged(
-            waiting.join(found, "_fp").select("_row", "_fp", "_order", F.col("least.row").alias("first")).filter("_row <> first"),
-            "pairs",
-        )
-        if pairs.isEmpty():
-            break
-        firsts = values.withColumnsRenamed({"_row": "first", "text": "first_text"})
-        texts = pairs.select("_row", "first").join(values, "_row").join(firsts, "first")
-        checked = staged(texts.select("_row", "text", "first_text").mapInArrow(compare, "_row long, similar boolean"), "checked")
-        removed = checked.filter("similar").select("_row")
-        gone = removed if gone is None else gone.union(removed)
-        waiting = staged(pairs.join(checked.filter("NOT similar"), "_row").select("_row", "_fp", "_order"), "waiting")
-    kept = rows if gone is None else rows.join(gone, "_row", "left_anti")
-    return kept.select(*(column(c) for c in docs.columns))
+    with arrow_rows(docs.sparkSession, 1000):
+        checked = staged(pairs.join(values, "a").join(other_values, "b").mapInArrow(compare, "a long, b long"), "checked")
+    gone = components(checked, "a", "b").filter("node <> component").select(F.col("node").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*(column(c) for c in docs.columns))
