@@ -46,7 +46,7 @@ def test_only_needed_columns_are_read(tables):
     assert re.findall(r"ReadSchema: struct<([^>]*)>", text) == ["ts:timestamp_ntz,user_id:bigint"]
 
 
-def test_history_is_one_shuffle(tables):
+def test_history_adds_no_shuffle_to_its_averages(tables):
     ratings = tables.actor_ratings()
     # Averages per year, then the years of an entity; the intervals reuse that partitioning.
     states = cumulative.entity_history(ratings, 2001, with_items=False)

@@ -65,7 +65,9 @@ def period_rows(
     Page 0 also has the label and average. Entities are paged only if one really exceeds
     ``page_rows``, which a count per entity and period, combined map-side, finds out first.
     ``page_rows=None`` says that none does.
+    Rows with a NULL key belong to no entity.
     """
+    rows = rows.filter(F.col(table.key).isNotNull())
     unit = [table.key, table.period]
     hot = None if page_rows is None else find_hot_keys(rows, unit, page_rows)
     if hot is None:
@@ -113,7 +115,7 @@ def cumulate_entities(
     Items of this period are appended; the tier follows this period's average, or stays as it was
     for an entity without rows. An empty ``prev`` starts the table.
     """
-    old = prev.filter(F.col(table.snapshot_period) == period - 1)
+    old = prev.filter((F.col(table.snapshot_period) == period - 1) & F.col(table.key).isNotNull())
     new, _ = period_rows(current.filter(F.col(table.period) == period), table, page_rows)
     old, new = old.alias("old"), new.alias("new")
     none = _no_items(new, table)
@@ -147,6 +149,7 @@ def entity_history(
     tier, activity and period are returned, and only (entity, period) averages are kept: they are
     combined map-side, and the group of an entity is bounded by the number of periods.
     """
+    rows = rows.filter(F.col(table.key).isNotNull())
     rows, unit = rows.filter(F.col(table.period) <= through), [table.key]
     known = [F.col(table.period).alias("period"), F.col("_average").alias("average")]
     if with_items:

@@ -25,14 +25,14 @@ def scd2_backfill(
 
     A key has at most as many rows as there are periods; ``max_rows`` cuts keys for which that is
     too many for one task. Only periods up to ``as_of`` are read. Attributes are compared null-safe:
-    a change to or from NULL starts an interval, NULL after NULL does not.
+    a change to or from NULL starts an interval, NULL after NULL does not. A NULL key has no history.
     """
 
     def changed(before, now) -> Column:
         return ~reduce(Column.__and__, (before(c).eqNullSafe(now(c)) for c in tracked))
 
     runs = collapse_runs(
-        df.filter(F.col(period) <= as_of), [key], [period], [period, *tracked], changed,
+        df.filter((F.col(period) <= as_of) & F.col(key).isNotNull()), [key], [period], [period, *tracked], changed,
         max_rows=max_rows,
     )
     return runs.select(
@@ -58,13 +58,14 @@ def scd2_step(
     Closed intervals pass through. An open interval is extended if nothing changed, otherwise it is
     closed and a new one opened; new entities open one. An entity missing from the snapshot keeps
     its interval as it was, or loses it with ``drop_missing``. All four cases come from one full
-    join: each side is shuffled once.
+    join: each side is shuffled once. Rows with a NULL key are left out.
     """
     state = [key, *tracked, "start_year", "end_year"]
-    last = scd.filter(F.col("current_year") == period - 1).select(*state)
+    known, marker = F.col(key).isNotNull(), F.lit(True).alias("present")
+    last = scd.filter((F.col("current_year") == period - 1) & known).select(*state)
     closed = last.filter(F.col("end_year") < period - 1)
-    before = last.filter(F.col("end_year") == period - 1).alias("before")
-    now = current.filter(F.col(period_column) == period).select(key, *tracked).alias("now")
+    before = last.filter(F.col("end_year") == period - 1).select("*", marker).alias("before")
+    now = current.filter((F.col(period_column) == period) & known).select(key, *tracked, marker).alias("now")
 
     def interval(side: str, start: Column, end: Column) -> Column:
         return F.struct(
@@ -80,8 +81,8 @@ def scd2_step(
         Column.__and__, (F.col(f"before.{c}").eqNullSafe(F.col(f"now.{c}")) for c in tracked)
     )
     intervals = (
-        F.when(F.col(f"before.{key}").isNull(), F.array(opened))
-        .when(F.col(f"now.{key}").isNull(), F.array() if drop_missing else F.array(old))
+        F.when(F.col("before.present").isNull(), F.array(opened))
+        .when(F.col("now.present").isNull(), F.array() if drop_missing else F.array(old))
         .when(same, F.array(extended))
         .otherwise(F.array(old, opened))
     )

@@ -44,9 +44,13 @@ def build_session(
 def set_join_policy(spark: SparkSession, auto_broadcast: bool = True) -> SparkSession:
     """Turn automatic broadcast joins on or off for this session.
 
-    Explicit ``broadcast`` hints keep their effect either way.
+    Explicit ``broadcast`` hints keep their effect either way. Turning it on keeps a threshold that the
+    session has.
     """
-    spark.conf.set(AUTO_BROADCAST, DEFAULT_AUTO_BROADCAST if auto_broadcast else "-1")
+    if not auto_broadcast:
+        spark.conf.set(AUTO_BROADCAST, "-1")
+    elif spark.conf.get(AUTO_BROADCAST, "-1").startswith("-"):
+        spark.conf.set(AUTO_BROADCAST, DEFAULT_AUTO_BROADCAST)
     return spark
 
 

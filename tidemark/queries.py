@@ -294,8 +294,10 @@ def broadcast_lookup_join(t: Tables) -> DataFrame:
     names = t.raw("nation").select(
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name")
     )
-    customers = t.raw("customer").select("c_custkey", "c_nationkey")
-    return joins.broadcast_lookup(customers, names.filter("c_nationkey < 20"), "c_nationkey")
+    # Shifted keys: some find no nation.
+    shifted = (F.col("c_nationkey") + 5).alias("c_nationkey")
+    customers = t.raw("customer").select("c_custkey", shifted)
+    return joins.broadcast_lookup(customers, names, "c_nationkey")
 
 
 @query
@@ -588,7 +590,7 @@ def average_session_by_host(t: Tables) -> DataFrame:
 
 def _stream(t: Tables) -> DataFrame:
     events = t.raw("events")
-    stream = t.spark.readStream.schema(events.schema).parquet(f"{t.folder}/events.parquet*")
+    stream = t.spark.readStream.schema(events.schema).parquet(f"{t.folder}/events.parque[t]")
     return with_event_time(
         stream.select(
             F.col("user_id").cast("string").alias("ip"),

@@ -14,11 +14,13 @@ from tidemark.plans.skew import HotKeys
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """CSV with a header line.
 
-    With a schema the columns are matched by position and nothing is read to guess types; without
-    one Spark infers them with an extra pass.
+    With a schema nothing is read to guess types, and a header with other names or another order, as
+    well as a malformed row, is an error; without one Spark infers types with an extra pass.
     """
     reader = spark.read.option("header", True)
-    reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
+    reader = reader.option("inferSchema", True) if schema is None else (
+        reader.schema(schema).option("enforceSchema", False).option("mode", "FAILFAST")
+    )
     return reader.csv(path)
 
 

@@ -15,13 +15,13 @@ EVENT_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 def kafka_options(
     servers: str, topic: str, group: str | None = None, user: str | None = None,
-    password: str | None = None,
+    password: str | None = None, starting: str = "latest",
 ) -> dict[str, str]:
-    """Reader options: latest offsets, and SASL_SSL with PLAIN if a user is given."""
+    """Reader options: offsets to start from (``earliest`` skips none), and SASL_SSL with PLAIN if a user is given."""
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
-        "startingOffsets": "latest",
+        "startingOffsets": starting,
     }
     if group:
         options["kafka.group.id"] = group

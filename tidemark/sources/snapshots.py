@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def write_snapshot(df: DataFrame, path: str, period_column: str, rebalance: bool = True) -> None:
+def write_snapshot(
+    df: DataFrame, path: str, period_column: str, rebalance: bool = True, period: Any = None
+) -> None:
     """Replace the periods that ``df`` holds, keep all others; a rerun gives the same table.
 
+    With ``period`` the rows are those of that period, and if there are none, what an earlier run
+    has stored for it goes too.
+
     Dynamic partition overwrite is set on this very write: with the session default a rerun would
     delete the other periods, among them the one being read. ``rebalance`` gathers each period in
     few files and lets AQE split a period that is large; without AQE rows are written as they come.
@@ -25,6 +30,21 @@ def write_snapshot(df: DataFrame, path: str, period_column: str, rebalance: bool
         .partitionBy(period_column)
         .parquet(path)
     )
+    if period is not None:
+        _drop_if_stale(df, path, period_column, period)
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path, as Hadoop has them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _drop_if_stale(df: DataFrame, path: str, period_column: str, period: Any) -> None:
+    if df.filter(F.col(period_column) == F.lit(period)).isEmpty():
+        store, place = _folder(df.sparkSession, f"{path}/{period_column}={period}")
+        if store.exists(place):
+            store.delete(place, True)
 
 
 def read_snapshot(
@@ -56,14 +76,27 @@ def attach_table(
     return spark.table(table)
 
 
-def upsert_snapshot(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+def upsert_snapshot(
+    target: DataFrame,
+    new: DataFrame,
+    keys: Sequence[str],
+    period_column: str | None = None,
+    period: Any = None,
+) -> DataFrame:
     """Rows of ``new``, and those of ``target`` whose key ``new`` lacks.
 
+    With ``period_column`` all rows get the ``period`` that the result stands for. Kept rows would
+    otherwise still have the one before, and storing them would replace that one.
+
     Plain Parquet tables know no MERGE: the result is a full snapshot, to be written as its own
     period with ``write_snapshot``.
     """
     kept = target.join(new.select(*keys).distinct(), list(keys), "left_anti")
-    return kept.select(*new.columns).unionByName(new)
+    merged = kept.select(*new.columns).unionByName(new)
+    if period_column is None:
+        return merged
+    kind = new.schema[period_column].dataType
+    return merged.withColumn(period_column, F.lit(period).cast(kind)).select(*new.columns)
 
 
 def fold_periods(
@@ -77,10 +110,17 @@ def fold_periods(
     """Run ``step(previous snapshots, period)`` for each period and store every result.
 
     Each step reads what the one before has written, so the plan does not grow with the number of
-    periods, and after a failure the loop can go on at any period.
+    periods. The loop goes on from what is stored: a period that has been stored is built anew from
+    those before it. Whole-number periods must follow each other, so a gap is refused.
     """
-    stored = spark.createDataFrame([], schema)
+    store, place = _folder(spark, path)
+    begun = store.exists(place) and bool(store.globStatus(_folder(spark, f"{path}/{period_column}=*")[1]))
+    stored = read_snapshot(spark, path, schema) if begun else spark.createDataFrame([], schema)
     for period in periods:
-        write_snapshot(step(stored, period), path, period_column)
+        if isinstance(period, int):
+            earlier = stored.filter(F.col(period_column) < period).agg(F.max(period_column)).first()[0]
+            if earlier is not None and earlier != period - 1:
+                raise ValueError(f"period {period - 1} is not stored, but {earlier} is")
+        write_snapshot(step(stored, period), path, period_column, period=period)
         stored = read_snapshot(spark, path, schema)
     return stored
