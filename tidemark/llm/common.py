@@ -30,6 +30,21 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``staged`` frame that nothing will read any more."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """At most ``rows`` rows in an Arrow batch while jobs run in this block.
@@ -45,14 +60,9 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
-    """Values of a text column; null is the empty text."""
-    return [value or "" for value in batch.column(name).to_pylist()]
-
-
 def lists(values: pa.Array) -> list[np.ndarray]:
     """The lists of an Arrow list column without null elements as numpy views."""
-    flat = values.values.to_numpy(zero_copy_only=False)
+    flat = values.values.to_numpy(zero_copy_only=False)  # offsets count from its start, in a slice too
     offsets = values.offsets.to_numpy()
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 

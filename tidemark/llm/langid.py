@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import column, schema_of
+from tidemark.llm.common import column, schema_of, slices
 
 UNKNOWN = "und"
 PROFILE = 400  # n-grams of a profile
@@ -87,7 +87,7 @@ def train_profiles(
                 names=["lang", "gram", "n"],
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             pending: dict[str, list] = {}
             for name, value in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 codes, counts = grams(value)
@@ -161,7 +161,7 @@ def with_language(
     shared = docs.sparkSession.sparkContext.broadcast(Classifier(profiles, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value.predict(t) for t in batch.column(text).to_pylist()]
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(

@@ -122,8 +122,9 @@ def mix(
 
     NULL domain, language or source is a leaf name like any other. Documents without tokens belong to no
     prefix and are left out. Repeated keys are ordered by a hash of their texts; repeated rows are alike, so which
-    of them comes last makes no difference. An empty table gives no rows. Tokens are counted once, and stored
-    with the columns of ``docs``; ``with_text`` False leaves out the text.
+    of them comes last makes no difference. An empty table gives no rows. With ``with_text``
+    False the text is left out, and tokens are counted once and stored; with it they are counted again in
+    each pass, since a stored copy of all texts would cost more.
 
     Counts are aggregated before the shuffle. Whole epochs need no order. In the last one the
     documents fall into ``BUCKETS`` parts by the leading bits of the hash; sums per part find the
@@ -135,7 +136,8 @@ def mix(
         *held, domain.cast("string").alias("_domain"), count_tokens(column(text)).alias("_tokens"),
         F.xxhash64(column(text)).alias("_tie"),
     )
-    marked = staged(counted.filter("_tokens > 0"), "counted")
+    marked = counted.filter("_tokens > 0")
+    marked = marked if with_text else staged(marked, "counted")
     names = [F.col("_domain"), column(lang), column(source)]
     leaf = [n.alias(f"_level{i}") for i, n in enumerate(names)]
     sums = marked.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens")).limit(MAX_LEAVES + 1).collect()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_rows, column, lists, schema_of, staged
+from tidemark.llm.common import arrow_rows, column, discard, lists, schema_of, slices, staged
 from tidemark.llm.components import components
 
 SEED = 42
@@ -49,7 +49,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -
     """``docs`` with the fingerprint of the text as a signed long in ``_fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [fingerprint(t or "", words) for t in batch.column(text).to_pylist()]
             signed = np.array(found, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -191,7 +191,9 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, links=
             )
 
     with arrow_rows(spark, 256):
-        return staged(pairs.mapInArrow(run, "a long, b long"), "links")
+        found = staged(pairs.mapInArrow(run, "a long, b long"), "links")
+    discard(tiles)
+    return found
 
 
 def classes(prints: DataFrame, key: str, radius: int = RADIUS) -> DataFrame:
@@ -260,20 +262,22 @@ def keep_one(
     of their shingles of ``checked_words`` words must have a similarity of ``similarity``. Groups are connected by the
     links that pass. So a group of any size makes a few comparisons for each row, not all pairs.
 
-    Rows without words are similar to each other only. Keys do not matter: repeated and NULL ones are compared like any
+    ``docs`` must be a stored table, read the same way each time. Rows without words are similar to each other only. Keys do not matter: repeated and NULL ones are compared like any
     other. All columns are kept as they are.
     """
     marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = staged(with_fingerprints(marked, text, words), "marked")
-    per_print = staged(rows.groupBy("_fp").agg(F.min("_row").alias("first")), "firsts")
+    prints = staged(
+        with_fingerprints(marked.select("_row", column(text).alias("text")), "text", words).select("_row", "_fp"), "prints"
+    )
+    per_print = staged(prints.groupBy("_fp").agg(F.min("_row").alias("first")), "firsts")
     links = near_links(per_print.select("_fp"), radius, links=closest_links)
     apart = links.select(F.least("a", "b").alias("_fp"), F.greatest("a", "b").alias("other")).distinct()
     others = per_print.select(F.col("_fp").alias("other"), F.col("first").alias("b"))
     pairs = (
         apart.join(per_print, "_fp").join(others, "other").select(F.col("first").alias("a"), "b")
-        .union(rows.select("_row", "_fp").join(per_print, "_fp").filter("_row <> first").select("_row", "first"))
+        .union(prints.join(per_print, "_fp").filter("_row <> first").select("_row", "first"))
     )
-    values = rows.select(F.col("_row").alias("a"), F.coalesce(column(text), F.lit("")).alias("text_a"))
+    values = marked.select(F.col("_row").alias("a"), F.coalesce(column(text), F.lit("")).alias("text_a"))
     other_values = values.withColumnsRenamed({"a": "b", "text_a": "text_b"})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,4 +291,4 @@ def keep_one(
     with arrow_rows(docs.sparkSession, 1000):
         checked = staged(pairs.join(values, "a").join(other_values, "b").mapInArrow(compare, "a long, b long"), "checked")
     gone = components(checked, "a", "b").filter("node <> component").select(F.col("node").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*(column(c) for c in docs.columns))
+    return marked.join(gone, "_row", "left_anti").select(*(column(c) for c in docs.columns))

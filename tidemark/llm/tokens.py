@@ -11,8 +11,8 @@ import tokenizers
 
 from tidemark.llm.rolling import MIX, POWERS
 
-REMEMBERED = 500_000  # pieces whose ids a worker remembers, twice that with the generation before
-GROUP = 800_000  # code points of the texts that are looked up together
+REMEMBERED = 300_000  # pieces whose ids a worker remembers, twice that with the generation before
+GROUP = 600_000  # code points of the texts that are looked up together
 BLANK, SIGN, LETTER = 1, 2, 4
 
 

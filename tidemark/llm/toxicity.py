@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import column, schema_of
+from tidemark.llm.common import column, schema_of, slices
 from tidemark.llm.langid import held_out
 
 SAMPLE = 4000  # labelled documents that the model is fitted on, at most
@@ -174,7 +174,7 @@ def with_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores, toxic = [], []
             for value in batch.column(text).to_pylist():
                 found = shared.value.sentences(value or "")
