@@ -133,6 +133,7 @@ def pack(
     text: str = "text",
     capacity: int = CAPACITY,
     end_id: int = END_ID,
+    remember: bool = True,
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of packed sequences.
 
@@ -141,6 +142,9 @@ def pack(
     0 without gaps, full ones first. Text NULL or empty is the end id alone. Repeated rows and rows
     with a NULL key are documents of their own. An empty table gives no rows.
 
+    Workers remember the ids of pieces of text from task to task; with ``remember`` False they give that memory
+    back after each task, for jobs in which the same workers have other things to do.
+
     The driver sees the histogram of the tail lengths only, at most ``capacity`` numbers, and plans
     patterns from it. Items of a length are numbered by task and place in the task, so no length,
     however frequent, meets in one task.
@@ -175,6 +179,8 @@ def pack(
                 ],
                 names=["doc_id", "start", "length", "ids", "doc_tokens", "task", "place"],
             )
+        if not remember:
+            encode.forget()
 
     with arrow_rows(docs.sparkSession, 2000):
         pieces = staged(

@@ -42,6 +42,10 @@ class Encoder:
         self.known: dict[int, bytes] = {}
         self.older: dict[int, bytes] = {}
 
+    def forget(self) -> None:
+        """Give the memory of all pieces back."""
+        self.known, self.older = {}, {}
+
     def _encode(self, values: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(values, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
