@@ -16,6 +16,7 @@ import corpus_pipeline
 from tidemark.llm import (
     embedding, langid, mixing, multiset, packing, passages, simhash, tokenbin, toxicity, warc,
 )
+from tidemark.llm.common import numbered
 from tidemark.llm.queries import BYTE_TOKENIZER, WEIGHTS, WORD_TOKENIZER, domain_of
 from tidemark.llm.tokens import Encoder
 
@@ -216,3 +217,38 @@ def test_toxic_sentences_are_found():
     for doc, label in zip(docs[400:], labels[400:], strict=True):
         found = [doc[a:b] for a, b, s in model.sentences(doc) if s >= 0.5]
         assert len(found) == label and all("vile" in f for f in found)
+
+
+def test_numbers_do_not_follow_the_cores(spark, tmp_path):
+    """Row numbers come out alike when the number of cores changes between two scans."""
+    path = str(tmp_path / "rows")
+    spark.range(0, 20_000, 1, 1).write.option("parquet.block.size", 4096).parquet(path)
+    held = {"spark.sql.files.openCostInBytes": "1024", "spark.sql.files.minPartitionNum": None}
+    before = {k: spark.conf.get(k, None) for k in [*held, "spark.sql.leafNodeDefaultParallelism"]}
+    try:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+        found = []
+        for cores in (2, 7):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+            df = numbered(spark.read.parquet(path), "n")
+            found.append(sorted(map(tuple, df.collect())))
+        assert found[0] == found[1]
+        assert len({n for _, n in found[0]}) == 20_000
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def test_tiles_do_not_depend_on_the_order_of_rows(spark):
+    """Ties for the closest fingerprint fall alike, however the rows arrive."""
+    prints = [(1 << i,) for i in range(20)]
+    found = []
+    for rows in (prints, prints[::-1]):
+        df = spark.createDataFrame(rows, "_fp long").repartition(5)
+        links = simhash.near_links(df, 4, links=simhash.closest_links).distinct()
+        found.append(sorted(map(tuple, links.collect())))
+    assert found[0] and found[0] == found[1]

@@ -30,6 +30,19 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df``, a stored table, with a number for each row by its place, the same in every scan.
+
+    Spark cuts small tables into as many parts as there are cores, so a lost executor between two scans would
+    change the numbers. The session's number of parts is therefore held from here on, if it is not set.
+    """
+    spark = df.sparkSession
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a ``staged`` frame that nothing will read any more."""
     spark = df.sparkSession

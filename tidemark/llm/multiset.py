@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import column, staged
+from tidemark.llm.common import column, numbered, staged
 
 EXACT = 8
 SIGNED = 128
@@ -159,10 +159,8 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ``docs`` must be a stored table, read the same way each time. Text NULL is the empty text. Rows with a NULL key
     come first; repeated keys keep the stored order. Every row is a document of its own.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"), column(key).alias("doc_id"),
-        F.coalesce(column(text), F.lit("")).alias("text"),
-    ).withColumn("n_chars", F.char_length("text").cast("long"))
+    texts = docs.select(column(key).alias("doc_id"), F.coalesce(column(text), F.lit("")).alias("text"))
+    rows = numbered(texts, "uid").withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     next_to = successors(rows.select("doc_id", "uid"), ["doc_id", "uid"], "uid")
     own = staged(lanes(rows.select("uid", "text"), ["uid"], "text"), "lanes")

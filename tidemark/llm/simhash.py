@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_rows, column, discard, lists, schema_of, slices, staged
+from tidemark.llm.common import arrow_rows, column, discard, lists, numbered, schema_of, slices, staged
 from tidemark.llm.components import components
 
 SEED = 42
@@ -165,7 +165,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, links=
     tiles = staged(
         placed.join(F.broadcast(sizes), "cell")
         .groupBy("cell", number.alias("tile"))
-        .agg(F.collect_list("_fp").alias("fps")),
+        .agg(F.sort_array(F.collect_list("_fp")).alias("fps")),  # in order, so that ties fall alike in every run
         "tiles",
     )
     offsets = F.array(*(F.lit(o) for o in _offsets(radius)))
@@ -265,7 +265,7 @@ def keep_one(
     ``docs`` must be a stored table, read the same way each time. Rows without words are similar to each other only. Keys do not matter: repeated and NULL ones are compared like any
     other. All columns are kept as they are.
     """
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
+    marked = numbered(docs, "_row")
     prints = staged(
         with_fingerprints(marked.select("_row", column(text).alias("text")), "text", words).select("_row", "_fp"), "prints"
     )
