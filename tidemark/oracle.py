@@ -20,12 +20,18 @@ TIER = """CASE WHEN average > 8 THEN 'star' WHEN average > 7 THEN 'good'
   WHEN average > 6 THEN 'average' WHEN average IS NOT NULL THEN 'bad' END"""
 
 
-def _years(since: int, through: int) -> str:
+FIRST_YEAR = "(SELECT min(year(o_orderdate)) FROM orders)"
+LAST_YEAR = "(SELECT max(year(o_orderdate)) FROM orders)"
+FIRST_DAY = "(SELECT min(CAST(ts AS DATE)) FROM events)"
+LAST_DAY = "(SELECT max(CAST(ts AS DATE)) FROM events)"
+
+
+def _years(since: int | str, through: int | str) -> str:
     return f"""
-years AS (SELECT CAST(range AS INTEGER) AS current_year FROM range({since}, {through + 1}))"""
+years AS (SELECT CAST(unnest(range({since}, {through} + 1)) AS INTEGER) AS current_year)"""
 
 
-def _states(since: int, through: int) -> str:
+def _states(since: int | str, through: int | str) -> str:
     """One row per actor and year from the first active year on."""
     return f"""{RATINGS}, {_years(since, through)},
 latest AS (
@@ -37,7 +43,7 @@ states AS (
   FROM latest l JOIN yearly a ON a.actorid = l.actorid AND a.year = l.last_year)"""
 
 
-def _entity_snapshot(since: int, through: int) -> str:
+def _entity_snapshot(since: int | str, through: int | str) -> str:
     return f"""
 WITH {_states(since, through)},
 films AS (
@@ -51,9 +57,9 @@ FROM states s JOIN films f ON f.actorid = s.actorid AND f.year <= s.current_year
 GROUP BY s.actorid, s.quality_class, s.is_active, s.current_year"""
 
 
-def _scd(through: int) -> str:
+def _scd(through: int | str) -> str:
     return f"""
-WITH {_states(1990, through)},
+WITH {_states(FIRST_YEAR, through)},
 flagged AS (
   SELECT *, CASE WHEN lag(current_year) OVER w IS NULL
       OR lag(quality_class) OVER w IS DISTINCT FROM quality_class
@@ -70,8 +76,8 @@ ORACLE_SQL["rating_tier"] = f"""
 WITH {RATINGS}
 SELECT actorid, year, round(average, 10) AS avg_rating, {TIER} AS quality_class FROM yearly"""
 ORACLE_SQL["entity_snapshot_step"] = _entity_snapshot(1999, 1999)
-ORACLE_SQL["entity_snapshot_history"] = _entity_snapshot(1990, 2001)
-ORACLE_SQL["scd_backfill"] = _scd(2001)
+ORACLE_SQL["entity_snapshot_history"] = _entity_snapshot(FIRST_YEAR, LAST_YEAR)
+ORACLE_SQL["scd_backfill"] = _scd(LAST_YEAR)
 ORACLE_SQL["scd_step"] = _scd(1999)
 
 BOX_SCORES = """
@@ -167,8 +173,7 @@ USER_KEYS = "user_id, device_id, browser_type"
 def _calendar(since: str, through: str) -> str:
     return f"""
 calendar AS (
-  SELECT CAST(DATE '{since}' + CAST(range AS INTEGER) AS DATE) AS date
-  FROM range(0, CAST(DATE '{through}' - DATE '{since}' AS BIGINT) + 1))"""
+  SELECT CAST({since} + CAST(unnest(range(0, CAST({through} - {since} AS BIGINT) + 1)) AS INTEGER) AS DATE) AS date)"""
 
 
 def _lists(days: str, keys: str, since: str, through: str, order: str, having: str = "") -> str:
@@ -180,15 +185,16 @@ FROM days JOIN calendar ON day <= date
 GROUP BY {keys}, calendar.date {having}"""
 
 
-ORACLE_SQL["user_datelist_step"] = _lists(USER_DAYS, USER_KEYS, "2024-01-16", "2024-01-16", "DESC")
+STEP_DAY = "DATE '2024-01-16'"
+ORACLE_SQL["user_datelist_step"] = _lists(USER_DAYS, USER_KEYS, STEP_DAY, STEP_DAY, "DESC")
 ORACLE_SQL["user_datelist_active_only"] = _lists(
-    USER_DAYS, USER_KEYS, "2024-01-16", "2024-01-16", "DESC", "HAVING max(day) = calendar.date"
+    USER_DAYS, USER_KEYS, STEP_DAY, STEP_DAY, "DESC", "HAVING max(day) = calendar.date"
 )
 ORACLE_SQL["user_datelist_history"] = _lists(
-    USER_DAYS, USER_KEYS, "2024-01-01", "2024-01-30", "DESC"
+    USER_DAYS, USER_KEYS, FIRST_DAY, LAST_DAY, "DESC"
 )
-ORACLE_SQL["host_datelist_step"] = _lists(HOST_DAYS, "host", "2024-01-16", "2024-01-16", "ASC")
-ORACLE_SQL["host_datelist_history"] = _lists(HOST_DAYS, "host", "2024-01-01", "2024-01-30", "ASC")
+ORACLE_SQL["host_datelist_step"] = _lists(HOST_DAYS, "host", STEP_DAY, STEP_DAY, "ASC")
+ORACLE_SQL["host_datelist_history"] = _lists(HOST_DAYS, "host", FIRST_DAY, LAST_DAY, "ASC")
 
 
 def _bitmap(weight: str) -> str:
@@ -218,7 +224,7 @@ WITH daily AS (
          count(DISTINCT event_id % 4) AS visitors
   FROM events GROUP BY ALL),
 hosts AS (SELECT host, min(day) AS first_day FROM daily GROUP BY host),
-{_calendar(since, through)},
+{_calendar(f"DATE '{since}'", f"DATE '{through}'")},
 month_days AS (
   SELECT CAST(DATE '2024-01-01' + CAST(range AS INTEGER) AS DATE) AS day FROM range(0, 31)),
 cells AS (
@@ -321,14 +327,14 @@ GROUP BY layout"""
 # Lifecycle.
 
 
-def _lifecycle(since: int, through: int) -> str:
+def _lifecycle(since: int | str, through: int | str) -> str:
     return f"""
 WITH seasons AS (
   SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS player_name,
          CAST(year(o_orderdate) AS INTEGER) AS season
   FROM orders),
 players AS (SELECT player_name, min(season) AS first_season FROM seasons GROUP BY player_name),
-{_years(1990, through)},
+{_years(FIRST_YEAR, through)},
 grid AS (
   SELECT player_name, first_season, current_year AS season
   FROM players JOIN years ON first_season <= current_year)
@@ -344,10 +350,10 @@ LEFT JOIN seasons before ON before.player_name = g.player_name AND before.season
 WHERE g.season >= {since}"""
 
 
-ORACLE_SQL["lifecycle_history"] = _lifecycle(1990, 2001)
+ORACLE_SQL["lifecycle_history"] = _lifecycle(FIRST_YEAR, LAST_YEAR)
 ORACLE_SQL["lifecycle_step"] = _lifecycle(1999, 1999)
-ORACLE_SQL["snapshot_store_fold"] = _lifecycle(1990, 2001)
-ORACLE_SQL["snapshot_rewrite"] = _lifecycle(1990, 1996)
+ORACLE_SQL["snapshot_store_fold"] = _lifecycle(FIRST_YEAR, LAST_YEAR)
+ORACLE_SQL["snapshot_rewrite"] = _lifecycle(FIRST_YEAR, 1996)
 
 # Groupings.
 

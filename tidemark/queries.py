@@ -35,8 +35,8 @@ from tidemark.sources.snapshots import fold_periods, read_snapshot, upsert_snaps
 from tidemark.sources.tables import Tables
 from tidemark.streaming import runs, windows
 
-# The given data: orders of 1995-2001, events of January 2024.
-FIRST_YEAR, LAST_YEAR, STEP_YEAR = 1995, 2001, 1999
+# The periods of single steps; histories run from the first to the last period of their table.
+FIRST_YEAR, STEP_YEAR = 1995, 1999
 MONTH = dt.date(2024, 1, 1)
 LAST_DAY = dt.date(2024, 1, 30)
 STEP_DAY = dt.date(2024, 1, 16)
@@ -53,6 +53,18 @@ def _text(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
 
+def _years(t: Tables) -> tuple[int, int]:
+    """First and last year of the orders; a step's year if there are none."""
+    year = F.year("o_orderdate")
+    first, last = t.raw("orders").agg(F.min(year), F.max(year)).first()
+    return (STEP_YEAR, STEP_YEAR) if last is None else (first, last)
+
+
+def _last_day(t: Tables) -> dt.date:
+    """Last day of the events; a step's day if there are none."""
+    return t.raw("events").agg(F.max(F.to_date("ts"))).first()[0] or STEP_DAY
+
+
 def _list(array: str) -> Column:
     return F.array_join(F.col(array).cast("array<string>"), ",", "-")
 
@@ -95,7 +107,7 @@ def entity_snapshot_step(t: Tables) -> DataFrame:
 @query
 def entity_snapshot_history(t: Tables) -> DataFrame:
     return _snapshot_view(
-        cumulative.entity_history(t.actor_films(), LAST_YEAR, page_rows=_page_rows(t))
+        cumulative.entity_history(t.actor_films(), _years(t)[1], page_rows=_page_rows(t))
     )
 
 
@@ -105,7 +117,8 @@ def _actor_states(t: Tables, through: int, since: int | None = None) -> DataFram
 
 @query
 def scd_backfill(t: Tables) -> DataFrame:
-    return scd.scd2_backfill(_actor_states(t, LAST_YEAR), LAST_YEAR)
+    last = _years(t)[1]
+    return scd.scd2_backfill(_actor_states(t, last), last)
 
 
 @query
@@ -199,7 +212,7 @@ def user_datelist_active_only(t: Tables) -> DataFrame:
 
 @query
 def user_datelist_history(t: Tables) -> DataFrame:
-    return _list_view(datelist.datelist_history(_user_days(t), datelist.USER_DEVICE, LAST_DAY))
+    return _list_view(datelist.datelist_history(_user_days(t), datelist.USER_DEVICE, _last_day(t)))
 
 
 @query
@@ -211,7 +224,7 @@ def host_datelist_step(t: Tables) -> DataFrame:
 @query
 def host_datelist_history(t: Tables) -> DataFrame:
     days = datelist.active_days(t.user_hosts(), ["host"])
-    return _list_view(datelist.datelist_history(days, ["host"], LAST_DAY, newest_first=False))
+    return _list_view(datelist.datelist_history(days, ["host"], _last_day(t), newest_first=False))
 
 
 def _bitmaps(t: Tables, **options) -> DataFrame:
@@ -433,7 +446,7 @@ def layout_sizes(t: Tables) -> DataFrame:
 
 @query
 def lifecycle_history(t: Tables) -> DataFrame:
-    return lifecycle.lifecycle_history(t.player_seasons(), LAST_YEAR)
+    return lifecycle.lifecycle_history(t.player_seasons(), _years(t)[1])
 
 
 @query
@@ -447,9 +460,10 @@ def lifecycle_step(t: Tables) -> DataFrame:
 def snapshot_store_fold(t: Tables) -> DataFrame:
     """The states built season by season through the snapshot store."""
     seasons = t.player_seasons()
+    first, last = _years(t)
     return fold_periods(
         t.spark, shared_dir(t.spark, "states"), schemas.PLAYER_STATES, "season",
-        range(FIRST_YEAR, LAST_YEAR + 1),
+        range(first, last + 1),
         lambda stored, season: lifecycle.lifecycle_step(stored, seasons, season),
     )
 
