@@ -56,7 +56,7 @@ def test_history_adds_no_shuffle_to_its_averages(tables):
 
 def test_items_are_shuffled_once(tables):
     films = tables.actor_films().cache()
-    whole = cumulative.entity_history(films, 2001, page_rows=None)
+    whole = cumulative.entity_history(films, 2001)
     assert exchanges(whole) - exchanges(films) == 1
     films.unpersist()
 

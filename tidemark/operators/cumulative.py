@@ -1,11 +1,11 @@
 """Cumulative entity snapshots: one row per entity and period with its whole history in an array.
 
 A snapshot row holds the entity, ``page``, a label, the array of items, tier, activity and period.
-An array cannot hold an unbounded number of items in one row, so an entity with more than
-``page_rows`` items in one period is spread over pages by a hash of the item id. All other entities
-have page 0 only. Tier and activity belong to the entity and stand on page 0; further pages hold
-items and NULL attributes. The page of an item depends on the item and its period alone, so a
-snapshot built period by period and one built at once are equal.
+An array cannot hold an unbounded number of items in one row. A table whose entities may have more
+items than a row can hold gets ``pages`` pages: every entity has all of them from its first period
+on, an item is on the page that a hash of its id names, and label, tier and activity stand on each.
+The number is the caller's, so the form of a result does not depend on its size, and a snapshot
+built period by period equals one built at once.
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.tiers import tier
-from tidemark.plans.skew import find_hot_keys
-
-PAGE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -57,46 +54,33 @@ def _period_figures(table: EntityTable) -> list[Column]:
     return [F.max(table.label).alias(table.label), F.avg(table.measure).alias("_average")]
 
 
-def period_rows(
-    rows: DataFrame, table: EntityTable = ACTORS, page_rows: int | None = PAGE_ROWS
-) -> tuple[DataFrame, bool]:
-    """One row per (entity, period, page) with its items, and whether any entity needed pages.
+def period_rows(rows: DataFrame, table: EntityTable = ACTORS, pages: int = 1) -> DataFrame:
+    """One row per (entity, period, page) with the items of the page, the label and the average.
 
-    Page 0 also has the label and average. Entities are paged only if one really exceeds
-    ``page_rows``, which a count per entity and period, combined map-side, finds out first.
-    ``page_rows=None`` says that none does.
     Rows with a NULL key belong to no entity.
     """
     rows = rows.filter(F.col(table.key).isNotNull())
     unit = [table.key, table.period]
-    hot = None if page_rows is None else find_hot_keys(rows, unit, page_rows)
-    if hot is None:
-        usual = rows
-    else:
-        marked = hot.mark(rows)
-        usual = marked.filter("hot_n IS NULL")
-    # Lists do not shrink map-side: one shuffle on the entity serves both this grouping and the
-    # grouping by entity that a backfill adds.
-    flat = (
-        usual.repartition(table.key)
-        .groupBy(*unit)
-        .agg(_items(table).alias(table.items), *_period_figures(table))
-        .withColumn("page", F.lit(0))
-    )
-    if hot is None:
-        return flat, False
-    large = marked.filter("hot_n IS NOT NULL")
-    page = F.pmod(F.xxhash64(table.item_id), hot.parts()).cast("int")
-    pages = (
-        large.withColumn("page", page)
+    if pages == 1:
+        # Lists do not shrink map-side: one shuffle on the entity serves both this grouping and the
+        # grouping by entity that a backfill adds.
+        return (
+            rows.repartition(table.key)
+            .groupBy(*unit)
+            .agg(_items(table).alias(table.items), *_period_figures(table))
+            .withColumn("page", F.lit(0))
+        )
+    page = F.pmod(F.xxhash64(table.item_id), F.lit(pages)).cast("int")
+    lists = (
+        rows.withColumn("page", page)
         .groupBy(table.key, "page", table.period)
         .agg(_items(table).alias(table.items))
     )
-    heads = large.groupBy(*unit).agg(*_period_figures(table)).withColumn("page", F.lit(0))
-    paged = pages.join(heads, [table.key, "page", table.period], "full").withColumn(
-        table.items, F.coalesce(table.items, _no_items(pages, table))
+    every_page = F.explode(F.sequence(F.lit(0), F.lit(pages - 1))).alias("page")
+    heads = rows.groupBy(*unit).agg(*_period_figures(table)).select("*", every_page)
+    return heads.join(lists, [table.key, "page", table.period], "left").withColumn(
+        table.items, F.coalesce(table.items, _no_items(lists, table))
     )
-    return flat.unionByName(paged), True
 
 
 def _no_items(df: DataFrame, table: EntityTable) -> Column:
@@ -108,18 +92,19 @@ def cumulate_entities(
     current: DataFrame,
     period: int,
     table: EntityTable = ACTORS,
-    page_rows: int | None = PAGE_ROWS,
+    pages: int = 1,
 ) -> DataFrame:
     """Snapshot of ``period`` from the snapshot of ``period - 1`` and the rows of ``period``.
 
     Items of this period are appended; the tier follows this period's average, or stays as it was
-    for an entity without rows. An empty ``prev`` starts the table.
+    for an entity without rows. An empty ``prev`` starts the table; ``pages`` is the same for all
+    periods of a table.
     """
     old = prev.filter((F.col(table.snapshot_period) == period - 1) & F.col(table.key).isNotNull())
-    new, _ = period_rows(current.filter(F.col(table.period) == period), table, page_rows)
+    new = period_rows(current.filter(F.col(table.period) == period), table, pages)
     old, new = old.alias("old"), new.alias("new")
     none = _no_items(new, table)
-    head, present = F.col("page") == 0, F.col(f"new.{table.period}").isNotNull()
+    present = F.col(f"new.{table.period}").isNotNull()
     return old.join(new, [table.key, "page"], "full").select(
         table.key,
         "page",
@@ -127,10 +112,8 @@ def cumulate_entities(
         F.concat(
             F.coalesce(f"old.{table.items}", none), F.coalesce(f"new.{table.items}", none)
         ).alias(table.items),
-        F.when(head & present, tier("_average"))
-        .when(head, F.col(f"old.{table.tier}"))
-        .alias(table.tier),
-        F.when(head, present).alias(table.active),
+        F.when(present, tier("_average")).otherwise(F.col(f"old.{table.tier}")).alias(table.tier),
+        present.alias(table.active),
         F.lit(period).alias(table.snapshot_period),
     )
 
@@ -139,7 +122,7 @@ def entity_history(
     rows: DataFrame,
     through: int,
     table: EntityTable = ACTORS,
-    page_rows: int | None = PAGE_ROWS,
+    pages: int = 1,
     with_items: bool = True,
     since: int | None = None,
 ) -> DataFrame:
@@ -153,10 +136,10 @@ def entity_history(
     rows, unit = rows.filter(F.col(table.period) <= through), [table.key]
     known = [F.col(table.period).alias("period"), F.col("_average").alias("average")]
     if with_items:
-        periods, paged = period_rows(rows, table, page_rows)
+        periods = period_rows(rows, table, pages)
         known += [F.col(table.label).alias("label"), F.col(table.items).alias("items")]
         # A constant page would keep Spark from seeing that the rows are partitioned already.
-        unit += ["page"] if paged else []
+        unit += ["page"] if pages > 1 else []
     else:
         average = F.avg(table.measure).alias("_average")
         periods = rows.groupBy(table.key, table.period).agg(average)
@@ -171,9 +154,8 @@ def entity_history(
     until = F.coalesce(following - F.lit(1), F.lit(through))
     active = F.col("latest.period")
     start = active if since is None else F.greatest(active, F.lit(since))
-    head = F.col("page") == 0
     columns = {
-        table.tier: F.when(head, tier(F.col("latest.average"))),
+        table.tier: tier(F.col("latest.average")),
         "_active": active,
         "_periods": F.sequence(start, until),
     }
@@ -186,7 +168,7 @@ def entity_history(
         .withColumns(columns)
         .drop("known", "place", "latest")
         .withColumn(table.snapshot_period, F.explode("_periods"))
-        .withColumn(table.active, F.when(head, F.col("_active") == F.col(table.snapshot_period)))
+        .withColumn(table.active, F.col("_active") == F.col(table.snapshot_period))
     )
     wanted = [c for c in table.snapshot_columns if c in grid.columns]
     if not with_items:

@@ -77,6 +77,8 @@ WITH {RATINGS}
 SELECT actorid, year, round(average, 10) AS avg_rating, {TIER} AS quality_class FROM yearly"""
 ORACLE_SQL["entity_snapshot_step"] = _entity_snapshot(1999, 1999)
 ORACLE_SQL["entity_snapshot_history"] = _entity_snapshot(FIRST_YEAR, LAST_YEAR)
+ORACLE_SQL["entity_snapshot_paged"] = f"""
+SELECT * EXCLUDE (page), CAST(4 AS BIGINT) AS n_pages FROM ({_entity_snapshot(1999, 1999)})"""
 ORACLE_SQL["scd_backfill"] = _scd(LAST_YEAR)
 ORACLE_SQL["scd_step"] = _scd(1999)
 
@@ -488,16 +490,9 @@ SELECT host, avg(num_logs) AS avg_events,
        CAST(floor(avg(num_logs)) AS BIGINT) AS avg_events_int
 FROM sessions GROUP BY host"""
 
-# A drained stream has emitted every window that ended 15 seconds before its newest event.
+# A stream that is read to its end gives what the table gives.
 
-ORACLE_SQL["streamed_tumbling_counts"] = f"""
-{TUMBLING}
-HAVING time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE
-  <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 15 SECOND"""
-ORACLE_SQL["streamed_session_counts"] = f"""
-WITH {_sessions("host", "5 MINUTE")} SELECT host, {SESSION_VIEW} FROM sessions
-WHERE ended <= (SELECT max(ts) FROM web) - INTERVAL 15 SECOND"""
-ORACLE_SQL["streamed_session_averages"] = f"""
-WITH {_sessions("ip, host", "6 HOUR")}
-SELECT host, avg(num_logs) AS avg_events, CAST(floor(avg(num_logs)) AS BIGINT) AS avg_events_int
-FROM sessions WHERE ended <= (SELECT max(ts) FROM web) - INTERVAL 15 SECOND GROUP BY host"""
+ORACLE_SQL["streamed_tumbling_counts"] = ORACLE_SQL["tumbling_counts"]
+ORACLE_SQL["streamed_session_counts"] = ORACLE_SQL["host_session_counts"]
+ORACLE_SQL["streamed_session_averages"] = ORACLE_SQL["average_session_by_host"]
+ORACLE_SQL["streamed_session_averages_by_ip_host"] = ORACLE_SQL["average_session_by_ip_host"]

@@ -30,7 +30,7 @@ from tidemark.operators import (
 from tidemark.plans.session import join_policy, shared_dir
 from tidemark.plans.skew import HotKeys, find_hot_keys, rows_bound
 from tidemark.sources.files import read_csv, write_bucketed
-from tidemark.sources.kafka import EVENT_TIME_FORMAT, with_event_time
+from tidemark.sources.kafka import EVENT_TIME_FORMAT, parse_events
 from tidemark.sources.snapshots import fold_periods, read_snapshot, upsert_snapshot, write_snapshot
 from tidemark.sources.tables import Tables
 from tidemark.streaming import runs, windows
@@ -88,27 +88,29 @@ def _snapshot_view(df: DataFrame) -> DataFrame:
     )
 
 
-def _page_rows(t: Tables) -> int | None:
-    """Decided on the orders alone, without the join for names."""
-    return rows_bound(t.actor_ratings(), ["actorid", "year"], cumulative.PAGE_ROWS)
-
-
 @query
 def entity_snapshot_step(t: Tables) -> DataFrame:
-    films, pages = t.actor_films(), _page_rows(t)
-    before = cumulative.entity_history(
-        films, STEP_YEAR - 1, page_rows=pages, since=STEP_YEAR - 1
-    )
-    return _snapshot_view(
-        cumulative.cumulate_entities(before, films, STEP_YEAR, page_rows=pages)
-    )
+    films = t.actor_films()
+    before = cumulative.entity_history(films, STEP_YEAR - 1, since=STEP_YEAR - 1)
+    return _snapshot_view(cumulative.cumulate_entities(before, films, STEP_YEAR))
 
 
 @query
 def entity_snapshot_history(t: Tables) -> DataFrame:
-    return _snapshot_view(
-        cumulative.entity_history(t.actor_films(), _years(t)[1], page_rows=_page_rows(t))
+    return _snapshot_view(cumulative.entity_history(t.actor_films(), _years(t)[1]))
+
+
+@query
+def entity_snapshot_paged(t: Tables) -> DataFrame:
+    """A step over snapshots of four pages per entity; the pages are put together for the result."""
+    films, pages = t.actor_films(), 4
+    before = cumulative.entity_history(films, STEP_YEAR - 1, pages=pages, since=STEP_YEAR - 1)
+    paged = cumulative.cumulate_entities(before, films, STEP_YEAR, pages=pages)
+    short = F.transform("films", lambda f: F.struct(f["year"].alias("year"), f["filmid"].alias("filmid")))
+    whole = paged.groupBy("actorid", "actor", "quality_class", "is_active", "current_year").agg(
+        F.count("page").alias("n_pages"), F.sort_array(F.flatten(F.collect_list(short))).alias("films")
     )
+    return _snapshot_view(whole)
 
 
 def _actor_states(t: Tables, through: int, since: int | None = None) -> DataFrame:
@@ -602,38 +604,59 @@ def average_session_by_host(t: Tables) -> DataFrame:
     return windows.average_session_size(_sessions(t, "ip", "host", gap="6 hours"), ["host"])
 
 
-def _stream(t: Tables) -> DataFrame:
+def _stream(t: Tables, closing: str) -> DataFrame:
+    """The events as JSON messages, and the messages in the folder ``closing``, parsed."""
     events = t.raw("events")
-    stream = t.spark.readStream.schema(events.schema).parquet(f"{t.folder}/events.parque[t]")
-    return with_event_time(
-        stream.select(
-            F.col("user_id").cast("string").alias("ip"),
-            F.col("event_type").alias("host"),
-            F.date_format(F.col("ts").cast("timestamp"), EVENT_TIME_FORMAT).alias("event_time"),
-        )
+    stored = t.spark.readStream.schema(events.schema).parquet(f"{t.folder}/events.parque[t]")
+    message = F.struct(
+        F.col("user_id").cast("string").alias("ip"),
+        F.date_format(F.col("ts").cast("timestamp"), EVENT_TIME_FORMAT).alias("event_time"),
+        F.col("event_type").alias("host"),
     )
+    last = t.spark.readStream.schema("value string").parquet(closing)
+    return parse_events(stored.select(F.to_json(message).alias("value")).union(last))
 
 
-def _drain(t: Tables, counts: DataFrame) -> DataFrame:
-    """Run the stream over all that is there and read what it has written."""
+def _drain(t: Tables, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run the stream to its end and read what it has written, the last windows included.
+
+    The run is resumed once all events are read, with a message later than every window. It lifts
+    the watermark over them, and its own window stays open, so it is not in the result.
+    """
     folder = shared_dir(t.spark, "stream")
-    run = runs.append_to_files(counts, f"{folder}/out", f"{folder}/checkpoint", interval=None)
-    run.awaitTermination()
+    closing = f"{folder}/closing"
+    time = F.date_format(F.max("ts").cast("timestamp") + F.expr("INTERVAL 2 DAYS"), EVENT_TIME_FORMAT)
+    message = t.raw("events").agg(F.to_json(F.struct(time.alias("event_time"))).alias("value"))
+    message.limit(0).write.parquet(closing)
+    counts = count(_stream(t, closing))
+    for last in (False, True):
+        if last:
+            message.write.mode("append").parquet(closing)
+        run = runs.append_to_files(counts, f"{folder}/out", f"{folder}/checkpoint", interval=None)
+        run.awaitTermination()
     return t.spark.read.schema(counts.schema).parquet(f"{folder}/out")
 
 
 @query
 def streamed_tumbling_counts(t: Tables) -> DataFrame:
-    return _window_view(_drain(t, windows.tumbling_counts(_stream(t))))
+    return _window_view(_drain(t, windows.tumbling_counts))
 
 
 @query
 def streamed_session_counts(t: Tables) -> DataFrame:
-    return _window_view(_drain(t, windows.session_counts(_stream(t), ["host"])))
+    return _window_view(_drain(t, lambda events: windows.session_counts(events, ["host"])))
+
+
+def _streamed_sessions(t: Tables) -> DataFrame:
+    return _drain(t, lambda events: windows.session_counts(events, gap="6 hours"))
 
 
 @query
 def streamed_session_averages(t: Tables) -> DataFrame:
     """Both stages: sessions streamed into a table, then averaged over it."""
-    sessions = _drain(t, windows.session_counts(_stream(t), gap="6 hours"))
-    return windows.average_session_size(sessions, ["host"])
+    return windows.average_session_size(_streamed_sessions(t), ["host"])
+
+
+@query
+def streamed_session_averages_by_ip_host(t: Tables) -> DataFrame:
+    return windows.average_session_size(_streamed_sessions(t), ["ip", "host"], host_like="%i%")
