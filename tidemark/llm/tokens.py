@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,12 +16,15 @@ REMEMBERED = 300_000  # pieces whose ids a worker remembers, twice that with the
 GROUP = 600_000  # code points of the texts that are looked up together
 BLANK, SIGN, LETTER = 1, 2, 4
 
+# Spark runs a task for each core; threads of the tokenizer's own would only wait for one another.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 
 @lru_cache(maxsize=1)
 def _points() -> tuple[np.ndarray, np.ndarray]:
     """Kind of every code point, and a random number for it."""
-    signs = [chr(i) for i in range(0x110000)]
-    kind = np.fromiter((BLANK * c.isspace() + LETTER * c.isalnum() for c in signs), np.uint8, len(signs))
+    signs = np.arange(0x110000, dtype=np.uint32).view("<U1")
+    kind = BLANK * np.char.isspace(signs).astype(np.uint8) + LETTER * np.char.isalnum(signs).astype(np.uint8)
     kind[[ord("."), ord(",")]] += SIGN
     value = (np.arange(len(signs), dtype=np.uint64) + np.uint64(1)) * MIX
     value ^= value >> np.uint64(29)
@@ -53,7 +57,7 @@ class Encoder:
     def _ids(self, keys: list[int], text: str, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
         """Ids of pieces, by their keys. Those not used since the last change of generation go."""
         known, older = self.known, self.older
-        found = [known.get(k) for k in keys]
+        found = list(map(known.get, keys))
         missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
             fresh = []
