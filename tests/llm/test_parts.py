@@ -115,6 +115,12 @@ def test_odd_passages(odd):
     assert (2, None) in left and (3, "") in left and sum(d == 1 for d, _ in left) == 1
 
 
+def test_columns_of_clashing_names_keep_their_values(odd):
+    given = {(r[0], r[6]) for r in ODD}
+    for found in (simhash.keep_one(odd), passages.without_passages(odd)):
+        assert {(r["doc_id"], r["_row"]) for r in found.collect()} <= given
+
+
 def test_odd_stages(spark, odd, empty):
     for frame, some in ((odd, True), (empty, False)):
         now = frame

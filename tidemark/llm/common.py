@@ -43,6 +43,14 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has; case does not count."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a ``staged`` frame that nothing will read any more."""
     spark = df.sparkSession

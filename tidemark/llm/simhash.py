@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_rows, column, discard, lists, numbered, schema_of, slices, staged
+from tidemark.llm.common import arrow_rows, column, discard, lists, numbered, schema_of, slices, staged, unused
 from tidemark.llm.components import components
 
 SEED = 42
@@ -265,10 +265,10 @@ def keep_one(
     ``docs`` must be a stored table, read the same way each time. Rows without words are similar to each other only. Keys do not matter: repeated and NULL ones are compared like any
     other. All columns are kept as they are.
     """
-    marked = numbered(docs, "_row")
-    prints = staged(
-        with_fingerprints(marked.select("_row", column(text).alias("text")), "text", words).select("_row", "_fp"), "prints"
-    )
+    row = unused(docs, "_row")
+    marked = numbered(docs, row)
+    texts = marked.select(F.col(row).alias("_row"), column(text).alias("text"))
+    prints = staged(with_fingerprints(texts, "text", words).select("_row", "_fp"), "prints")
     per_print = staged(prints.groupBy("_fp").agg(F.min("_row").alias("first")), "firsts")
     links = near_links(per_print.select("_fp"), radius, links=closest_links)
     apart = links.select(F.least("a", "b").alias("_fp"), F.greatest("a", "b").alias("other")).distinct()
@@ -277,7 +277,7 @@ def keep_one(
         apart.join(per_print, "_fp").join(others, "other").select(F.col("first").alias("a"), "b")
         .union(prints.join(per_print, "_fp").filter("_row <> first").select("_row", "first"))
     )
-    values = marked.select(F.col("_row").alias("a"), F.coalesce(column(text), F.lit("")).alias("text_a"))
+    values = texts.select(F.col("_row").alias("a"), F.coalesce("text", F.lit("")).alias("text_a"))
     other_values = values.withColumnsRenamed({"a": "b", "text_a": "text_b"})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,5 +290,5 @@ def keep_one(
 
     with arrow_rows(docs.sparkSession, 1000):
         checked = staged(pairs.join(values, "a").join(other_values, "b").mapInArrow(compare, "a long, b long"), "checked")
-    gone = components(checked, "a", "b").filter("node <> component").select(F.col("node").alias("_row"))
-    return marked.join(gone, "_row", "left_anti").select(*(column(c) for c in docs.columns))
+    gone = components(checked, "a", "b").filter("node <> component").select(F.col("node").alias(row))
+    return marked.join(gone, row, "left_anti").select(*(column(c) for c in docs.columns))
