@@ -21,13 +21,18 @@ QUANTILE_ACCURACY = 1000
 def is_small(
     df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
 ) -> bool:
-    """Whether ``df`` holds at most ``max_rows`` rows of at most ``max_bytes`` in total.
+    """Whether ``df`` holds at most ``max_rows`` rows of at most ``max_bytes`` in total."""
+    rows, size = measured(df)
+    return rows <= max_rows and size <= max_bytes
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and their bytes, about.
 
     One aggregation over the table, combined map-side; only two numbers reach the driver.
     """
     width = sum((_width(df, field) for field in df.schema), F.lit(0).cast("bigint"))
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return rows <= max_rows and size <= max_bytes
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first())
 
 
 def _width(df: DataFrame, field: T.StructField) -> Column:

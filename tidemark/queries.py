@@ -29,7 +29,7 @@ from tidemark.operators import (
 )
 from tidemark.plans.session import join_policy, shared_dir
 from tidemark.plans.skew import HotKeys, find_hot_keys, rows_bound
-from tidemark.sources.files import read_csv, write_bucketed
+from tidemark.sources.files import bucket_count, read_csv, write_bucketed
 from tidemark.sources.kafka import EVENT_TIME_FORMAT, parse_events
 from tidemark.sources.snapshots import fold_periods, read_snapshot, upsert_snapshot, write_snapshot
 from tidemark.sources.tables import Tables
@@ -331,14 +331,14 @@ def csv_lookup_join(t: Tables) -> DataFrame:
 
 
 def _bucketed(t: Tables, hot: list[HotKeys | None]) -> dict[str, str]:
-    """The match tables in 16 buckets, written to the shared folder under names of their own."""
+    """The match tables in buckets, in a new shared folder; the catalog keeps one table for each."""
     folder = shared_dir(t.spark, "bucketed")
-    suffix = folder.rsplit("-", 1)[-1]
     inputs = {
         "medals": t.match_medals(), "details": t.match_details(), "matches": t.matches()
     }
+    n = bucket_count(inputs["medals"])
     return {
-        name: write_bucketed(df, f"{name}_{suffix}", "match_id", path=f"{folder}/{name}", hot=hot)
+        name: write_bucketed(df, f"tidemark_{name}", "match_id", n, f"{folder}/{name}", hot=hot)
         for name, df in inputs.items()
     }
 
@@ -429,7 +429,8 @@ def _layouts(t: Tables) -> DataFrame:
     )
     by_player = {"player": ["player_gamertag"]}
     return layout.layout_report(
-        rows, LAYOUTS | by_player, shared_dir(t.spark, "layouts"), ties=["match_id"]
+        rows, LAYOUTS | by_player, shared_dir(t.spark, "layouts"),
+        bucket_count(t.match_details()), ties=["match_id"],
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.plans.skew import HotKeys
+from tidemark.plans.skew import HotKeys, measured
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -24,6 +24,11 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     return reader.csv(path)
 
 
+def bucket_count(df: DataFrame, least: int = 16, bucket_bytes: int = 128 * 1024 * 1024) -> int:
+    """Buckets or files for ``df``: at least ``least``, and about ``bucket_bytes`` of rows in each."""
+    return max(least, -(-measured(df)[1] // bucket_bytes))
+
+
 def write_bucketed(
     df: DataFrame,
     table: str,
