@@ -258,3 +258,22 @@ def test_tiles_do_not_depend_on_the_order_of_rows(spark):
         links = simhash.near_links(df, 4, links=simhash.closest_links).distinct()
         found.append(sorted(map(tuple, links.collect())))
     assert found[0] and found[0] == found[1]
+
+
+def alike(a, b):
+    return simhash.similar(a, b, simhash.CHECKED_WORDS, simhash.SIMILARITY)
+
+
+def kept_texts(spark, texts, path):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    return {r["doc_id"] for r in simhash.keep_one(spark.read.parquet(path)).collect()}
+
+
+def test_copies_behind_another_text_of_their_fingerprint(spark, tmp_path):
+    """One shingle makes up over half of each text, so all have one fingerprint; the first is unlike the others."""
+    dice = random.Random(1)
+    rule = "--- " * 300
+    texts = [rule + " ".join(f"w{dice.random()}" for _ in range(100)) for _ in range(3)]
+    texts = [texts[0], texts[1], texts[1], texts[2], texts[2] + " end"]
+    assert len({simhash.fingerprint(t) for t in texts}) == 1
+    assert kept_texts(spark, texts, str(tmp_path / "d")) == {0, 1, 3}

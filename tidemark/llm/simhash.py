@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import arrow_rows, column, discard, lists, numbered, schema_of, slices, staged, unused
 from tidemark.llm.components import components
+from tidemark.llm.setjoin import candidates
 
 SEED = 42
 WORDS = 3
@@ -257,17 +258,22 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` without near copies: one row, the first as stored, of each group.
 
-    Fingerprints within a wide radius only suggest copies. Every fingerprint is compared, on the texts,
-    with the closest one of each tile, and every row with the first row of its own fingerprint: the sets
-    of their shingles of ``checked_words`` words must have a similarity of ``similarity``. Groups are connected by the
-    links that pass. So a group of any size makes a few comparisons for each row, not all pairs.
+    Groups are connected by pairs whose sets of shingles of ``checked_words`` words have a similarity of ``similarity``,
+    all of them. Rows of one text are merged first. Then fingerprints within a wide radius suggest copies: each is
+    compared, on the texts, with the closest one of every tile, and every text with the first one of its own fingerprint.
+    That joins large groups with a few comparisons for each text. Whatever it leaves apart goes through an exact join
+    on shared shingles, so no pair depends on fingerprints.
 
     ``docs`` must be a stored table, read the same way each time. Rows without words are similar to each other only. Keys do not matter: repeated and NULL ones are compared like any
     other. All columns are kept as they are.
     """
     row = unused(docs, "_row")
     marked = numbered(docs, row)
-    texts = marked.select(F.col(row).alias("_row"), column(text).alias("text"))
+    every = marked.select(F.col(row).alias("_row"), F.coalesce(column(text), F.lit("")).alias("text"))
+    worded = F.col("text").rlike(r"[^ \t\n\x0B\f\r]")
+    keyed = staged(every.select("_row", F.when(worded, F.sha2("text", 256)).otherwise("").alias("same")), "same")
+    firsts = staged(keyed.groupBy("same").agg(F.min("_row").alias("first")), "texts")
+    texts = every.join(firsts.select(F.col("first").alias("_row")), "_row", "left_semi")
     prints = staged(with_fingerprints(texts, "text", words).select("_row", "_fp"), "prints")
     per_print = staged(prints.groupBy("_fp").agg(F.min("_row").alias("first")), "firsts")
     links = near_links(per_print.select("_fp"), radius, links=closest_links)
@@ -277,7 +283,7 @@ def keep_one(
         apart.join(per_print, "_fp").join(others, "other").select(F.col("first").alias("a"), "b")
         .union(prints.join(per_print, "_fp").filter("_row <> first").select("_row", "first"))
     )
-    values = texts.select(F.col("_row").alias("a"), F.coalesce("text", F.lit("")).alias("text_a"))
+    values = every.select(F.col("_row").alias("a"), F.col("text").alias("text_a"))
     other_values = values.withColumnsRenamed({"a": "b", "text_a": "text_b"})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +294,14 @@ def keep_one(
                 [batch.column("a").filter(found), batch.column("b").filter(found)], names=["a", "b"]
             )
 
-    with arrow_rows(docs.sparkSession, 1000):
-        checked = staged(pairs.join(values, "a").join(other_values, "b").mapInArrow(compare, "a long, b long"), "checked")
-    gone = components(checked, "a", "b").filter("node <> component").select(F.col("node").alias(row))
+    def checked(pairs: DataFrame) -> DataFrame:
+        with arrow_rows(docs.sparkSession, 1000):
+            joined = pairs.join(values, "a").join(other_values, "b")
+            return staged(joined.mapInArrow(compare, "a long, b long"), "checked")
+
+    near = checked(pairs)
+    rest = candidates(texts, components(near, "a", "b"), checked_words, similarity)
+    groups = components(near.union(checked(rest)), "a", "b")
+    copies = keyed.join(firsts, "same").filter("_row <> first").select(F.col("_row").alias(row))
+    gone = groups.filter("node <> component").select(F.col("node").alias(row)).union(copies)
     return marked.join(gone, row, "left_anti").select(*(column(c) for c in docs.columns))
