@@ -277,3 +277,20 @@ def test_copies_behind_another_text_of_their_fingerprint(spark, tmp_path):
     texts = [texts[0], texts[1], texts[1], texts[2], texts[2] + " end"]
     assert len({simhash.fingerprint(t) for t in texts}) == 1
     assert kept_texts(spark, texts, str(tmp_path / "d")) == {0, 1, 3}
+
+
+def test_copies_near_the_threshold(spark, tmp_path):
+    """Recall by bands of similarity, over distinct texts: every pair at 0.8 or more, however far the fingerprints."""
+    dice = random.Random(2)
+    texts = []
+    for _ in range(400):
+        words = [f"w{dice.randrange(10**6)}" for _ in range(dice.randint(60, 300))]
+        edited = list(words)
+        for at in dice.sample(range(len(words)), round(len(words) * dice.choice((0.01, 0.015, 0.02, 0.025)))):
+            edited[at] = f"v{dice.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(edited)]
+    kept = kept_texts(spark, texts, str(tmp_path / "d"))
+    prints = [simhash.fingerprint(t) for t in texts]
+    similar = [i for i in range(0, 800, 2) if alike(texts[i], texts[i + 1])]
+    far = [i for i in similar if (prints[i] ^ prints[i + 1]).bit_count() > simhash.WIDE_RADIUS]
+    assert far and set(range(800)) - kept == {i + 1 for i in similar}
