@@ -294,3 +294,24 @@ def test_copies_near_the_threshold(spark, tmp_path):
     similar = [i for i in range(0, 800, 2) if alike(texts[i], texts[i + 1])]
     far = [i for i in similar if (prints[i] ^ prints[i + 1]).bit_count() > simhash.WIDE_RADIUS]
     assert far and set(range(800)) - kept == {i + 1 for i in similar}
+
+
+def stored_texts(spark, texts, path):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def random_words(dice, count):
+    return [f"w{dice.randrange(10**7)}" for _ in range(count)]
+
+
+def test_a_rejected_chain_hides_no_passage(spark, tmp_path):
+    """A sparse chain with an earlier document runs over an exact copy from another one, and is rejected itself."""
+    dice = random.Random(6)
+    head, phrase, tail = (random_words(dice, 32) for _ in range(3))
+    copy = random_words(dice, 15) + phrase + random_words(dice, 15)
+    first = head + random_words(dice, 15) + phrase + random_words(dice, 15) + tail
+    middle, last = random_words(dice, 20) + copy, head + copy + tail
+    frame = stored_texts(spark, [" ".join(t) for t in (first, middle, last)], str(tmp_path / "d"))
+    got = [r for r in passages.repeated_passages(frame).collect() if r["doc_id"] == 2]
+    assert [(r["other_doc_id"], r["n_words"]) for r in got] == [(1, 62)]
