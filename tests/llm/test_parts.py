@@ -315,3 +315,19 @@ def test_a_rejected_chain_hides_no_passage(spark, tmp_path):
     frame = stored_texts(spark, [" ".join(t) for t in (first, middle, last)], str(tmp_path / "d"))
     got = [r for r in passages.repeated_passages(frame).collect() if r["doc_id"] == 2]
     assert [(r["other_doc_id"], r["n_words"]) for r in got] == [(1, 62)]
+
+
+def test_frequent_seeds_have_the_same_links(spark, monkeypatch):
+    """Scanned in ranges of documents or not, seeds have the same links, those at many places too."""
+    dice = random.Random(7)
+    rows = []
+    for seed in range(12):
+        for uid in sorted(dice.sample(range(300), 200)):
+            places = sorted(dice.sample(range(500), dice.choice((1, 2, 20))))
+            rows += [(seed, uid, pos, nth) for nth, pos in enumerate(places)]
+    found = spark.createDataFrame(rows, "seed long, uid long, pos long, nth long")
+    links = []
+    for least in (10**9, 1):
+        monkeypatch.setattr(passages, "HOT_COUNT", least)
+        links.append(sorted(map(tuple, passages.anchors(found).collect())))
+    assert links[0] == links[1] and len(links[0]) > len(rows)
