@@ -331,3 +331,25 @@ def test_frequent_seeds_have_the_same_links(spark, monkeypatch):
         monkeypatch.setattr(passages, "HOT_COUNT", least)
         links.append(sorted(map(tuple, passages.anchors(found).collect())))
     assert links[0] == links[1] and len(links[0]) > len(rows)
+
+
+def recall(length, edits, tries=300, seed=8):
+    """Share of planted passages with so many words changed that are found between two documents."""
+    dice = np.random.default_rng(seed)
+    k, found = passages.K, 0
+    for _ in range(tries):
+        a, b = (dice.integers(0, 1 << 63, 400, np.uint64) for _ in range(2))
+        b[150 : 150 + length] = a[200 : 200 + length]
+        b[150 + dice.choice(length, edits, replace=False)] += np.uint64(1)
+        (s, x), (t, y) = passages.seeds(a), passages.seeds(b)
+        i, j = np.nonzero(s[:, None] == t[None, :])
+        ref = np.zeros(len(i), np.int64)
+        chains = passages.chains_of(ref, x[i], y[j], k, passages.MAX_GAP, 20)
+        spans = [p for _, xs, ys in chains for p in passages.align(a, b, np.array(xs), np.array(ys), k, 50, 0.8)]
+        found += any(p[0] < 200 + length and p[1] > 200 for p in spans)
+    return found / tries
+
+
+@pytest.mark.parametrize(("length", "edits", "least"), [(55, 8, 0.7), (60, 8, 0.94), (80, 10, 0.98), (100, 15, 0.98)])
+def test_recall_of_fuzzy_passages(length, edits, least):
+    assert recall(length, edits) >= least
