@@ -309,12 +309,12 @@ def test_a_rejected_chain_hides_no_passage(spark, tmp_path):
     """A sparse chain with an earlier document runs over an exact copy from another one, and is rejected itself."""
     dice = random.Random(6)
     head, phrase, tail = (random_words(dice, 32) for _ in range(3))
-    copy = random_words(dice, 15) + phrase + random_words(dice, 15)
-    first = head + random_words(dice, 15) + phrase + random_words(dice, 15) + tail
+    copy = random_words(dice, 18) + phrase + random_words(dice, 18)
+    first = head + random_words(dice, 18) + phrase + random_words(dice, 18) + tail
     middle, last = random_words(dice, 20) + copy, head + copy + tail
     frame = stored_texts(spark, [" ".join(t) for t in (first, middle, last)], str(tmp_path / "d"))
     got = [r for r in passages.repeated_passages(frame).collect() if r["doc_id"] == 2]
-    assert [(r["other_doc_id"], r["n_words"]) for r in got] == [(1, 62)]
+    assert [(r["other_doc_id"], r["n_words"]) for r in got] == [(1, 68)]
 
 
 def test_frequent_seeds_have_the_same_links(spark, monkeypatch):
@@ -324,8 +324,8 @@ def test_frequent_seeds_have_the_same_links(spark, monkeypatch):
     for seed in range(12):
         for uid in sorted(dice.sample(range(300), 200)):
             places = sorted(dice.sample(range(500), dice.choice((1, 2, 20))))
-            rows += [(seed, uid, pos, nth) for nth, pos in enumerate(places)]
-    found = spark.createDataFrame(rows, "seed long, uid long, pos long, nth long")
+            rows += [(seed, uid, pos, nth, seed % 3) for nth, pos in enumerate(places)]
+    found = spark.createDataFrame(rows, "seed long, uid long, pos long, nth long, span long")
     links = []
     for least in (10**9, 1):
         monkeypatch.setattr(passages, "HOT_COUNT", least)
@@ -353,3 +353,13 @@ def recall(length, edits, tries=300, seed=8):
 @pytest.mark.parametrize(("length", "edits", "least"), [(55, 8, 0.7), (60, 8, 0.94), (80, 10, 0.98), (100, 15, 0.98)])
 def test_recall_of_fuzzy_passages(length, edits, least):
     assert recall(length, edits) >= least
+
+
+def test_quotes_of_halves_hide_no_passage(spark, tmp_path):
+    """Between two full copies of a passage, other documents quote one half or the other."""
+    dice = random.Random(9)
+    copy = random_words(dice, 60)
+    parts = [copy[:30], copy[30:], copy, copy[:30], copy[30:], copy[:30], copy[30:], copy]
+    texts = [" ".join(random_words(dice, 40) + p + random_words(dice, 40)) for p in parts]
+    got = passages.repeated_passages(stored_texts(spark, texts, str(tmp_path / "d"))).collect()
+    assert sorted((r["doc_id"], r["other_doc_id"], r["n_words"]) for r in got) == [(2, 7, 60), (7, 2, 60)]
