@@ -363,3 +363,15 @@ def test_quotes_of_halves_hide_no_passage(spark, tmp_path):
     texts = [" ".join(random_words(dice, 40) + p + random_words(dice, 40)) for p in parts]
     got = passages.repeated_passages(stored_texts(spark, texts, str(tmp_path / "d"))).collect()
     assert sorted((r["doc_id"], r["other_doc_id"], r["n_words"]) for r in got) == [(2, 7, 60), (7, 2, 60)]
+
+
+def test_a_word_more_at_the_front_keeps_texts_alike(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [("own", " ".join(words)), ("more", " ".join(["new", *words])), ("less", " ".join(words[1:])), ("none", "  ")]
+    found = multiset.lanes(spark.createDataFrame(rows, "k string, text string"), ["k"], "text")
+    by = {r["k"]: (r["exact"], r["signed"]) for r in found.collect()}
+    assert not any(by["none"][1])
+    kind = "a array<long>, b array<short>, c array<long>, d array<short>"
+    pairs = spark.createDataFrame([(*by["own"], *by[k]) for k in ("more", "less")], kind)
+    got = pairs.select(multiset.likeness((F.col("a"), F.col("b")), (F.col("c"), F.col("d"))).alias("near")).collect()
+    assert all(r["near"] > 0.95 for r in got)

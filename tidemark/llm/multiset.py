@@ -22,21 +22,25 @@ EXACT = 8
 SIGNED = 128
 EXACT_MODULUS = 1 << 32
 SIGNED_MODULUS = 1 << 16
-WORDS = r"\S+(?:\s+\S+){0,2}"  # up to three words, one after the other
+WORDS = 3  # of a shingle
 
 
 def _units(text: Column) -> Column:
-    """Every paragraph, marked, and its words in threes."""
+    """Every paragraph, marked, and every three words in a row of it, or all if it has fewer."""
     paragraphs = F.split(text, "\n")
     return F.flatten(
         F.transform(
             paragraphs,
             lambda p: F.concat(
                 F.array(F.struct(F.lit(True).alias("whole"), p.alias("value"))),
-                F.transform(
-                    F.regexp_extract_all(p, F.lit(WORDS), F.lit(0)),
-                    lambda w: F.struct(F.lit(False).alias("whole"), w.alias("value")),
-                ),
+                F.flatten(F.transform(
+                    F.array(F.regexp_extract_all(p, F.lit(r"\S+"), F.lit(0))),  # split once, used by every shingle
+                    lambda words: F.transform(
+                        F.when(F.size(words) > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (WORDS - 1))))
+                        .otherwise(F.array().cast("array<int>")),
+                        lambda i: F.struct(F.lit(False).alias("whole"), F.array_join(F.slice(words, i, WORDS), " ").alias("value")),
+                    ),
+                )),
             ),
         )
     )
