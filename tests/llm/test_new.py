@@ -1,0 +1,256 @@
+"""Importance resampling, k-d shards and periodic runs: their queries against brute force, and odd tables."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_queries import result, stored
+
+from tidemark.llm import importance, kdtree, periods
+from tidemark.llm.queries import QUERIES
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+# Importance resampling
+
+
+def features(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+    return len(words), [" ".join(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)]
+
+
+def drawn(docs, target, percent=5, seed=42):
+    own = [features(d["text"]) for d in docs]
+    bucket = lambda f: zlib.crc32(f.encode()) % 10000
+    s = Counter(bucket(f) for _, found in own for f in found)
+    t = Counter(bucket(f) for text in target for f in features(text)[1])
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = [
+        math.floor(1000 * math.log((t[b] + 1) * (big_s + 10000) / ((s[b] + 1) * (big_t + 10000)))) for b in range(10000)
+    ]
+    rows = []
+    for d, (n, found) in zip(docs, own, strict=True):
+        h = int(hashlib.sha256(f"{seed}:{'' if d['doc_id'] is None else d['doc_id']}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[bucket(f)] for f in found)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        rows.append({"doc_id": d["doc_id"], "n_features": len(found), "weight": weight, "score": score, "n": n})
+    fit = sorted((r for r in rows if r["n"] >= 20), key=lambda r: (-r["score"], r["doc_id"] is None, r["doc_id"]))
+    chosen = {id(r): i + 1 for i, r in enumerate(fit[: percent * len(fit) // 100])}
+    return [{k: v for k, v in r.items() if k != "n"} | {"rank": chosen.get(id(r))} for r in rows]
+
+
+def by_values(rows):
+    return sorted((tuple((k, repr(v)) for k, v in sorted(r.items())) for r in rows))
+
+
+def test_importance(spark):
+    want = drawn(stored("documents", FOLDER), [r["text"] for r in stored("benchmark", FOLDER)])
+    assert by_values(result(spark, "op11_importance", FOLDER)) == by_values(want)
+
+
+ODD = [
+    (1, None), (2, ""), (3, "..!? \t"), (4, "word " * 50_000), (5, "Éa É-b x1" * 9), (5, "Éa É-b x1" * 9), (None, "a b " * 30),
+    (None, None), (7, "same words here again " * 10), (8, "same words here again " * 10), (9, "ÀÉ İ ß   \U0001f600 z " * 8),
+    (10, " ".join(f"w{i % 7}{'x' * (i % 60)}" for i in range(300))),
+]
+
+
+def odd(spark, more=""):
+    return spark.createDataFrame(ODD, "doc_id long, text string").selectExpr("*", *([more] if more else []))
+
+
+@pytest.mark.parametrize("words, pairs", [(4, 3), (1000, 1000), (0, 0)])
+def test_importance_of_odd_tables(spark, monkeypatch, words, pairs):
+    monkeypatch.setattr(importance.train_head, "__defaults__", ("text", words, pairs))
+    monkeypatch.setattr(importance.pieces, "__defaults__", (100,))  # texts in small parts
+    target = ["a b a b", None, "", "same words", "É b"]
+    goal = spark.createDataFrame([(t,) for t in target], "text string")
+    got = importance.resample(odd(spark, "1 AS _fit").withColumn("_part", F.lit("x")), goal, percent=50)
+    docs = [{"doc_id": a, "text": b} for a, b in ODD]
+    assert by_values(r.asDict() for r in got.collect()) == by_values(drawn(docs, target, 50))
+    assert importance.resample(odd(spark).limit(0), goal).collect() == []
+    none = importance.resample(odd(spark), goal.limit(0), percent=50)
+    assert by_values(r.asDict() for r in none.collect()) == by_values(drawn(docs, [], 50))
+
+
+def test_importance_draw(spark):
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat_ws(' ', sequence(id, id + 30)) AS text", "id AS score")
+    goal = spark.createDataFrame([("150 151 152 153 154",)], "text string")
+    got = importance.draw(docs, goal, percent=10)
+    assert got.columns == docs.columns and got.count() == 20
+
+
+def test_head_states_equal_the_crc():
+    words = [b"a", b"bc", "é".encode(), b"x" * importance.HEAD_BYTES]
+    head = importance.Head(words, [(b"a", b"bc")])
+    for first in words:
+        for second in words:
+            a, b = (np.array([head.number[w]]) for w in (first, second))
+            state, bucket = head.pairs(a, b)
+            assert state[0] == zlib.crc32(first + b" " + second) and bucket[0] == state[0] % 10000
+
+
+# K-d shards
+
+
+def check_shards(rows, docs, shards, excess):
+    """Right sizes, gapless slots in order of the key, bytes near the share of a shard."""
+    assert sorted((repr(r["doc_id"]), r["size"], r["text_crc32"]) for r in rows) == sorted(
+        (repr(d), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in docs
+    )
+    by_shard = defaultdict(list)
+    for r in rows:
+        by_shard[r["shard"]].append(r)
+    for own in by_shard.values():
+        own.sort(key=lambda r: r["slot"])
+        assert [r["slot"] for r in own] == list(range(len(own)))
+        keys = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in own]
+        assert keys == sorted(keys)
+    assert set(by_shard) <= set(range(shards))
+    sizes = [sum(r["size"] for r in by_shard[s]) for s in range(shards)]
+    share = sum(sizes) / shards
+    assert max(abs(s - share) for s in sizes) <= excess
+
+
+def test_shards(spark):
+    docs = [(d["doc_id"], d["text"]) for d in stored("documents", FOLDER)]
+    got = result(spark, "op12_kd_shards", FOLDER)
+    assert all(r["law"] == "bytes" and r["grown_shard"] is None for r in got)
+    # Each of the splits above a leaf is off by half a document at most, and shares its fault among the leaves below.
+    check_shards(got, docs, 40, max(len((t or "").encode()) for _, t in docs))
+
+
+def test_shards_have_no_python(spark):
+    plan = QUERIES["op12_kd_shards"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan
+
+
+def test_shards_of_odd_tables(spark):
+    rows = [r.asDict() for r in kdtree.kd_shards(odd(spark, "'x' AS row").withColumn("at", F.lit(1)), 3).collect()]
+    check_shards(rows, ODD, 3, 300_000)  # one text holds nearly all bytes
+    assert kdtree.kd_shards(odd(spark).limit(0)).collect() == []
+    assert {r["shard"] for r in kdtree.kd_shards(odd(spark), 1).collect()} == {0}
+
+
+def test_shards_of_copies(spark):
+    # One row in three is the same row, key included; all metadata of another third is equal.
+    docs = [(7, "same")] * 400 + [(i, "equal") for i in range(400)] + [(1000 + i, "x" * i) for i in range(400)]
+    df = spark.createDataFrame([(*d, None, "s") for d in docs], "doc_id long, text string, lang string, source string")
+    found = [r.asDict() for r in kdtree.kd_shards(df.repartition(5), 8).collect()]
+    check_shards(found, docs, 8, 3 * 416)
+    found = [r.asDict() for r in kdtree.kd_shards(df, target_bytes=10_000).collect()]
+    shards = -(-sum(len(t) + 16 for _, t in docs) // 10_000)
+    check_shards(found, docs, shards, 3 * 416)
+
+
+def test_splits_follow_the_widest_dimension(spark):
+    docs = spark.range(1000).selectExpr("id AS doc_id", "'t' AS text", "id % 10 AS a", "CASE WHEN id = 0 THEN 'NaN' END AS b")
+    found = kdtree.kd_shards(docs, 5, dims={"a": F.col("a"), "b": F.col("b").cast("double")})
+    values = found.groupBy("shard").agg(F.collect_set(F.col("doc_id") % 10).alias("a"), F.count("*").alias("n")).collect()
+    assert all(r["n"] == 200 for r in values)
+    assert sorted(sorted(r["a"]) for r in values) == [[i, i + 1] for i in range(0, 10, 2)]
+
+
+def test_write_shards(spark, tmp_path):
+    source = odd(spark).withColumns({"shard": F.lit("mine"), "_row": F.lit(3)})
+    source.write.parquet(str(tmp_path / "in"))
+    kdtree.write_shards(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "out"), file_rows=2, shards=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(back.columns) == ["_row", "_shard", "doc_id", "shard", "slot", "text"]
+    assert sorted((repr(r["doc_id"]), repr(r["text"])) for r in back.collect()) == sorted((repr(a), repr(b)) for a, b in ODD)
+    assert {r["_shard"] for r in back.collect()} == {"mine"}
+
+
+# Periodic runs
+
+
+def brute_runs(words, least_words=6, least_periods=4):
+    """Every run: for each period, stretches of words equal to those a period before, without a smaller period."""
+    found, n = {}, len(words)
+    for q in range(1, n // least_periods + 1):
+        at = q
+        while at < n:
+            end = at
+            while end < n and words[end] == words[end - q]:
+                end += 1
+            if end - at + q >= max(least_words, least_periods * q):
+                # A smaller period divides q, as the stretch is longer than both together.
+                key = (at - q, end - at + q)
+                if all(q % p or s > key[0] or s + m < sum(key) for (s, m), p in found.items()):
+                    found[key] = q
+            at = max(end, at) + 1
+    return sorted((s, m, p) for (s, m), p in found.items())
+
+
+def periodic(doc_id, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def digests(words):
+    runs = brute_runs(words)
+    kept = [True] * len(words)
+    for start, length, period in runs:
+        kept[start + period : start + length] = [False] * (length - period)
+    best = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=(None,) * 3)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return {
+        "n_runs": len(runs), "start": best[0], "length": best[1], "period": best[2],
+        "exponent_milli": 1000 * best[1] // best[2] if runs else None,
+        "runs_sha256": sha("".join(f"{s},{m},{p}\n" for s, m, p in runs)),
+        "collapsed_sha256": sha(" ".join(w for w, k in zip(words, kept, strict=True) if k)),
+    }
+
+
+def test_periodic_runs(spark):
+    want = [{"doc_id": d["doc_id"], **digests(periodic(d["doc_id"], d["text"]))} for d in stored("documents")]
+    got = result(spark, "op13_periodic_runs")
+    assert sum(r["n_runs"] for r in got) > 10
+    assert sorted(got, key=lambda r: r["doc_id"]) == sorted(want, key=lambda r: r["doc_id"])
+
+
+@pytest.mark.parametrize("least_words, least_periods", [(2, 2), (6, 4), (1, 3)])
+def test_runs_of_random_words(least_words, least_periods):
+    draw = random.Random(least_words)
+    for _ in range(400):
+        n, kinds = draw.randint(0, 60), draw.choice([1, 2, 3, 5])
+        words = [b"%d" % draw.randrange(kinds) for _ in range(n)]
+        if n > 3 and draw.random() < 0.5:
+            a = draw.randrange(n)
+            p = 1 + (n - a) // draw.randint(2, 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        want = [
+            (s, m, p) for s, m, p in brute_runs(words, least_words, 2) if m >= max(least_words, least_periods * p)
+        ]
+        assert periods.runs_of(words, least_words, least_periods) == want
+
+
+def test_runs_of_odd_tables(spark):
+    docs = odd(spark, "1 AS runs").withColumn("n_words", F.lit("x"))
+    got = {(repr(r["doc_id"]), r["n_words"], tuple(map(tuple, r["runs"])), r["collapsed"]) for r in periods.periodic_runs(docs).collect()}
+    want = set()
+    for doc_id, text in ODD:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        runs = brute_runs(words) if len(words) < 5000 else [(0, len(words), 1)]
+        kept = [True] * len(words)
+        for s, m, p in runs:
+            kept[s + p : s + m] = [False] * (m - p)
+        want.add((repr(doc_id), len(words), tuple(runs), " ".join(w for w, k in zip(words, kept, strict=True) if k)))
+    assert got == want
+    assert periods.periodic_runs(odd(spark).limit(0)).collect() == []

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding, langid, mixing, multiset, packing, passages, simhash, tokenbin, toxicity, warc
+from tidemark.llm import (
+    embedding, importance, kdtree, langid, mixing, multiset, packing, passages, periods, simhash, tokenbin, toxicity, warc,
+)
 from tidemark.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -91,11 +93,52 @@ def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
+    found = kdtree.kd_shards(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def _periodic(doc_id: str = "doc_id", text: str = "text"):
+    """The text; for one document in ten, by the CRC of its key, with words from some place on that repeat a period."""
+    h = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(1))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, "[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = g % n
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    a, p = (c.cast("int") for c in (a, p))
+    periods_of = F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))
+    again = F.concat(F.slice(words, F.lit(1), a), F.slice(F.flatten(periods_of), F.lit(1), n - a))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(again, " ")).otherwise(F.col(text))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", _periodic().alias("text"))
+    found = periods.periodic_runs(docs).withColumn("best", periods.longest_run())
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_binary, op2_simhash, op3_language_id, op4_mixing, op5_packing, op6_multiset_hash,
-        op7_toxicity, op8_warc, op9_embedding_join, op10_passages,
+        op7_toxicity, op8_warc, op9_embedding_join, op10_passages, op11_importance, op12_kd_shards,
+        op13_periodic_runs,
     )
 }
 
