@@ -148,3 +148,39 @@ def test_shared_folder_is_the_configured_one(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     one, other = shared_dir(spark, "a"), shared_dir(spark, "a")
     assert one.startswith(root) and one != other
+
+
+CHANGES = "device_id int, changed timestamp_ntz, browser_type string, device_type string, os_type string"
+
+
+def moment(day, hour=0):
+    return dt.datetime(2023, 1, day, hour)
+
+
+def test_versions_of_a_device_follow_each_other(spark):
+    changes = spark.createDataFrame(
+        [(1, moment(5), "b", "d", "o"), (1, moment(2), "a", "d", "o"), (1, moment(5), "a2", "d", "o"),
+         (2, moment(3), "c", None, None), (None, moment(1), "x", "d", "o"), (3, None, "x", "d", "o")], CHANGES,
+    )
+    found = joins.device_history(changes)
+    assert rows(found, "device_id", "since", "until", "browser_type") == sorted(
+        [(1, moment(2), moment(5), "a"), (1, moment(5), None, "a2"), (2, moment(3), None, "c")], key=repr
+    )
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_an_event_gets_one_version(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(joins, "broadcast_if_small", lambda df: df)
+    changes = [(i % 6, moment(1 + i // 6, i % 24), f"b{i}", "d", "o") for i in range(120)]
+    events = [(i, i % 9 if i % 7 else None, i % 8, moment(9, i % 24)) for i in range(300)]
+    history = joins.device_history(spark.createDataFrame(changes, CHANGES))
+    frame = spark.createDataFrame(events, "event_id int, user_id int, device_id int, event_time timestamp_ntz")
+    found = joins.enrich_events(frame, history, dt.date(2023, 1, 9))
+    want = []
+    for event, user, device, at in events:
+        known = [c for c in changes if c[0] == device and c[1] <= at]
+        if user is not None and known:
+            want.append((event, max(known, key=lambda c: c[1])[2]))
+    assert rows(found, "event_id", "browser_type") == sorted(want, key=repr)
+    assert found.columns == ["device_id", "event_id", "user_id", "event_time", "browser_type", "device_type", "os_type"]

@@ -2,7 +2,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from tidemark.operators.layout import arrange, layout_report
+from tidemark.operators.layout import _key_figures, arrange, layout_report
 from tidemark.plans.session import shared_dir
 
 
@@ -25,6 +25,23 @@ def test_report(spark, matches):
     assert {r.files for r in found.values()} == {4}
     assert 0 < found["map"].bytes < found["none"].bytes
     assert [r.bytes for r in report.collect()] == sorted(r.bytes for r in found.values())
+    assert [found[n].keys for n in ("none", "playlist", "map")] == [None, 8, 20]
+    assert found["playlist"].files_of_a_key == 4 and found["playlist"].unsorted == found["map"].unsorted == 0
+
+
+def test_a_hash_layout_has_a_key_in_one_file(spark, matches):
+    report = layout_report(matches, {"none": [], "map": ["map"]}, shared_dir(spark, "sizes"), 4, "hash")
+    found = {r.layout: r for r in report.collect()}
+    assert (found["map"].rows, found["map"].keys, found["map"].files_of_a_key, found["map"].unsorted) == (20_000, 20, 1, 0)
+    alone = layout_report(matches, {"none": []}, shared_dir(spark, "sizes"), 2).collect()
+    assert [(r.rows, r.files, r.keys) for r in alone] == [(20_000, 2, None)]
+
+
+def test_rows_out_of_order_are_counted(spark, tmp_path):
+    data = spark.createDataFrame([(k,) for k in (1, 3, 2, None, 5, 4)], "k int").coalesce(1)
+    data.write.parquet(str(tmp_path / "t"))
+    found = _key_figures(spark.read.schema("k int").parquet(str(tmp_path / "t")), ["k"])
+    assert rows(found) == [(6, 1, 3)]
 
 
 def test_range_splits_a_hot_key_and_hash_does_not(matches):

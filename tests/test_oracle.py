@@ -24,7 +24,7 @@ def test_query(spark, con, name):
 def test_every_statement_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     without = set(entry.queries()) - set(entry.oracle_sql()) - set(entry.CORPUS_QUERIES)
-    assert without == {"layout_sizes"}
+    assert without == set()
 
 
 def test_entry(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.session import shared_dir
 from tidemark.sources.jdbc import read_jdbc, write_jdbc
+from tidemark.sources.store import KeyedTable
 from tidemark.sources.kafka import kafka_options, parse_events, read_event_files, read_kafka
 from tidemark.streaming import runs, windows
 
@@ -149,3 +150,25 @@ def test_wrappers_reach_their_sources(spark):
 def test_shared_folder_for_checkpoints(spark):
     assert shared_dir(spark, "stream")
     assert "HashAggregate" in plan(windows.tumbling_counts(batch(spark, LINES)))
+
+
+def test_updates_by_key_survive_a_repeated_batch(spark, tmp_path):
+    """Each file changes windows of the one before; the last batch is sent again, as after a crash."""
+    source = tmp_path / "in"
+    source.mkdir()
+    for n in range(3):
+        (source / f"{n}.json").write_text("\n".join(LINES[n::3]))
+    counts = windows.tumbling_counts(read_event_files(spark, str(source), 1), lateness=None)
+    table = KeyedTable(spark, str(tmp_path / "table"), counts.schema, ["ip", "host", "window_start"], 4)
+    checkpoint = tmp_path / "checkpoint"
+    runs.upsert_to_table(counts, table, str(checkpoint), interval=None).awaitTermination()
+    want = windows.tumbling_counts(batch(spark, LINES))
+    assert rows(table.read()) == rows(want)
+    version = table.log.latest()
+    assert version == 3
+    for name in ("2", ".2.crc"):
+        (checkpoint / "commits" / name).unlink(missing_ok=True)
+    run = runs.upsert_to_table(counts, table, str(checkpoint), interval=None)
+    run.awaitTermination()
+    assert [p.batchId for p in run.recentProgress if p.numInputRows] == [2]
+    assert table.log.latest() == version and rows(table.read()) == rows(want)

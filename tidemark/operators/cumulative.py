@@ -105,9 +105,11 @@ def cumulate_entities(
     old, new = old.alias("old"), new.alias("new")
     none = _no_items(new, table)
     present = F.col(f"new.{table.period}").isNotNull()
-    return old.join(new, [table.key, "page"], "full").select(
+    # Snapshots of one page may be stored by entity alone.
+    unit = [table.key] if pages == 1 else [table.key, "page"]
+    return old.join(new, unit, "full").select(
         table.key,
-        "page",
+        F.lit(0).alias("page") if pages == 1 else "page",
         F.coalesce(f"old.{table.label}", f"new.{table.label}").alias(table.label),
         F.concat(
             F.coalesce(f"old.{table.items}", none), F.coalesce(f"new.{table.items}", none)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.bits import datelist_bits
 from tidemark.plans.skew import broadcast_if_small
 
-USER_DEVICE = ("user_id", "device_id", "browser_type")
+DEVICE = ("user_id", "device_id")
+USER_DEVICE = (*DEVICE, "browser_type")
 
 
 def active_days(events: DataFrame, keys: Sequence[str], time: str = "event_time") -> DataFrame:
@@ -21,6 +22,24 @@ def active_days(events: DataFrame, keys: Sequence[str], time: str = "event_time"
     return events.filter(known).select(*keys, F.to_date(time).alias("date_active")).distinct()
 
 
+def device_days(events: DataFrame, time: str = "event_time") -> DataFrame:
+    """Active days per (user, device), ids as text, for events with a user."""
+    days = active_days(events, DEVICE, time)
+    return days.withColumns({name: F.col(name).cast("string") for name in DEVICE})
+
+
+def with_browsers(lists: DataFrame, devices: DataFrame) -> DataFrame:
+    """Rows per (user, device) for each browser of the device.
+
+    All browsers of a device have its days, so lists and bitmaps are built, stored and advanced per (user, device) and
+    fan out where they are read: nothing is shuffled after that if the browsers are few enough to be broadcast.
+    """
+    browsers = devices.select(F.col("device_id").cast("string"), "browser_type").distinct()
+    known = broadcast_if_small(browsers.filter(F.col("browser_type").isNotNull()))
+    others = [c for c in lists.columns if c not in DEVICE]
+    return lists.join(known, "device_id").select(*USER_DEVICE, *others)
+
+
 def user_device_days(events: DataFrame, devices: DataFrame, time: str = "event_time") -> DataFrame:
     """Active days per (user, device, browser), ids as text, for events with a user.
 
@@ -98,6 +117,23 @@ def datelist_history(
     )
 
 
+def bitmap_step(
+    prev: DataFrame, days: DataFrame, keys: Sequence[str], day: dt.date, n: int = 32
+) -> DataFrame:
+    """Bitmaps as of ``day`` from those of the day before and the active days.
+
+    All bits move one day back, the oldest falls off, and the highest is set for keys that were active. Keys of the day
+    before stay, with a bitmap of 0 after ``n`` days without activity. Only rows of ``day`` are read from ``days``.
+    """
+    today = days.filter(F.col("date_active") == F.lit(day)).select(*keys, F.lit(True).alias("active")).distinct()
+    before = prev.filter(F.col("date") == F.lit(day - dt.timedelta(days=1))).select(*keys, "datelist_int")
+    bits = F.shiftright(F.coalesce("datelist_int", F.lit(0).cast("bigint")), 1)
+    newest = F.when(F.col("active"), F.lit(1 << (n - 1)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return before.join(today, list(keys), "full").select(
+        *keys, bits.bitwiseOR(newest).alias("datelist_int"), F.lit(day).alias("date")
+    )
+
+
 def datelist_int(
     df: DataFrame,
     keys: Sequence[str],

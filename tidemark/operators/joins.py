@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.skew import (
@@ -94,13 +94,36 @@ def enrich_location(
     )
 
 
+def device_history(changes: DataFrame, key: str = "device_id", changed: str = "changed") -> DataFrame:
+    """Versions of each device with the time from which (``since``) and before which (``until``) they hold.
+
+    A version holds until the next change of its device, the last one without end. Of changes at the same time the
+    first in the order of all columns counts. A device without a key or time is none.
+    """
+    others = [c for c in changes.columns if c not in (key, changed)]
+    known = changes.filter(F.col(key).isNotNull() & F.col(changed).isNotNull())
+    version = F.min(F.struct(*others)).alias("version")  # one for each device and time, combined map-side
+    versions = known.groupBy(key, changed).agg(version)
+    until = F.lead(changed).over(Window.partitionBy(key).orderBy(changed))
+    return versions.select(key, F.col(changed).alias("since"), until.alias("until"), "version.*")
+
+
 def enrich_events(
     events: DataFrame, devices: DataFrame, day: dt.date, time: str = "event_time"
 ) -> DataFrame:
     """Events of ``day`` by signed-in users with browser, device type and system of their device.
 
-    The day reaches the scan as a range; one output row per matching device row.
+    The day reaches the scan as a range. ``devices`` with ``since`` and ``until``, as ``device_history`` gives them, are
+    matched by time too, on versions that hold on that day: one row for each event, since versions do not overlap. Without
+    them there is one row for each matching device row.
     """
     signed_in = events.filter((F.to_date(time) == F.lit(day)) & F.col("user_id").isNotNull())
-    wanted = devices.select("device_id", "browser_type", "device_type", "os_type")
-    return broadcast_lookup(signed_in, wanted, "device_id", "inner")
+    wanted = ["device_id", "browser_type", "device_type", "os_type"]
+    if not {"since", "until"} <= set(devices.columns):
+        return broadcast_lookup(signed_in, devices.select(*wanted), "device_id", "inner")
+    begin, end = (F.lit(d).cast("timestamp_ntz") for d in (day, day + dt.timedelta(days=1)))
+    today = devices.filter((F.col("since") < end) & (F.col("until").isNull() | (F.col("until") > begin)))
+    versions = broadcast_if_small(today.select(*wanted, "since", "until"))
+    joined = signed_in.join(versions, "device_id")
+    at = F.col(time)
+    return joined.filter((at >= F.col("since")) & (F.col("until").isNull() | (at < F.col("until")))).drop("since", "until")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+KEY_FIGURES = ("keys", "files_of_a_key", "unsorted")
+
 
 def arrange(
     df: DataFrame, keys: Sequence[str], parts: int = 16, by: str = "range", ties: Sequence[str] = ()
@@ -35,30 +37,55 @@ def layout_report(
     by: str = "range",
     ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Write ``df`` once per layout below ``path``; report rows, files and bytes, smallest first.
+    """Write ``df`` once per layout below ``path``; report figures of the written files, smallest first.
 
-    The figures come from the written files themselves. An empty key list writes the rows as they
-    come; it goes first, and the other layouts are then made from its files instead of computing
-    ``df`` again.
+    ``rows``, ``files`` and ``bytes``; ``keys``, the distinct values of the layout's keys; ``files_of_a_key``, the
+    most files that one of them is in; ``unsorted``, the rows that come before a smaller key in their file. The last
+    three are NULL for a layout without keys. An empty key list writes the rows as they come; it goes first, and the
+    other layouts are then made from its files instead of computing ``df`` again.
     """
     spark = df.sparkSession
-    reports = []
+    reports, orders = [], []
     for name, keys in sorted(layouts.items(), key=lambda item: bool(item[1])):
         target = f"{path.rstrip('/')}/{name}"
         shaped = arrange(df, keys, parts, by, ties) if keys else df.repartition(parts)
         shaped.write.mode("overwrite").parquet(target)
         if not keys:
             df = spark.read.schema(df.schema).parquet(target)
-        files = (
-            spark.read.schema(df.schema).parquet(target)
-            .groupBy("_metadata.file_path")
-            .agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
-        )
-        reports.append(
-            files.agg(
-                F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-                F.count_if(F.col("rows") > 0).alias("files"),
-                F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-            ).select(F.lit(name).alias("layout"), "rows", "files", "bytes")
-        )
-    return reduce(DataFrame.unionByName, reports).orderBy("bytes", "layout")
+        stored = spark.read.schema(df.schema).parquet(target)
+        reports.append(_file_figures(stored).withColumn("layout", F.lit(name)))
+        if keys:
+            orders.append(_key_figures(stored, keys).withColumn("layout", F.lit(name)))
+    report = reduce(DataFrame.unionByName, reports)
+    if orders:
+        report = report.join(reduce(DataFrame.unionByName, orders), "layout", "left")
+    else:
+        report = report.withColumns({c: F.lit(None).cast("bigint") for c in KEY_FIGURES})
+    return report.select("layout", "rows", "files", "bytes", *KEY_FIGURES).orderBy("bytes", "layout")
+
+
+def _file_figures(stored: DataFrame) -> DataFrame:
+    files = stored.groupBy("_metadata.file_path").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes")
+    )
+    return files.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.count_if(F.col("rows") > 0).alias("files"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+    )
+
+
+def _key_figures(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Figures of the order in the files. A file is read by one task, whatever the key."""
+    rows = stored.select(
+        F.struct(*keys).alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
+    )
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    placed = rows.withColumn("falls", F.coalesce(before > F.col("key"), F.lit(False)))
+    in_files = placed.groupBy("key", "file").agg(F.count_if("falls").alias("falls"))
+    by_key = in_files.groupBy("key").agg(F.count(F.lit(1)).alias("files"), F.sum("falls").alias("falls"))
+    return by_key.agg(
+        F.count(F.lit(1)).alias("keys"),
+        F.coalesce(F.max("files"), F.lit(0)).alias("files_of_a_key"),
+        F.coalesce(F.sum("falls"), F.lit(0)).alias("unsorted"),
+    )

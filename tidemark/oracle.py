@@ -199,19 +199,19 @@ ORACLE_SQL["host_datelist_step"] = _lists(HOST_DAYS, "host", STEP_DAY, STEP_DAY,
 ORACLE_SQL["host_datelist_history"] = _lists(HOST_DAYS, "host", FIRST_DAY, LAST_DAY, "ASC")
 
 
-def _bitmap(weight: str) -> str:
+def _bitmap(weight: str, day: str = LAST_DAY) -> str:
     return f"""
 WITH {USER_DAYS},
 bits AS (
   SELECT {USER_KEYS}, CAST(sum({weight}) AS BIGINT) AS datelist_int
-  FROM (SELECT *, CAST(DATE '2024-01-30' - day AS BIGINT) AS back FROM days) AS aged
+  FROM (SELECT *, CAST({day} - day AS BIGINT) AS back FROM days WHERE day <= {day}) AS aged
   GROUP BY {USER_KEYS})
-SELECT *, right(repeat('0', 32) || bin(datelist_int), 32) AS bits, '2024-01-30' AS date FROM bits"""
+SELECT *, right(repeat('0', 32) || bin(datelist_int), 32) AS bits, strftime({day}, '%Y-%m-%d') AS date FROM bits"""
 
 
-ORACLE_SQL["datelist_bitmap"] = _bitmap(
-    "CASE WHEN back BETWEEN 0 AND 31 THEN CAST(pow(2, 31 - back) AS BIGINT) ELSE 0 END"
-)
+NEWEST_HIGHEST = "CASE WHEN back BETWEEN 0 AND 31 THEN CAST(pow(2, 31 - back) AS BIGINT) ELSE 0 END"
+ORACLE_SQL["datelist_bitmap"] = _bitmap(NEWEST_HIGHEST)
+ORACLE_SQL["datelist_bitmap_step"] = _bitmap(NEWEST_HIGHEST, STEP_DAY)
 ORACLE_SQL["datelist_bitmap_shifted"] = _bitmap(
     "CASE WHEN back BETWEEN 1 AND 31 THEN CAST(pow(2, 32 - back) AS BIGINT) ELSE 0 END"
 )
@@ -219,16 +219,19 @@ ORACLE_SQL["datelist_bitmap_shifted"] = _bitmap(
 # Monthly reduced facts.
 
 
+MONTH_OF = "CAST(date_trunc('month', {}) AS DATE)"
+
+
 def _monthly(since: str, through: str, empty: str = "'-'") -> str:
     return f"""
 WITH daily AS (
   SELECT event_type || '-' || user_id AS host, CAST(ts AS DATE) AS day, count(*) AS hits,
          count(DISTINCT event_id % 4) AS visitors
-  FROM events GROUP BY ALL),
+  FROM events WHERE CAST(ts AS DATE) >= {MONTH_OF.format(through)} GROUP BY ALL),
 hosts AS (SELECT host, min(day) AS first_day FROM daily GROUP BY host),
-{_calendar(f"DATE '{since}'", f"DATE '{through}'")},
+{_calendar(since, through)},
 month_days AS (
-  SELECT CAST(DATE '2024-01-01' + CAST(range AS INTEGER) AS DATE) AS day FROM range(0, 31)),
+  SELECT CAST({MONTH_OF.format(through)} + CAST(range AS INTEGER) AS DATE) AS day FROM range(0, 31)),
 cells AS (
   SELECT h.host, h.first_day, c.date, m.day, d.hits, d.visitors
   FROM hosts h JOIN calendar c ON h.first_day <= c.date JOIN month_days m ON m.day <= c.date
@@ -237,22 +240,32 @@ SELECT host,
        string_agg(coalesce(CAST(hits AS VARCHAR), {empty}), ',' ORDER BY day) AS hit_array,
        string_agg(coalesce(CAST(visitors AS VARCHAR), {empty}), ',' ORDER BY day)
          AS unique_visitors,
-       CAST(count(*) AS BIGINT) AS n_days, '2024-01-01' AS month_start,
+       CAST(count(*) AS BIGINT) AS n_days,
+       strftime({MONTH_OF.format(through)}, '%Y-%m-%d') AS month_start,
        strftime(first_day, '%Y-%m-%d') AS first_found_date,
        strftime(date, '%Y-%m-%d') AS date_partition
 FROM cells GROUP BY host, first_day, date"""
 
 
-ORACLE_SQL["monthly_reduced_history"] = _monthly("2024-01-01", "2024-01-30")
-ORACLE_SQL["monthly_reduced_step"] = _monthly("2024-01-16", "2024-01-16")
-ORACLE_SQL["monthly_reduced_zero_filled"] = _monthly("2024-01-16", "2024-01-16", "'0'")
-ORACLE_SQL["monthly_upsert"] = f"""
-WITH snapshots AS ({_monthly("2024-01-15", "2024-01-16")}),
+YESTERDAY = "DATE '2024-01-15'"
+ORACLE_SQL["monthly_reduced_history"] = _monthly(MONTH_OF.format(LAST_DAY), LAST_DAY)
+ORACLE_SQL["monthly_reduced_step"] = _monthly(STEP_DAY, STEP_DAY)
+ORACLE_SQL["monthly_reduced_zero_filled"] = _monthly(STEP_DAY, STEP_DAY, "'0'")
+UPDATED = f"""
+WITH snapshots AS ({_monthly(YESTERDAY, STEP_DAY)}),
 active AS (
   SELECT DISTINCT event_type || '-' || user_id AS host FROM events
-  WHERE CAST(ts AS DATE) = DATE '2024-01-16')
-SELECT * FROM snapshots
-WHERE (date_partition = '2024-01-16') = (host IN (SELECT host FROM active))"""
+  WHERE CAST(ts AS DATE) = DATE '2024-01-16'),
+updated AS (
+  SELECT * FROM snapshots
+  WHERE (date_partition = '2024-01-16') = (host IN (SELECT host FROM active)))"""
+ORACLE_SQL["monthly_upsert"] = f"{UPDATED} SELECT * FROM updated"
+ORACLE_SQL["monthly_upsert_versions"] = f"""{UPDATED}
+SELECT *, 1 AS version FROM snapshots WHERE date_partition = '2024-01-15'
+UNION ALL SELECT *, 2 AS version FROM updated"""
+ORACLE_SQL["stored_upsert"] = f"""{UPDATED}
+SELECT * FROM snapshots WHERE date_partition = '2024-01-15'
+UNION ALL SELECT * REPLACE ('2024-01-16' AS date_partition) FROM updated"""
 
 # Joins.
 
@@ -278,11 +291,20 @@ SELECT CAST(user_id AS VARCHAR) AS ip, event_id,
             ELSE '{"country":"' || r_name || '","state":"' || n_name || '","city":""}' END AS geodata
 FROM events LEFT JOIN nation ON user_id = n_nationkey
 LEFT JOIN region ON n_regionkey = r_regionkey"""
-ORACLE_SQL["event_enrichment"] = f"""
-WITH {EVENTS}, {DEVICES}
+ORACLE_SQL["event_enrichment"] = """
+WITH device_events AS (
+  SELECT event_id, user_id, ts, user_id * 3 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS device_id
+  FROM events),
+versions AS (
+  SELECT p_partkey // 4 AS device_id, DATE '2023-12-25' + CAST(p_partkey % 4 * 10 AS INTEGER) AS since,
+         p_type AS browser_type, split_part(p_name, ' ', 2) AS device_type, split_part(p_name, ' ', 1) AS os_type
+  FROM part),
+held AS (
+  SELECT *, lead(since) OVER (PARTITION BY device_id ORDER BY since) AS until FROM versions)
 SELECT event_id, user_id, device_id, browser_type, device_type, os_type
-FROM web JOIN device_rows USING (device_id)
-WHERE day = DATE '2024-01-16' AND user_id IS NOT NULL"""
+FROM device_events JOIN held USING (device_id)
+WHERE CAST(ts AS DATE) = DATE '2024-01-16' AND user_id IS NOT NULL
+  AND ts >= since AND (until IS NULL OR ts < until)"""
 
 # Rankings.
 
@@ -318,7 +340,7 @@ JOIN orders ON b.l_orderkey = o_orderkey JOIN part ON a.l_partkey = p_partkey
 WHERE p_name = 'red plate' GROUP BY o_custkey % 20
 ORDER BY total DESC, map_variant_id LIMIT 1"""
 
-# Layout: the rows of every layout; their sizes have no counterpart in SQL.
+# Layout: what holds for every layout, whatever the order of the rows that come in.
 
 ORACLE_SQL["layout_rows"] = """
 SELECT layout, CAST(count(*) AS BIGINT) AS rows
@@ -326,6 +348,17 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 CROSS JOIN (VALUES ('none'), ('playlist'), ('map'), ('player')) AS names(layout)
 GROUP BY layout"""
 
+ORACLE_SQL["layout_sizes"] = """
+SELECT layout, CAST(count(*) AS BIGINT) AS rows,
+       nullif(CAST(count(DISTINCT CASE layout WHEN 'playlist' THEN o_orderpriority
+         WHEN 'map' THEN CAST(o_custkey % 20 AS VARCHAR)
+         WHEN 'player' THEN CAST(l_suppkey AS VARCHAR) END) AS BIGINT), 0) AS keys,
+       CASE WHEN layout <> 'none' THEN CAST(1 AS BIGINT) END AS files_of_a_key,
+       CASE WHEN layout <> 'none' THEN CAST(0 AS BIGINT) END AS unsorted, true AS measured
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+CROSS JOIN (VALUES ('none'), ('playlist'), ('map'), ('player')) AS names(layout)
+GROUP BY layout"""
+
 # Lifecycle.
 
 
@@ -355,6 +388,8 @@ WHERE g.season >= {since}"""
 ORACLE_SQL["lifecycle_history"] = _lifecycle(FIRST_YEAR, LAST_YEAR)
 ORACLE_SQL["lifecycle_step"] = _lifecycle(1999, 1999)
 ORACLE_SQL["snapshot_store_fold"] = _lifecycle(FIRST_YEAR, LAST_YEAR)
+ORACLE_SQL["snapshot_store_resumed"] = _lifecycle(FIRST_YEAR, LAST_YEAR)
+ORACLE_SQL["snapshot_empty_rerun"] = _lifecycle(FIRST_YEAR, 1995)
 ORACLE_SQL["snapshot_rewrite"] = _lifecycle(FIRST_YEAR, 1996)
 
 # Groupings.
@@ -493,6 +528,7 @@ FROM sessions GROUP BY host"""
 # A stream that is read to its end gives what the table gives.
 
 ORACLE_SQL["streamed_tumbling_counts"] = ORACLE_SQL["tumbling_counts"]
+ORACLE_SQL["streamed_keyed_counts"] = ORACLE_SQL["tumbling_counts"]
 ORACLE_SQL["streamed_session_counts"] = ORACLE_SQL["host_session_counts"]
 ORACLE_SQL["streamed_session_averages"] = ORACLE_SQL["average_session_by_host"]
 ORACLE_SQL["streamed_session_averages_by_ip_host"] = ORACLE_SQL["average_session_by_ip_host"]

@@ -6,10 +6,11 @@ Arrays are returned as text and dates as ISO strings, so results compare across
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark import schemas
 from tidemark.functions import bit_string, tier
@@ -30,16 +31,17 @@ from tidemark.operators import (
 from tidemark.plans.session import join_policy, shared_dir
 from tidemark.plans.skew import HotKeys, find_hot_keys, rows_bound
 from tidemark.sources.files import bucket_count, read_csv, write_bucketed
-from tidemark.sources.kafka import EVENT_TIME_FORMAT, parse_events
-from tidemark.sources.snapshots import fold_periods, read_snapshot, upsert_snapshot, write_snapshot
+from tidemark.sources.kafka import EVENT_TIME_FORMAT, parse_events, read_event_files
+from tidemark.sources.snapshots import read_snapshot, upsert_snapshot, write_snapshot
+from tidemark.sources.store import KeyedTable, SnapshotStore
 from tidemark.sources.tables import Tables
+from tidemark.sources.versions import VersionLog
 from tidemark.streaming import runs, windows
 
 # The periods of single steps; histories run from the first to the last period of their table.
 FIRST_YEAR, STEP_YEAR = 1995, 1999
-MONTH = dt.date(2024, 1, 1)
-LAST_DAY = dt.date(2024, 1, 30)
 STEP_DAY = dt.date(2024, 1, 16)
+MONTH, YESTERDAY = STEP_DAY.replace(day=1), STEP_DAY - dt.timedelta(days=1)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,6 +67,27 @@ def _last_day(t: Tables) -> dt.date:
     return t.raw("events").agg(F.max(F.to_date("ts"))).first()[0] or STEP_DAY
 
 
+# Where a session has its stores. Steps go on from what a store has: the first one of a session lays it down with the
+# period before, as an earlier run would have left it; each later one reads that period and stores its own anew.
+_STORES: dict[tuple, str] = {}
+
+
+def _store(
+    t: Tables, name: str, schema: StructType, period: str, keys: Sequence[str], source: str, before: int | dt.date,
+    build: Callable[[], DataFrame],
+) -> SnapshotStore:
+    """The store of that name for the tables of a folder, with the period ``before`` in it.
+
+    Files that have changed since get a store of their own. Buckets are of about 128 MB of ``source``.
+    """
+    size, state = t.state(source)
+    path = _STORES.setdefault((t.spark.sparkContext.applicationId, name, t.folder, state), shared_dir(t.spark, name))
+    store = SnapshotStore(t.spark, path, schema, period, keys, max(8, -(-size // (128 << 20))))
+    if str(before) not in store.periods():
+        store.write(build(), before)
+    return store
+
+
 def _list(array: str) -> Column:
     return F.array_join(F.col(array).cast("array<string>"), ",", "-")
 
@@ -88,11 +111,24 @@ def _snapshot_view(df: DataFrame) -> DataFrame:
     )
 
 
+def _actors(t: Tables) -> SnapshotStore:
+    before = STEP_YEAR - 1
+    return _store(
+        t, "actors", schemas.ACTORS, "current_year", ["actorid"], "orders", before,
+        lambda: cumulative.entity_history(t.actor_films(last=before), before, since=before),
+    )
+
+
+def _advance_actors(store: SnapshotStore, t: Tables) -> DataFrame:
+    films = t.actor_films(STEP_YEAR, STEP_YEAR)
+    return store.advance(
+        STEP_YEAR - 1, STEP_YEAR, lambda stored: cumulative.cumulate_entities(stored, films, STEP_YEAR)
+    )
+
+
 @query
 def entity_snapshot_step(t: Tables) -> DataFrame:
-    films = t.actor_films()
-    before = cumulative.entity_history(films, STEP_YEAR - 1, since=STEP_YEAR - 1)
-    return _snapshot_view(cumulative.cumulate_entities(before, films, STEP_YEAR))
+    return _snapshot_view(_advance_actors(_actors(t), t))
 
 
 @query
@@ -103,9 +139,15 @@ def entity_snapshot_history(t: Tables) -> DataFrame:
 @query
 def entity_snapshot_paged(t: Tables) -> DataFrame:
     """A step over snapshots of four pages per entity; the pages are put together for the result."""
-    films, pages = t.actor_films(), 4
-    before = cumulative.entity_history(films, STEP_YEAR - 1, pages=pages, since=STEP_YEAR - 1)
-    paged = cumulative.cumulate_entities(before, films, STEP_YEAR, pages=pages)
+    before, pages = STEP_YEAR - 1, 4
+    store = _store(
+        t, "paged", schemas.ACTORS, "current_year", ["actorid", "page"], "orders", before,
+        lambda: cumulative.entity_history(t.actor_films(last=before), before, pages=pages, since=before),
+    )
+    films = t.actor_films(STEP_YEAR, STEP_YEAR)
+    paged = store.advance(
+        before, STEP_YEAR, lambda stored: cumulative.cumulate_entities(stored, films, STEP_YEAR, pages=pages)
+    )
     short = F.transform("films", lambda f: F.struct(f["year"].alias("year"), f["filmid"].alias("filmid")))
     whole = paged.groupBy("actorid", "actor", "quality_class", "is_active", "current_year").agg(
         F.count("page").alias("n_pages"), F.sort_array(F.flatten(F.collect_list(short))).alias("films")
@@ -125,8 +167,17 @@ def scd_backfill(t: Tables) -> DataFrame:
 
 @query
 def scd_step(t: Tables) -> DataFrame:
-    before = scd.scd2_backfill(_actor_states(t, STEP_YEAR - 1), STEP_YEAR - 1)
-    return scd.scd2_step(before, _actor_states(t, STEP_YEAR, since=STEP_YEAR), STEP_YEAR)
+    """Two stores with the same buckets: the histories as of last year, and this year's snapshot of the actors."""
+    before, actors = STEP_YEAR - 1, _actors(t)
+    if str(STEP_YEAR) not in actors.periods():
+        _advance_actors(actors, t)
+    store = _store(
+        t, "scd", schemas.ACTORS_HISTORY_SCD, "current_year", ["actorid"], "orders", before,
+        lambda: scd.scd2_backfill(_actor_states(t, before), before),
+    )
+    return store.advance(
+        before, STEP_YEAR, lambda stored: scd.scd2_step(stored, actors.read(STEP_YEAR), STEP_YEAR)
+    )
 
 
 # Deduplication and profiles
@@ -182,7 +233,7 @@ def duplicate_keys(t: Tables) -> DataFrame:
 
 
 def _user_days(t: Tables) -> DataFrame:
-    return datelist.user_device_days(t.events(), t.devices())
+    return datelist.device_days(t.events())
 
 
 def _list_view(df: DataFrame) -> DataFrame:
@@ -195,32 +246,47 @@ def _list_view(df: DataFrame) -> DataFrame:
     )
 
 
-def _step_lists(days: DataFrame, keys: tuple[str, ...], **options) -> DataFrame:
+DEVICE_LISTS = StructType([f for f in schemas.USER_DEVICES_CUMULATED if f.name != "browser_type"])
+DEVICE_BITS = StructType([f for f in schemas.USER_DEVICE_DATELIST_INT if f.name != "browser_type"])
+
+
+def _step_lists(
+    t: Tables, name: str, schema: StructType, days: DataFrame, keys: tuple[str, ...], **options
+) -> DataFrame:
     newest_first = options.get("newest_first", True)
-    yesterday = STEP_DAY - dt.timedelta(days=1)
-    before = datelist.datelist_history(days, keys, yesterday, newest_first, first_day=yesterday)
-    return _list_view(datelist.cumulate_dates(before, days, keys, STEP_DAY, **options))
+    store = _store(
+        t, name, schema, "date", keys, "events", YESTERDAY,
+        lambda: datelist.datelist_history(days, keys, YESTERDAY, newest_first, first_day=YESTERDAY),
+    )
+    return store.advance(
+        YESTERDAY, STEP_DAY, lambda stored: datelist.cumulate_dates(stored, days, keys, STEP_DAY, **options)
+    )
 
 
 @query
 def user_datelist_step(t: Tables) -> DataFrame:
-    return _step_lists(_user_days(t), datelist.USER_DEVICE)
+    lists = _step_lists(t, "user_lists", DEVICE_LISTS, _user_days(t), datelist.DEVICE)
+    return _list_view(datelist.with_browsers(lists, t.devices()))
 
 
 @query
 def user_datelist_active_only(t: Tables) -> DataFrame:
-    return _step_lists(_user_days(t), datelist.USER_DEVICE, keep_inactive=False)
+    lists = _step_lists(t, "active_lists", DEVICE_LISTS, _user_days(t), datelist.DEVICE, keep_inactive=False)
+    return _list_view(datelist.with_browsers(lists, t.devices()))
 
 
 @query
 def user_datelist_history(t: Tables) -> DataFrame:
-    return _list_view(datelist.datelist_history(_user_days(t), datelist.USER_DEVICE, _last_day(t)))
+    lists = datelist.datelist_history(_user_days(t), datelist.DEVICE, _last_day(t))
+    return datelist.with_browsers(_list_view(lists), t.devices())
 
 
 @query
 def host_datelist_step(t: Tables) -> DataFrame:
     days = datelist.active_days(t.user_hosts(), ["host"])
-    return _step_lists(days, ("host",), newest_first=False)
+    return _list_view(
+        _step_lists(t, "host_lists", schemas.HOSTS_CUMULATED, days, ("host",), newest_first=False)
+    )
 
 
 @query
@@ -229,11 +295,30 @@ def host_datelist_history(t: Tables) -> DataFrame:
     return _list_view(datelist.datelist_history(days, ["host"], _last_day(t), newest_first=False))
 
 
+def _bits_of(t: Tables, day: dt.date, **options) -> DataFrame:
+    lists = datelist.datelist_history(_user_days(t), datelist.DEVICE, day, first_day=day)
+    return datelist.datelist_int(lists, datelist.DEVICE, day, **options)
+
+
+def _bitmap_view(t: Tables, bits: DataFrame) -> DataFrame:
+    found = datelist.with_browsers(bits, t.devices())
+    return found.withColumns({"bits": bit_string("datelist_int"), "date": _text("date")})
+
+
 def _bitmaps(t: Tables, **options) -> DataFrame:
-    keys = datelist.USER_DEVICE
-    lists = datelist.datelist_history(_user_days(t), keys, LAST_DAY, first_day=LAST_DAY)
-    bits = datelist.datelist_int(lists, keys, LAST_DAY, **options)
-    return bits.withColumns({"bits": bit_string("datelist_int"), "date": _text("date")})
+    return _bitmap_view(t, _bits_of(t, _last_day(t), **options))
+
+
+@query
+def datelist_bitmap_step(t: Tables) -> DataFrame:
+    """The bitmaps of a day from the stored ones of the day before."""
+    store = _store(
+        t, "bitmaps", DEVICE_BITS, "date", datelist.DEVICE, "events", YESTERDAY, lambda: _bits_of(t, YESTERDAY)
+    )
+    days = _user_days(t)
+    return _bitmap_view(
+        t, store.advance(YESTERDAY, STEP_DAY, lambda stored: datelist.bitmap_step(stored, days, datelist.DEVICE, STEP_DAY))
+    )
 
 
 @query
@@ -262,33 +347,77 @@ def _monthly_view(df: DataFrame) -> DataFrame:
 
 @query
 def monthly_reduced_history(t: Tables) -> DataFrame:
-    return _monthly_view(monthly.monthly_history(t.user_type_hosts(), MONTH, LAST_DAY))
+    """The month of the last day, up to that day."""
+    last = _last_day(t)
+    return _monthly_view(monthly.monthly_history(t.user_type_hosts(), last.replace(day=1), last))
 
 
-def _monthly_step(t: Tables, day: dt.date, **options) -> DataFrame:
-    events, yesterday = t.user_type_hosts(), day - dt.timedelta(days=1)
-    before = monthly.monthly_history(events, MONTH, yesterday, since=yesterday, **options)
-    return monthly.monthly_reduce_step(before, events, MONTH, day, **options)
+def _monthly_store(t: Tables, name: str, **options) -> SnapshotStore:
+    return _store(
+        t, name, schemas.HOST_ACTIVITY_REDUCED, "date_partition", ["host"], "events", YESTERDAY,
+        lambda: monthly.monthly_history(t.user_type_hosts(), MONTH, YESTERDAY, since=YESTERDAY, **options),
+    )
+
+
+def _monthly_step(t: Tables, store: SnapshotStore, **options) -> DataFrame:
+    events = t.user_type_hosts()
+    return store.advance(
+        YESTERDAY, STEP_DAY, lambda stored: monthly.monthly_reduce_step(stored, events, MONTH, STEP_DAY, **options)
+    )
 
 
 @query
 def monthly_reduced_step(t: Tables) -> DataFrame:
-    return _monthly_view(_monthly_step(t, STEP_DAY))
+    return _monthly_view(_monthly_step(t, _monthly_store(t, "monthly")))
 
 
 @query
 def monthly_reduced_zero_filled(t: Tables) -> DataFrame:
-    return _monthly_view(_monthly_step(t, STEP_DAY, fill_zero=True))
+    store = _monthly_store(t, "monthly_zero", fill_zero=True)
+    return _monthly_view(_monthly_step(t, store, fill_zero=True))
+
+
+def _active_hosts(t: Tables, store: SnapshotStore) -> DataFrame:
+    """The rows of today's snapshot whose host has events today."""
+    return _monthly_step(t, store).filter(F.element_at("hit_array", -1).isNotNull())
+
+
+def _updated_hosts(t: Tables) -> KeyedTable:
+    """A table with yesterday's row of every host, then with today's rows in place of those of active hosts."""
+    store = _monthly_store(t, "monthly")
+    table = KeyedTable(t.spark, shared_dir(t.spark, "hosts"), store.schema, store.keys, store.buckets)
+    table.upsert(store.read(YESTERDAY))
+    table.upsert(_active_hosts(t, store))
+    return table
 
 
 @query
 def monthly_upsert(t: Tables) -> DataFrame:
     """Yesterday's snapshot updated with the hosts of today's, one row per host."""
-    yesterday = STEP_DAY - dt.timedelta(days=1)
-    target = monthly.monthly_history(t.user_type_hosts(), MONTH, yesterday, since=yesterday)
-    step = _monthly_step(t, STEP_DAY)
-    active = step.filter(F.element_at("hit_array", -1).isNotNull())
-    return _monthly_view(upsert_snapshot(target, active, ["host"]))
+    return _monthly_view(_updated_hosts(t).read())
+
+
+@query
+def monthly_upsert_versions(t: Tables) -> DataFrame:
+    """The table before and after the update, which rewrites the buckets of active hosts only."""
+    table = _updated_hosts(t)
+    both = [table.read(version).withColumn("version", F.lit(version)) for version in (1, 2)]
+    return _monthly_view(both[0].unionByName(both[1]))
+
+
+@query
+def stored_upsert(t: Tables) -> DataFrame:
+    """The updated table stored as the snapshot of today, beside that of yesterday."""
+    source = _monthly_store(t, "monthly")
+    store = SnapshotStore(
+        t.spark, shared_dir(t.spark, "upserted"), source.schema, source.period, source.keys, source.buckets
+    )
+    store.write(source.read(YESTERDAY), YESTERDAY, clustered=True)
+    active = _active_hosts(t, source)
+    store.advance(
+        YESTERDAY, STEP_DAY, lambda stored: upsert_snapshot(stored, active, ["host"], "date_partition", STEP_DAY)
+    )
+    return _monthly_view(store.read_all())
 
 
 # Joins
@@ -361,7 +490,9 @@ def location_enrichment(t: Tables) -> DataFrame:
 
 @query
 def event_enrichment(t: Tables) -> DataFrame:
-    enriched = joins.enrich_events(t.events(), t.devices(), STEP_DAY)
+    """Each event of the day with the device as it was at that time."""
+    history = joins.device_history(t.device_changes())
+    enriched = joins.enrich_events(t.device_events(), history, STEP_DAY)
     return enriched.select("event_id", "user_id", "device_id", "browser_type", "device_type", "os_type")
 
 
@@ -423,25 +554,32 @@ def map_with_most_medals_joined_grain(t: Tables) -> DataFrame:
 LAYOUTS = {"none": [], "playlist": ["playlist_id"], "map": ["map_variant_id"]}
 
 
-def _layouts(t: Tables) -> DataFrame:
+def _layouts(t: Tables, by: str) -> DataFrame:
     rows = t.match_details().join(
         t.matches().select("match_id", "playlist_id", "map_variant_id"), "match_id"
     )
     by_player = {"player": ["player_gamertag"]}
     return layout.layout_report(
         rows, LAYOUTS | by_player, shared_dir(t.spark, "layouts"),
-        bucket_count(t.match_details()), ties=["match_id"],
+        bucket_count(t.match_details()), by, ties=["match_id"],
     )
 
 
 @query
 def layout_rows(t: Tables) -> DataFrame:
-    return _layouts(t).select("layout", "rows")
+    """Layouts by ranges of their keys."""
+    return _layouts(t, "range").select("layout", "rows")
 
 
 @query
 def layout_sizes(t: Tables) -> DataFrame:
-    return _layouts(t)
+    """Layouts by hashes of their keys: figures of the written files that do not depend on the order of rows.
+
+    All rows of a key are in one file, in order; ``measured`` tells that the files have a size.
+    """
+    return _layouts(t, "hash").select(
+        "layout", "rows", "keys", "files_of_a_key", "unsorted", (F.col("bytes") > F.col("rows")).alias("measured")
+    )
 
 
 # Lifecycle
@@ -454,21 +592,48 @@ def lifecycle_history(t: Tables) -> DataFrame:
 
 @query
 def lifecycle_step(t: Tables) -> DataFrame:
-    seasons = t.player_seasons()
-    before = lifecycle.lifecycle_history(seasons, STEP_YEAR - 1, since=STEP_YEAR - 1)
-    return lifecycle.lifecycle_step(before, seasons, STEP_YEAR)
+    before = STEP_YEAR - 1
+    store = _store(
+        t, "states", schemas.PLAYER_STATES, "season", ["player_name"], "orders", before,
+        lambda: lifecycle.lifecycle_history(t.player_seasons(last=before), before, since=before),
+    )
+    seasons = t.player_seasons(STEP_YEAR, STEP_YEAR)
+    return store.advance(before, STEP_YEAR, lambda stored: lifecycle.lifecycle_step(stored, seasons, STEP_YEAR))
+
+
+def _season_store(t: Tables, path: str) -> SnapshotStore:
+    return SnapshotStore(t.spark, path, schemas.PLAYER_STATES, "season", ["player_name"], 8)
+
+
+def _season_step(t: Tables) -> Callable[[DataFrame, int], DataFrame]:
+    return lambda stored, season: lifecycle.lifecycle_step(stored, t.player_seasons(season, season), season)
 
 
 @query
 def snapshot_store_fold(t: Tables) -> DataFrame:
     """The states built season by season through the snapshot store."""
-    seasons = t.player_seasons()
     first, last = _years(t)
-    return fold_periods(
-        t.spark, shared_dir(t.spark, "states"), schemas.PLAYER_STATES, "season",
-        range(first, last + 1),
-        lambda stored, season: lifecycle.lifecycle_step(stored, seasons, season),
-    )
+    return _season_store(t, shared_dir(t.spark, "fold")).fold(range(first, last + 1), _season_step(t))
+
+
+@query
+def snapshot_store_resumed(t: Tables) -> DataFrame:
+    """The same fold in two runs: the second opens the store anew and goes on from what it has."""
+    first, last = _years(t)
+    path, half = shared_dir(t.spark, "resumed"), (first + last) // 2
+    _season_store(t, path).fold(range(first, half + 1), _season_step(t))
+    return _season_store(t, path).fold(range(half + 1, last + 1), _season_step(t))
+
+
+@query
+def snapshot_empty_rerun(t: Tables) -> DataFrame:
+    """Two seasons stored, and the second once more from a source without rows, which clears it."""
+    store = _season_store(t, shared_dir(t.spark, "cleared"))
+    states = lifecycle.lifecycle_history(t.player_seasons(last=FIRST_YEAR + 1), FIRST_YEAR + 1)
+    for season in (FIRST_YEAR, FIRST_YEAR + 1):
+        store.write(states.filter(F.col("season") == season), season)
+    store.write(states.limit(0), FIRST_YEAR + 1)
+    return store.read_all()
 
 
 @query
@@ -492,9 +657,9 @@ def grouping_rollup(t: Tables) -> DataFrame:
 
 
 def _leader(t: Tables, gid: int, measure: str, *columns: str) -> DataFrame:
-    rollup = grouping.grouping_rollup(t.game_details(), t.games())
+    found = grouping.one_grouping(t.game_details(), t.games(), gid, measure)
     ties = [F.col(c).asc_nulls_last() for c in columns]
-    return grouping.top_of_grouping(rollup, gid, measure, ties).select(*columns, measure)
+    return grouping.top_of_grouping(found, gid, measure, ties).select(*columns, measure)
 
 
 @query
@@ -605,36 +770,37 @@ def average_session_by_host(t: Tables) -> DataFrame:
     return windows.average_session_size(_sessions(t, "ip", "host", gap="6 hours"), ["host"])
 
 
-def _stream(t: Tables, closing: str) -> DataFrame:
-    """The events as JSON messages, and the messages in the folder ``closing``, parsed."""
-    events = t.raw("events")
-    stored = t.spark.readStream.schema(events.schema).parquet(f"{t.folder}/events.parque[t]")
+def _messages(t: Tables, events: DataFrame | None = None) -> DataFrame:
+    """The events as JSON messages."""
     message = F.struct(
         F.col("user_id").cast("string").alias("ip"),
         F.date_format(F.col("ts").cast("timestamp"), EVENT_TIME_FORMAT).alias("event_time"),
         F.col("event_type").alias("host"),
     )
+    return (t.raw("events") if events is None else events).select(F.to_json(message).alias("value"))
+
+
+def _stream(t: Tables, closing: str) -> DataFrame:
+    """The events as JSON messages, and the messages in the folder ``closing``, parsed."""
+    events = t.raw("events")
+    stored = t.spark.readStream.schema(events.schema).parquet(f"{t.folder}/events.parque[t]")
     last = t.spark.readStream.schema("value string").parquet(closing)
-    return parse_events(stored.select(F.to_json(message).alias("value")).union(last))
+    return parse_events(_messages(t, stored).union(last))
 
 
 def _drain(t: Tables, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run the stream to its end and read what it has written, the last windows included.
 
-    The run is resumed once all events are read, with a message later than every window. It lifts
-    the watermark over them, and its own window stays open, so it is not in the result.
+    The events come in one batch, and with them a message later than every window. It lifts the
+    watermark over them, and its own window stays open, so it is not in the result.
     """
     folder = shared_dir(t.spark, "stream")
     closing = f"{folder}/closing"
     time = F.date_format(F.max("ts").cast("timestamp") + F.expr("INTERVAL 2 DAYS"), EVENT_TIME_FORMAT)
     message = t.raw("events").agg(F.to_json(F.struct(time.alias("event_time"))).alias("value"))
-    message.limit(0).write.parquet(closing)
+    message.write.parquet(closing)
     counts = count(_stream(t, closing))
-    for last in (False, True):
-        if last:
-            message.write.mode("append").parquet(closing)
-        run = runs.append_to_files(counts, f"{folder}/out", f"{folder}/checkpoint", interval=None)
-        run.awaitTermination()
+    runs.append_to_files(counts, f"{folder}/out", f"{folder}/checkpoint", interval=None).awaitTermination()
     return t.spark.read.schema(counts.schema).parquet(f"{folder}/out")
 
 
@@ -643,6 +809,30 @@ def streamed_tumbling_counts(t: Tables) -> DataFrame:
     return _window_view(_drain(t, windows.tumbling_counts))
 
 
+def _send_again(t: Tables, checkpoint: str) -> None:
+    """Leave a stream as a crash would after its last batch was written: the batch counts as not done."""
+    log = VersionLog(t.spark, checkpoint)
+    last = max(int(name) for name in log.names("commits") if name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        store, place = log.place(f"commits/{name}")
+        store.delete(place, False)
+
+
+@query
+def streamed_keyed_counts(t: Tables) -> DataFrame:
+    """Counts kept up to date by key: four batches of messages change the same windows, and the last comes twice."""
+    folder = shared_dir(t.spark, "keyed")
+    _messages(t).repartition(4).write.text(f"{folder}/messages")
+    events = read_event_files(t.spark, f"{folder}/messages", max_files=1)
+    counts = windows.tumbling_counts(events, lateness=None)
+    table = KeyedTable(t.spark, f"{folder}/table", counts.schema, ["ip", "host", "window_start"], 8)
+    for again in (False, True):
+        if again:
+            _send_again(t, f"{folder}/checkpoint")
+        runs.upsert_to_table(counts, table, f"{folder}/checkpoint", interval=None).awaitTermination()
+    return _window_view(table.read())
+
+
 @query
 def streamed_session_counts(t: Tables) -> DataFrame:
     return _window_view(_drain(t, lambda events: windows.session_counts(events, ["host"])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,6 +23,9 @@ def write_snapshot(
     few files and lets AQE split a period that is large; without AQE rows are written as they come.
     """
     adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    seen = Observation()
+    if period is not None:  # counted in the write itself: the rows are not computed again
+        df = df.observe(seen, F.count_if(F.col(period_column) == F.lit(period)).alias("rows"))
     df = df.hint("rebalance", F.col(period_column)) if rebalance and adaptive else df
     (
         df.write.mode("overwrite")
@@ -30,8 +33,10 @@ def write_snapshot(
         .partitionBy(period_column)
         .parquet(path)
     )
-    if period is not None:
-        _drop_if_stale(df, path, period_column, period)
+    if period is not None and not seen.get["rows"]:
+        store, place = _folder(df.sparkSession, f"{path}/{period_column}={period}")
+        if store.exists(place):
+            store.delete(place, True)
 
 
 def _folder(spark: SparkSession, path: str):
@@ -40,13 +45,6 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _drop_if_stale(df: DataFrame, path: str, period_column: str, period: Any) -> None:
-    if df.filter(F.col(period_column) == F.lit(period)).isEmpty():
-        store, place = _folder(df.sparkSession, f"{path}/{period_column}={period}")
-        if store.exists(place):
-            store.delete(place, True)
-
-
 def read_snapshot(
     spark: SparkSession,
     path: str,

@@ -5,6 +5,8 @@ All bindings are projections, filters and joins on whole tables.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,25 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def state(self, name: str) -> tuple[int, tuple]:
+        """Bytes of a table, and what tells whether its files have changed: their number, bytes and time."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        place = hadoop.Path(f"{self.folder}/{name}.parquet")
+        store = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = store.getContentSummary(place)
+        size = found.getLength()
+        return size, (size, found.getFileCount(), store.getFileStatus(place).getModificationTime())
+
+    def orders(self, first: int | None = None, last: int | None = None) -> DataFrame:
+        """Orders of the years ``first`` to ``last``: a range of dates, which reaches the scan."""
+        orders, day = self.raw("orders"), F.to_date("o_orderdate")
+        if first is not None:
+            orders = orders.filter(day >= F.lit(dt.date(first, 1, 1)))
+        return orders if last is None else orders.filter(day <= F.lit(dt.date(last, 12, 31)))
+
     # Customers as actors, their orders as films.
-    def actor_films(self) -> DataFrame:
-        orders = self.raw("orders").select(
+    def actor_films(self, first: int | None = None, last: int | None = None) -> DataFrame:
+        orders = self.orders(first, last).select(
             F.col("o_custkey").alias("c_custkey"),
             F.col("o_custkey").cast("string").alias("actorid"),
             F.col("o_orderpriority").alias("film"),
@@ -36,16 +54,16 @@ class Tables:
         names = self.raw("customer").select("c_custkey", F.col("c_name").alias("actor"))
         return orders.join(names, "c_custkey").drop("c_custkey")
 
-    def actor_ratings(self) -> DataFrame:
+    def actor_ratings(self, first: int | None = None, last: int | None = None) -> DataFrame:
         """Actor, year and rating only: what the tiers need, without the join for names."""
-        return self.raw("orders").select(
+        return self.orders(first, last).select(
             F.col("o_custkey").cast("string").alias("actorid"),
             F.year("o_orderdate").alias("year"),
             (F.col("o_totalprice") / 50000).alias("rating"),
         )
 
-    def player_seasons(self) -> DataFrame:
-        return self.raw("orders").select(
+    def player_seasons(self, first: int | None = None, last: int | None = None) -> DataFrame:
+        return self.orders(first, last).select(
             F.col("o_custkey").cast("string").alias("player_name"),
             F.year("o_orderdate").alias("season"),
         )
@@ -173,6 +191,24 @@ class Tables:
             F.col("p_brand").alias("os_version_major"),
         )
 
+    def device_events(self) -> DataFrame:
+        """Events of devices that a user has several of, so that most have a device of their own."""
+        k = F.get_json_object("props", "$.k").cast("bigint")
+        return self.raw("events").select(
+            "event_id", "user_id", (F.col("user_id") * 3 + k % 3).alias("device_id"), F.col("ts").alias("event_time"),
+        )
+
+    def device_changes(self) -> DataFrame:
+        """Parts as changes of devices: four for each, ten days apart, the first before all events."""
+        version = F.pmod("p_partkey", F.lit(4)).cast("int")
+        return self.raw("part").select(
+            F.floor(F.col("p_partkey") / 4).alias("device_id"),
+            F.date_add(F.lit(dt.date(2023, 12, 25)), version * 10).cast("timestamp_ntz").alias("changed"),
+            F.col("p_type").alias("browser_type"),
+            F.split_part("p_name", F.lit(" "), F.lit(2)).alias("device_type"),
+            F.split_part("p_name", F.lit(" "), F.lit(1)).alias("os_type"),
+        )
+
     def web_events(self) -> DataFrame:
         """Web events with the event time parsed from text, as a message carries it."""
         return with_event_time(

@@ -9,13 +9,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from tidemark.sources.jdbc import write_jdbc
+from tidemark.sources.store import KeyedTable
 
 # Fixed value: time between two state checkpoints.
 INTERVAL = "100 seconds"
 
 
-def _start(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> StreamingQuery:
-    writer = writer.outputMode("append").option("checkpointLocation", checkpoint)
+def _start(
+    writer: DataStreamWriter, checkpoint: str, interval: str | None, mode: str = "append"
+) -> StreamingQuery:
+    writer = writer.outputMode(mode).option("checkpointLocation", checkpoint)
     if interval is None:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=interval).start()
@@ -42,3 +45,22 @@ def append_to_jdbc(
     """
     writer = counts.writeStream.foreachBatch(lambda batch, _: write(batch, options))
     return _start(writer, checkpoint, interval)
+
+
+def upsert_to_table(
+    rows: DataFrame, table: KeyedTable, checkpoint: str, interval: str | None = INTERVAL, mode: str = "update"
+) -> StreamingQuery:
+    """Put the rows of a stream in the place of stored ones with their key, each batch exactly once.
+
+    The number of a batch is published with its rows, under the id that the checkpoint gives the stream. So a batch that
+    is sent again, after a crash between the table and the checkpoint, changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = (batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), number)
+        if table.has_batch(*known):
+            batch.write.format("noop").mode("overwrite").save()  # its state has to be brought up to date all the same
+        else:
+            table.upsert(batch, known)
+
+    return _start(rows.writeStream.foreachBatch(write), checkpoint, interval, mode)
