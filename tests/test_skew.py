@@ -28,7 +28,7 @@ def test_hot_keys_include_null(skewed):
 def test_many_hot_keys_stay_distributed(skewed, monkeypatch):
     monkeypatch.setattr(skew, "MAX_LOCAL_KEYS", 2)
     hot = skew.find_hot_keys(skewed, ["k"], 10)
-    assert "Broadcast" not in plan(hot.table)
+    assert not hot.local
     assert hot.mark(skewed).filter("hot_n IS NOT NULL").count() == 900
 
 
@@ -36,7 +36,8 @@ def test_chunks_follow_the_order(skewed):
     cut, needed = cut_hot_keys(skewed, ["k"], ["at", "id"], 50)
     assert needed
     assert rows(cut.drop(CHUNK)) == rows(skewed)
-    bounds = cut.groupBy("k", CHUNK).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    place = F.struct("at", "id")
+    bounds = cut.groupBy("k", CHUNK).agg(F.min(place).alias("low"), F.max(place).alias("high"))
     chunks = sorted((repr(r.k), r[CHUNK], r.low, r.high) for r in bounds.collect())
     for one, other in zip(chunks, chunks[1:]):
         assert one[0] != other[0] or one[3] < other[2]
@@ -58,6 +59,37 @@ def test_uneven_keys_are_cut_evenly(spark):
     assert all(one[2] < other[1] for one, other in zip(found, found[1:]))
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_one_value_for_all_rows_is_cut_by_the_rest_of_the_order(spark, monkeypatch, local):
+    """Text, NULLs and a first column without any difference: no chunk is over the bound."""
+    if not local:
+        monkeypatch.setattr(skew, "MAX_LOCAL_KEYS", 0)
+    df = spark.range(3000).select(
+        F.lit("k").alias("k"),
+        F.when(F.col("id") % 3 > 0, F.lit("same")).alias("day"),
+        F.when(F.col("id") % 2 > 0, F.concat(F.lit("g"), F.col("id") % 5)).alias("game"),
+        "id",
+    )
+    cut, needed = cut_hot_keys(df, ["k"], ["day", "game"], 200)
+    assert needed and rows(cut.drop(CHUNK)) == rows(df)
+    found = [(r[CHUNK], r["day"] is None, r["game"] is None, r["game"] or "") for r in cut.collect()]
+    sizes = {c: sum(f[0] == c for f in found) for c in {f[0] for f in found}}
+    assert max(sizes.values()) <= 200
+    found.sort(key=lambda f: f[1:])  # by the order, NULLs last: chunk numbers must not fall
+    last = {}
+    for f in found:
+        last.setdefault(f[1:], []).append(f[0])
+    spans = [(min(c), max(c)) for _, c in sorted(last.items())]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_keys_that_share_a_cell_are_told_apart(skewed):
+    for cells in (1, 2, 1 << 20):
+        hot = skew.find_hot_keys(skewed, ["k"], 200, cells)
+        assert [(r.k, r.hot_n) for r in hot.table.collect()] == [(None, 300)]
+        assert skew.find_hot_keys(skewed, ["k"], 300, cells) is None
+
+
 def test_distributed_list_is_cut_by_range(spark, skewed, monkeypatch):
     monkeypatch.setattr(skew, "MAX_LOCAL_KEYS", 0)
     cut, needed = cut_hot_keys(skewed, ["k"], ["at", "id"], 50)

@@ -6,17 +6,17 @@ follow its order; each chunk is scanned on its own, and only the borders meet af
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.plans.skew import MAX_ROWS_PER_KEY, QUANTILES, find_hot_keys
+from tidemark.plans.session import shared_dir
+from tidemark.plans.skew import MAX_ROWS_PER_KEY, find_hot_keys
 
-CHUNK = "_chunk"
-CHUNKS_PER_TASK_LOAD = 4  # finer than the row bound asks for, since order values are never even
-LAST_CHUNK = 2**31 - 1
+CHUNK, HOT, TIE = "_chunk", "_hot_n", "_tie"
+CHUNKS_PER_TASK_LOAD = 4  # finer than the row bound asks for, since sampled ranges are not even
 
 Lookup = Callable[[str], Column]
 
@@ -26,18 +26,6 @@ def asc(columns: Sequence[str]) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in columns]
 
 
-def position_of(df: DataFrame, name: str) -> Column:
-    """A number that grows with the order column ``name``."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    raise TypeError(f"cannot cut {name} of type {kind.simpleString()} into chunks")
-
-
 def cut_hot_keys(
     df: DataFrame,
     keys: Sequence[str],
@@ -46,46 +34,30 @@ def cut_hot_keys(
 ) -> tuple[DataFrame, bool]:
     """Add a chunk number that never falls along the order; tell whether any key needed a cut.
 
-    Keys of at most ``max_rows`` rows stay whole (chunk 0). The range of a hot key is cut at the
-    quantiles of its first order column, and between them into equal steps. Rows equal in that column
-    share a chunk; rows without a value come last. ``max_rows=None`` says that no key is large, as
-    ``rows_bound`` found out or the key of the table implies.
+    Keys of at most ``max_rows`` rows stay whole (chunk 0). The rows of hot keys are cut into ranges of the whole order,
+    by Spark's range partitioning: columns of any type, NULLs last, and a number for each row in the end, so that even
+    rows equal in all of them are divided. The ranges are stored, since a lost task could draw other ones. ``max_rows=None``
+    says that no key is large, as ``rows_bound`` found out or the key of the table implies.
     """
-    # The common case is decided by the key columns alone; only hot keys need the range of the order.
     hot = None if max_rows is None else find_hot_keys(df, keys, max_rows)
     if hot is None:
         return df.withColumn(CHUNK, F.lit(0)), False
-    place = position_of(df, order[0])
-    rows = hot.with_bounds(df, place).mark(df).withColumn("_interval", F.lit(1))
-    # Binary search for the last bound not above the place. One column per step, so that no step is
-    # computed twice; missing bounds never match.
-    width = QUANTILES // 2
-    while width:
-        ahead = F.col("_interval") + F.lit(width)
-        passed = F.try_element_at("hot_bounds", ahead) <= place
-        rows = rows.withColumn(
-            "_interval", F.when(passed, ahead).otherwise(F.col("_interval"))
-        )
-        width //= 2
-    intervals = F.size("hot_bounds") - F.lit(1)
-    steps = F.ceil(F.col("hot_n") * F.lit(CHUNKS_PER_TASK_LOAD) / F.lit(max_rows) / intervals)
-    rows = rows.withColumn("_interval", F.least(F.col("_interval"), intervals)).withColumns(
-        {
-            "_low": F.try_element_at("hot_bounds", F.col("_interval")),
-            "_high": F.try_element_at("hot_bounds", F.col("_interval") + F.lit(1)),
-            "_steps": steps,
-        }
-    )
-    low, high, steps = F.col("_low"), F.col("_high"), F.col("_steps")
-    step = F.when(high > low, F.floor((place - low) / (high - low) * steps))
-    step = F.greatest(F.least(F.coalesce(step, F.lit(0)), steps - F.lit(1)), F.lit(0))
-    chunk = (
-        F.when(F.col("hot_n").isNull(), F.lit(0))
-        .when(place.isNull(), F.lit(LAST_CHUNK))
-        .otherwise((F.col("_interval") - F.lit(1)) * steps + step)
-        .cast("int")
+    marked = hot.mark(df, HOT)
+    large = _stored(
+        marked.filter(F.col(HOT).isNotNull()).drop(HOT).withColumn(TIE, F.monotonically_increasing_id()), "hot-rows"
     )
-    return rows.withColumn(CHUNK, chunk).select(*df.columns, CHUNK), True
+    # Sampled ranges are uneven by a small factor; the ranges of all hot keys follow one another.
+    parts = max(2, math.ceil(large.count() * CHUNKS_PER_TASK_LOAD / max_rows))
+    ranges = large.repartitionByRange(parts, *asc([*keys, *order, TIE])).withColumn(CHUNK, F.spark_partition_id())
+    cut = _stored(ranges.drop(TIE), "hot-ranges")
+    usual = marked.filter(F.col(HOT).isNull()).drop(HOT).withColumn(CHUNK, F.lit(0))
+    return usual.unionByName(cut), True
+
+
+def _stored(df: DataFrame, purpose: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def collapse_runs(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +14,7 @@ MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_ROWS_PER_KEY = 5_000_000
 MAX_LOCAL_KEYS = 20_000
-QUANTILES = 64  # a power of two
-QUANTILE_ACCURACY = 1000
+CELLS = 1 << 20
 
 
 def is_small(
@@ -76,40 +75,26 @@ class HotKeys:
         """Into how many parts the rows of a key are to be split; 1 for keys that are not hot."""
         return F.ceil(F.coalesce(F.col(count), F.lit(1)) / F.lit(self.max_rows)).cast("int")
 
-    def with_bounds(self, df: DataFrame, position: Column) -> HotKeys:
-        """Add ``hot_bounds``: how the number ``position`` spreads over the rows of each hot key.
-
-        For a local list these are quantiles. They are estimates and could differ when computed
-        again, so a distributed list, which may be recomputed after a loss, gets the exact smallest
-        and largest value instead. Only rows of hot keys are looked at.
-        """
-        if self.local:
-            shares = [n / QUANTILES for n in range(QUANTILES + 1)]
-            bounds = F.percentile_approx(position, shares, QUANTILE_ACCURACY)
-        else:
-            bounds = F.array(F.min(position), F.max(position))
-        rows = self.mark(df).filter("hot_n IS NOT NULL")
-        figures = [F.count(F.lit(1)).alias("hot_n"), bounds.alias("hot_bounds")]
-        table = rows.groupBy(*self.keys).agg(*figures)
-        return replace(self, table=_keep_local(table) if self.local else table)
-
-
-def _keep_local(table: DataFrame) -> DataFrame:
-    """At most ``MAX_LOCAL_KEYS`` rows, by way of the driver, so that later plans see them fixed."""
-    return F.broadcast(table.sparkSession.createDataFrame(table.collect(), table.schema))
-
 
 def find_hot_keys(
-    df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_KEY
+    df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_KEY, cells: int = CELLS
 ) -> HotKeys | None:
     """Keys with more than ``max_rows`` rows, or None if there are none.
 
-    One aggregation over the key columns, combined map-side, so a hot key costs one row per task. At
-    most rows / ``max_rows`` keys can be hot; up to ``MAX_LOCAL_KEYS`` of them are kept as a local
-    table and broadcast, a longer list stays distributed.
+    Keys are first counted in ``cells`` cells of a hash, combined map-side, so what is shuffled is bounded by the cells
+    and not by the keys. A hot key fills its cell, so only keys of full cells are counted one by one; there are none in
+    the usual case. At most rows / ``max_rows`` cells and keys can be so; up to ``MAX_LOCAL_KEYS`` of them are kept as a
+    local table and broadcast, a longer list stays distributed.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n"))
-    hot = counts.filter(F.col("hot_n") > max_rows)
+    cell = F.pmod(F.xxhash64(*keys), F.lit(cells)).alias("hot_cell")
+    full = df.groupBy(cell).agg(F.count(F.lit(1)).alias("hot_n")).filter(F.col("hot_n") > max_rows).select("hot_cell")
+    crowded = full.take(MAX_LOCAL_KEYS + 1)
+    if not crowded:
+        return None
+    if len(crowded) <= MAX_LOCAL_KEYS:
+        full = F.broadcast(df.sparkSession.createDataFrame(crowded, full.schema))
+    suspects = df.select(*keys, cell).join(full, "hot_cell", "left_semi")
+    hot = suspects.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n")).filter(F.col("hot_n") > max_rows)
     rows = hot.take(MAX_LOCAL_KEYS + 1)
     if not rows:
         return None
