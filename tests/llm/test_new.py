@@ -73,6 +73,7 @@ def odd(spark, more=""):
 def test_importance_of_odd_tables(spark, monkeypatch, words, pairs):
     monkeypatch.setattr(importance.train_head, "__defaults__", ("text", words, pairs))
     monkeypatch.setattr(importance.pieces, "__defaults__", (100,))  # texts in small parts
+    monkeypatch.setattr(importance.frequent, "__defaults__", (1,))
     target = ["a b a b", None, "", "same words", "É b"]
     goal = spark.createDataFrame([(t,) for t in target], "text string")
     got = importance.resample(odd(spark, "1 AS _fit").withColumn("_part", F.lit("x")), goal, percent=50)
@@ -83,6 +84,16 @@ def test_importance_of_odd_tables(spark, monkeypatch, words, pairs):
     assert by_values(r.asDict() for r in none.collect()) == by_values(drawn(docs, [], 50))
 
 
+def test_frequent_words_and_pairs():
+    texts = [b"a b a b c", b"b c", b"", b"a b"]
+    single, double = Counter(), Counter()
+    for words, place, _, fresh in importance.groups(texts):
+        one, two = importance.frequent(words, place, fresh, 2)
+        single.update(one)
+        double.update(two)
+    assert single == {b"a": 3, b"b": 4, b"c": 2} and double == {(b"a", b"b"): 3, (b"b", b"c"): 2}
+
+
 def test_importance_draw(spark):
     docs = spark.range(200).selectExpr("id AS doc_id", "concat_ws(' ', sequence(id, id + 30)) AS text", "id AS score")
     goal = spark.createDataFrame([("150 151 152 153 154",)], "text string")

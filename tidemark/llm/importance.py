@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column, staged
+from tidemark.llm.common import column, discard, staged
 
 BUCKETS = 10_000
 LONGEST = 3
@@ -29,6 +29,7 @@ HEAD_WORDS = 32_768
 HEAD_PAIRS = 65_536
 HEAD_BYTES = 40  # longer words are never in the head
 COUNTED = 1 << 18  # words, and pairs, that a task counts at a time
+LEAST = 8  # times that a group of texts has a word, or pair, that may be in the head
 GROUP = 2 << 20  # bytes of text that are handled together
 SLOTS = 1 << 18
 POLYNOMIAL = 0xEDB88320  # of CRC-32
@@ -170,26 +171,44 @@ def _texts(docs: DataFrame, text: str, **more: Column) -> DataFrame:
     return docs.select(*(c.alias(n) for n, c in more.items()), column(text).cast("binary").alias("text"))
 
 
+def frequent(words: list[bytes], place: np.ndarray, fresh: np.ndarray, least: int = LEAST) -> tuple[Counter, Counter]:
+    """Words, and pairs of neighbours, that a group has ``least`` times or more.
+
+    A pair is no more frequent than its words, so only pairs of frequent words are counted.
+    """
+    n = len(words)
+    known: dict[bytes, int] = {}
+    first = np.fromiter(map(known.setdefault, words, range(n)), np.int64, n)  # where each word stands first
+    counts = np.bincount(first[fresh], minlength=n)
+    often = counts >= least
+    single = Counter({words[i]: int(counts[i]) for i in np.flatnonzero(often)})
+    last = np.flatnonzero(fresh & (place > 0) & often[first])
+    last = last[often[first[last - 1]]]
+    codes, times = np.unique(first[last - 1] * n + first[last], return_counts=True)
+    kept = times >= least
+    double = Counter({
+        (words[c // n], words[c % n]): m for c, m in zip(codes[kept].tolist(), times[kept].tolist(), strict=True)
+    })
+    return single, double
+
+
 def train_head(docs: DataFrame, text: str = "text", words: int = HEAD_WORDS, pairs: int = HEAD_PAIRS) -> Head:
-    """The most frequent words and pairs of all texts, as far as tasks see them.
+    """The most frequent words and pairs of all texts, at most so many.
 
-    A task counts all its words and pairs, but forgets rare ones whenever it has many, and passes on as many as the
-    head has places for; so what misses the head is rare in every task, and costs time, not exactness.
+    Tasks pass on what is frequent in some of their groups of texts; rarer words and pairs would gain nothing. As the
+    head decides speed alone, no result depends on them.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single, double = Counter(), Counter()
         for batch in batches_of(batches):
-            for value in batch.column("text").to_pylist():
-                for own, carried in pieces(value or b""):
-                    single.update(own[carried:])
-                    double.update(zip(own[max(0, carried - 1) :], own[max(1, carried) :], strict=False))
-            if len(single) > 2 * COUNTED:
-                single = Counter(dict(single.most_common(COUNTED)))
-            if len(double) > 2 * COUNTED:
-                double = Counter(dict(double.most_common(COUNTED)))
-        one = [(w, None, n) for w, n in single.most_common(words) if len(w) <= HEAD_BYTES and n > 1]
-        two = [(*p, n) for p, n in double.most_common(pairs) if max(map(len, p)) <= HEAD_BYTES and n > 1]
+            for own, place, _, fresh in groups(batch.column("text").to_pylist()):
+                one, two = frequent(own, place, fresh)
+                single.update(one)
+                double.update(two)
+                single, double = (c if len(c) < 2 * COUNTED else Counter(dict(c.most_common(COUNTED))) for c in (single, double))
+        one = [(w, None, n) for w, n in single.items() if len(w) <= HEAD_BYTES]
+        two = [(*p, n) for p, n in double.items() if max(map(len, p)) <= HEAD_BYTES]
         first, second, n = zip(*one, *two, strict=True) if one or two else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [pa.array(first, pa.binary()), pa.array(second, pa.binary()), pa.array(n, pa.int64())],
@@ -197,14 +216,22 @@ def train_head(docs: DataFrame, text: str = "text", words: int = HEAD_WORDS, pai
         )
 
     found = _texts(docs, text).mapInArrow(count, "first binary, second binary, n long")
-    summed = staged(found.groupBy("first", "second").agg(F.sum("n").alias("n")), "head")
-    order = (F.desc("n"), "first", "second")
-
-    def top(rows: DataFrame, most: int) -> list:
-        return rows.orderBy(*order).limit(most).collect()
-
-    one = top(summed.filter("second IS NULL"), words)
-    two = top(summed.filter("second IS NOT NULL"), pairs)
+    octave = F.floor(F.log2("n") * 8).cast("int").alias("octave")  # eight for each doubling of the count
+    summed = staged(found.groupBy("first", "second").agg(F.sum("n").alias("n")).select("*", octave), "head")
+    sizes = summed.groupBy(F.col("second").isNotNull().alias("pair"), "octave").count().collect()
+
+    def top(pair: bool, most: int) -> list:
+        """The octaves from above that fit: the driver gets ``most`` rows at most."""
+        total, least = 0, 1 << 30
+        for row in sorted((r for r in sizes if r["pair"] == pair), key=lambda r: -r["octave"]):
+            total += row["count"]
+            if total > most:
+                break
+            least = row["octave"]
+        rows = summed.filter((F.col("second").isNotNull() == pair) & (F.col("octave") >= least))
+        return sorted(rows.collect(), key=lambda r: (-r["n"], r["first"], r["second"] or b""))
+
+    one, two = top(False, words), top(True, pairs)
     return Head([bytes(r["first"]) for r in one], [(bytes(r["first"]), bytes(r["second"])) for r in two])
 
 
@@ -313,10 +340,12 @@ def resample(
     found = weights(docs, gain, head, key, text)
     score = F.col("weight") + gumbel(F.col("doc_id"), seed)
     fit = (F.col("n_words") >= least_words).alias("_fit")
-    scored = found.select("doc_id", "n_features", "weight", score.alias("score"), fit)
+    # Written first: ranges are cut by a look at the rows, which would weigh all texts once more.
+    scored = staged(found.select("doc_id", "n_features", "weight", score.alias("score"), fit), "scores")
     placed = ranked(scored, [F.desc("_fit"), F.desc("score"), F.col("doc_id").asc_nulls_last()])
     # Counted on what is written: documents that may be drawn come first.
     n = placed.filter("_fit").count()
+    discard(scored)
     drawn = F.col("_fit") & (F.col("rank") <= n * percent // 100)
     return placed.select("doc_id", "n_features", "weight", "score", F.when(drawn, F.col("rank")).alias("rank"))
 
