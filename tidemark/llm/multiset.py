@@ -5,9 +5,13 @@ sum of the vectors of its paragraphs, lane by lane modulo a power of two. So the
 does not matter, and one is put in or taken out by adding or subtracting its vector.
 
 The vector has two parts. ``EXACT`` lanes of 32 bits hold hashes of the whole paragraph: they tell
-equal multisets from others. ``SIGNED`` lanes of 16 bits are the sum of +1 or -1 for every three words in a
+equal multisets from others. ``SIGNED`` lanes of 32 bits are the sum of +1 or -1 for every three words in a
 row of the paragraph: the cosine of these parts of two fingerprints estimates how much text two
-documents share, with an error of about 1 / sqrt(SIGNED).
+documents share, with an error of about 1 / sqrt(SIGNED). A lane is no larger than the number of shingles, so it keeps
+its value up to 2 ** 31 of them, more than fit a text of 2 GB; the lanes of several documents added up may pass that.
+
+Signed lanes are kept as an array of 16-bit numbers: ``SIGNED`` of them if all fit, else as many low and then as many
+high halves.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from tidemark.llm.common import column, numbered, staged
 EXACT = 8
 SIGNED = 128
 EXACT_MODULUS = 1 << 32
-SIGNED_MODULUS = 1 << 16
+SIGNED_MODULUS = 1 << 32
 WORDS = 3  # of a shingle
 
 
@@ -76,25 +80,35 @@ def lanes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
             signed.append(2 * ones - F.col("n"))
     exact = [F.pmod(F.col(f"{half}{i}"), F.lit(EXACT_MODULUS)) for i in range(EXACT // 2) for half in ("low", "high")]
     return added.select(
-        *keys, F.array(*exact).alias("exact"), _centred(F.array(*signed)).alias("signed")
+        *keys, F.array(*exact).alias("exact"), _kept(F.array(*signed)).alias("signed")
     )
 
 
-def _centred(values: Column) -> Column:
-    """Lanes modulo the power, as numbers from minus a half of it up to the other half."""
+def _kept(values: Column) -> Column:
+    """Lanes modulo the power, from minus a half of it up to the other half, as 16-bit numbers."""
     half = SIGNED_MODULUS // 2
-    return F.transform(values, lambda v: (F.pmod(v + half, F.lit(SIGNED_MODULUS)) - half).cast("short"))
+    lanes_ = F.transform(values, lambda v: F.pmod(v + half, F.lit(SIGNED_MODULUS)) - half)
+    low = F.transform(lanes_, lambda v: (F.pmod(v + 32768, F.lit(65536)) - 32768).cast("short"))
+    high = F.transform(lanes_, lambda v: F.shiftright(v + 32768, 16).cast("short"))
+    return F.when(F.exists(high, lambda v: v != 0), F.concat(low, high)).otherwise(low)
+
+
+def _wide(kept: Column) -> Column:
+    """The lanes of ``_kept`` as longs."""
+    low = F.slice(kept, 1, SIGNED)
+    both = F.zip_with(low, F.slice(kept, SIGNED + 1, SIGNED), lambda a, b: a.cast("long") + F.coalesce(b, F.lit(0)) * 65536)
+    return F.when(F.size(kept) == SIGNED, F.transform(low, lambda a: a.cast("long"))).otherwise(both)
 
 
 def combine(left: tuple[Column, Column], right: tuple[Column, Column], sign: int = 1) -> tuple[Column, Column]:
     """Lanes (exact, signed) of two multisets taken together, or with ``sign`` -1 of the first without the second."""
     exact = F.zip_with(left[0], right[0], lambda a, b: F.pmod(a + sign * b, F.lit(EXACT_MODULUS)))
-    signed = _centred(F.zip_with(left[1], right[1], lambda a, b: a.cast("long") + sign * b.cast("long")))
+    signed = _kept(F.zip_with(_wide(left[1]), _wide(right[1]), lambda a, b: a + sign * b))
     return exact, signed
 
 
 def as_text(exact: Column, signed: Column) -> Column:
-    """Lower-case hexadecimal digits: 8 for each exact lane, then 4 for each signed lane."""
+    """Lower-case hexadecimal digits: 8 for each exact lane, then 8 for each signed lane."""
 
     def digits(values: Column, size: int, width: int, per: int) -> list[Column]:
         parts = []
@@ -106,14 +120,14 @@ def as_text(exact: Column, signed: Column) -> Column:
             parts.append(F.lpad(F.hex(packed), 16, "0"))
         return parts
 
-    return F.lower(F.concat(*digits(exact, EXACT, 8, 2), *digits(signed, SIGNED, 4, 4)))
+    return F.lower(F.concat(*digits(exact, EXACT, 8, 2), *digits(_wide(signed), SIGNED, 8, 2)))
 
 
 def likeness(left: tuple[Column, Column], right: tuple[Column, Column]) -> Column:
     """From 0 to 1: the cosine of the signed lanes, at least 0; 1 for equal fingerprints."""
 
     def dot(a: Column, b: Column) -> Column:
-        products = F.zip_with(a, b, lambda x, y: x.cast("double") * y)
+        products = F.zip_with(_wide(a), _wide(b), lambda x, y: x.cast("double") * y)
         return F.aggregate(products, F.lit(0.0), lambda s, p: s + p)
 
     size = F.sqrt(dot(left[1], left[1]) * dot(right[1], right[1]))
@@ -161,7 +175,8 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id, next_n_chars).
 
     ``docs`` must be a stored table, read the same way each time. Text NULL is the empty text. Rows with a NULL key
-    come first; repeated keys keep the stored order. Every row is a document of its own.
+    come first; repeated keys keep the stored order. Every row is a document of its own, of any length. An empty table
+    gives no rows. Other columns are not read, whatever their names.
     """
     texts = docs.select(column(key).alias("doc_id"), F.coalesce(column(text), F.lit("")).alias("text"))
     rows = numbered(texts, "uid").withColumn("n_chars", F.char_length("text").cast("long"))
