@@ -252,6 +252,13 @@ def test_a_repeated_batch_changes_nothing(spark, keyed):
     assert rows(keyed.read()) == [("a", 2), ("b", 7)]
 
 
+def test_values_are_added(spark, keyed):
+    keyed.upsert(pairs(spark, ("a", 1), (None, 5)), add=True)
+    keyed.upsert(pairs(spark, ("a", 2), ("b", 4), (None, 1)), ("s", 0), add=True)
+    keyed.upsert(pairs(spark, ("a", 2)), ("s", 0), add=True)
+    assert rows(keyed.read()) == sorted([("a", 3), ("b", 4), (None, 6)], key=repr)
+
+
 def test_a_crash_half_way_is_as_if_nothing_was_written(spark, keyed, monkeypatch):
     keyed.upsert(pairs(spark, ("a", 1)), ("stream", 0))
     with monkeypatch.context() as broken:

@@ -172,3 +172,33 @@ def test_updates_by_key_survive_a_repeated_batch(spark, tmp_path):
     run.awaitTermination()
     assert [p.batchId for p in run.recentProgress if p.numInputRows] == [2]
     assert table.log.latest() == version and rows(table.read()) == rows(want)
+
+
+def test_running_sums_count_each_batch_once(spark, tmp_path):
+    """Sessions finish in several batches; a batch that is sent again is not added again."""
+    source = tmp_path / "in"
+    source.mkdir()
+    import os
+
+    parts = [LINES[at : at + 34] for at in range(0, len(LINES), 34)]
+    for n, lines in enumerate([*parts, [FAR]]):
+        (source / f"{n}.json").write_text("\n".join(lines))
+        os.utime(source / f"{n}.json", (1_700_000_000 + 10 * n,) * 2)
+    sessions = windows.session_counts(read_event_files(spark, str(source), 1), gap="60 seconds")
+    schema = spark.createDataFrame([], "host string, sessions bigint, logs bigint").schema
+    table = KeyedTable(spark, str(tmp_path / "table"), schema, ["host"], 4)
+    checkpoint = tmp_path / "checkpoint"
+
+    def run():
+        sums = lambda batch: windows.session_sums(batch, ["host"])
+        runs.upsert_to_table(sessions, table, str(checkpoint), None, "append", sums).awaitTermination()
+
+    run()
+    want = windows.average_session_size(windows.session_counts(batch(spark, LINES), gap="60 seconds"), ["host"])
+    assert rows(windows.averages_of_sums(table.read())) == rows(want)
+    assert table.log.latest() > 2
+    last = max(int(p.name) for p in (checkpoint / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (checkpoint / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert rows(windows.averages_of_sums(table.read())) == rows(want)

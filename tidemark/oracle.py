@@ -531,4 +531,5 @@ ORACLE_SQL["streamed_tumbling_counts"] = ORACLE_SQL["tumbling_counts"]
 ORACLE_SQL["streamed_keyed_counts"] = ORACLE_SQL["tumbling_counts"]
 ORACLE_SQL["streamed_session_counts"] = ORACLE_SQL["host_session_counts"]
 ORACLE_SQL["streamed_session_averages"] = ORACLE_SQL["average_session_by_host"]
+ORACLE_SQL["streamed_running_averages"] = ORACLE_SQL["average_session_by_host"]
 ORACLE_SQL["streamed_session_averages_by_ip_host"] = ORACLE_SQL["average_session_by_ip_host"]

@@ -6,6 +6,7 @@ Arrays are returned as text and dates as ISO strings, so results compare across
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -460,14 +461,14 @@ def csv_lookup_join(t: Tables) -> DataFrame:
 
 
 def _bucketed(t: Tables, hot: list[HotKeys | None]) -> dict[str, str]:
-    """The match tables in buckets, in a new shared folder; the catalog keeps one table for each."""
-    folder = shared_dir(t.spark, "bucketed")
+    """The match tables in buckets, in a new shared folder, under names that no other run has."""
+    folder, run = shared_dir(t.spark, "bucketed"), uuid.uuid4().hex
     inputs = {
         "medals": t.match_medals(), "details": t.match_details(), "matches": t.matches()
     }
     n = bucket_count(inputs["medals"])
     return {
-        name: write_bucketed(df, f"tidemark_{name}", "match_id", n, f"{folder}/{name}", hot=hot)
+        name: write_bucketed(df, f"tidemark_{name}_{run}", "match_id", n, f"{folder}/{name}", hot=hot)
         for name, df in inputs.items()
     }
 
@@ -475,7 +476,11 @@ def _bucketed(t: Tables, hot: list[HotKeys | None]) -> dict[str, str]:
 @query
 def bucketed_match_join(t: Tables) -> DataFrame:
     hot = [find_hot_keys(df, ["match_id"]) for df in (t.match_medals(), t.match_details())]
-    joined = joins.bucketed_match_join(t.spark, **_bucketed(t, hot), hot_medals=hot[0], hot_details=hot[1])
+    tables = _bucketed(t, hot)
+    joined = joins.bucketed_match_join(t.spark, **tables, hot_medals=hot[0], hot_details=hot[1])
+    if not any(hot):  # the frame has the files; only the parts of hot keys are found by way of the catalog
+        for name in tables.values():
+            t.spark.sql(f"DROP TABLE {name}")
     return joined.select(
         "player_gamertag_medal", "medal_id", "count", "match_id", "player_gamertag",
         "player_total_kills", "playlist_id", "map_variant_id", "is_team_game",
@@ -788,6 +793,14 @@ def _stream(t: Tables, closing: str) -> DataFrame:
     return parse_events(_messages(t, stored).union(last))
 
 
+def _closing(t: Tables, folder: str) -> str:
+    """A folder with one message, later than every window of the events."""
+    time = F.date_format(F.max("ts").cast("timestamp") + F.expr("INTERVAL 2 DAYS"), EVENT_TIME_FORMAT)
+    message = t.raw("events").agg(F.to_json(F.struct(time.alias("event_time"))).alias("value"))
+    message.write.parquet(f"{folder}/closing")
+    return f"{folder}/closing"
+
+
 def _drain(t: Tables, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run the stream to its end and read what it has written, the last windows included.
 
@@ -795,11 +808,7 @@ def _drain(t: Tables, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
     watermark over them, and its own window stays open, so it is not in the result.
     """
     folder = shared_dir(t.spark, "stream")
-    closing = f"{folder}/closing"
-    time = F.date_format(F.max("ts").cast("timestamp") + F.expr("INTERVAL 2 DAYS"), EVENT_TIME_FORMAT)
-    message = t.raw("events").agg(F.to_json(F.struct(time.alias("event_time"))).alias("value"))
-    message.write.parquet(closing)
-    counts = count(_stream(t, closing))
+    counts = count(_stream(t, _closing(t, folder)))
     runs.append_to_files(counts, f"{folder}/out", f"{folder}/checkpoint", interval=None).awaitTermination()
     return t.spark.read.schema(counts.schema).parquet(f"{folder}/out")
 
@@ -848,6 +857,19 @@ def streamed_session_averages(t: Tables) -> DataFrame:
     return windows.average_session_size(_streamed_sessions(t), ["host"])
 
 
+@query
+def streamed_running_averages(t: Tables) -> DataFrame:
+    """The averages as a table that every batch of finished sessions brings up to date."""
+    folder = shared_dir(t.spark, "running")
+    sessions = windows.session_counts(_stream(t, _closing(t, folder)), gap="6 hours")
+    sums = "host string, sessions bigint, logs bigint"
+    table = KeyedTable(t.spark, f"{folder}/table", t.spark.createDataFrame([], sums).schema, ["host"], 8)
+    runs.upsert_to_table(
+        sessions, table, f"{folder}/checkpoint", None, "append", lambda batch: windows.session_sums(batch, ["host"])
+    ).awaitTermination()
+    return windows.averages_of_sums(table.read())
+
+
 @query
 def streamed_session_averages_by_ip_host(t: Tables) -> DataFrame:
     return windows.average_session_size(_streamed_sessions(t), ["ip", "host"], host_like="%i%")

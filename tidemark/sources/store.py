@@ -125,6 +125,9 @@ class KeyedTable:
         """The rows of a version, the last one if none is given."""
         return self._rows([f for files in self.files(version).values() for f in files])
 
+    def _typed(self, df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema))
+
     def has_batch(self, writer: str, number: int) -> bool:
         """Whether that batch of the writer, or a later one, is in the table."""
         return self.log.read().get("batches", {}).get(writer, -1) >= number
@@ -144,15 +147,17 @@ class KeyedTable:
                 found.setdefault(str(bucket_of(name)), []).append(f"{folder}/{name}")
         return found
 
-    def upsert(self, new: DataFrame, batch: tuple[str, int] | None = None) -> int:
+    def upsert(self, new: DataFrame, batch: tuple[str, int] | None = None, add: bool = False) -> int:
         """Rows of ``new``, one for each key (NULL is a key), in place of stored ones with their key; the version.
 
+        With ``add`` the columns besides the keys are added to the stored values instead, as sums and counts that go on.
+
         The new rows are written first, in the buckets of the table, so their files tell which buckets change; only
         those are read, merged and written anew. ``batch`` names a writer and the number of its batch: a number that
         the log has already, or a smaller one, is a repeated batch and changes nothing. The number is published with
         the data, so a crash before that leaves neither, and after it both.
         """
-        rows = new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema))
+        rows = self._typed(new)
         fresh = None
         for _ in range(ATTEMPTS):
             before = self.log.read()
@@ -166,9 +171,13 @@ class KeyedTable:
             if changed:
                 added = self._rows([f for files in changed.values() for f in files])
                 old = self._rows([f for b in changed for f in stored[b]])
-                same = reduce(Column.__and__, (old[k].eqNullSafe(added[k]) for k in self.keys))
-                kept = old.join(added, same, "left_anti")
-                merged |= self._write(kept.unionByName(added))
+                if add:
+                    sums = [F.sum(f.name).alias(f.name) for f in self.schema if f.name not in self.keys]
+                    both = old.unionByName(added).groupBy(*self.keys).agg(*sums)
+                else:
+                    same = reduce(Column.__and__, (old[k].eqNullSafe(added[k]) for k in self.keys))
+                    both = old.join(added, same, "left_anti").unionByName(added)
+                merged |= self._write(self._typed(both))
             content = {
                 "buckets": self.buckets,
                 "files": {**stored, **merged},

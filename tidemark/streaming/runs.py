@@ -48,11 +48,17 @@ def append_to_jdbc(
 
 
 def upsert_to_table(
-    rows: DataFrame, table: KeyedTable, checkpoint: str, interval: str | None = INTERVAL, mode: str = "update"
+    rows: DataFrame,
+    table: KeyedTable,
+    checkpoint: str,
+    interval: str | None = INTERVAL,
+    mode: str = "update",
+    sums: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Put the rows of a stream in the place of stored ones with their key, each batch exactly once.
 
-    The number of a batch is published with its rows, under the id that the checkpoint gives the stream. So a batch that
+    With ``sums`` each batch is summed up by it first, and the sums are added to the stored ones: a running aggregate
+    over the rows of a stream in append mode, whose state is the table. The number of a batch is published with its rows, under the id that the checkpoint gives the stream. So a batch that
     is sent again, after a crash between the table and the checkpoint, changes nothing.
     """
 
@@ -61,6 +67,6 @@ def upsert_to_table(
         if table.has_batch(*known):
             batch.write.format("noop").mode("overwrite").save()  # its state has to be brought up to date all the same
         else:
-            table.upsert(batch, known)
+            table.upsert(batch if sums is None else sums(batch), known, add=sums is not None)
 
     return _start(rows.writeStream.foreachBatch(write), checkpoint, interval, mode)

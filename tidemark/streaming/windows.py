@@ -75,6 +75,19 @@ def session_counts(
     )
 
 
+def session_sums(sessions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Sessions and their events per key, as sums that go on from batch to batch."""
+    return sessions.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum("num_logs").cast("bigint").alias("logs")
+    )
+
+
+def averages_of_sums(sums: DataFrame) -> DataFrame:
+    """``average_session_size`` from the sums of ``session_sums``."""
+    average = sums.withColumn("avg_events", F.col("logs") / F.col("sessions")).drop("logs", "sessions")
+    return average.withColumn("avg_events_int", F.floor("avg_events").cast("bigint"))
+
+
 def average_session_size(
     sessions: DataFrame, keys: Sequence[str] = KEYS, host_like: str | None = None
 ) -> DataFrame:
