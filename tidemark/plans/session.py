@@ -12,8 +12,8 @@ AUTO_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 DEFAULT_AUTO_BROADCAST = "10485760b"
 
 # AQE splits skewed join partitions, even where that costs a shuffle, and merges small ones, so the
-# number of shuffle partitions is only the upper bound it starts from. Sessions are merged map-side
-# before their shuffle, and the state of streams is kept on disk rather than in the heap.
+# number of shuffle partitions is only the upper bound it starts from. Session windows, which streams
+# use, are merged map-side before their shuffle, and the state of streams is kept on disk.
 CLUSTER_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
