@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import arrow_rows, column, staged
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import GROUP, encoder
 
 CAPACITY = 1024
 END_ID = 0
@@ -159,7 +159,7 @@ def pack(
         numbers = [0] * (capacity + 1)
         for batch in batches:
             owner, starts, ids, totals, places = [], [], [], [], []
-            for i, value in enumerate(encode.many(batch.column("text").to_pylist())):
+            for i, value in enumerate(encode.many(batch.column("text").to_pylist(), GROUP if remember else GROUP // 4)):
                 own = value + end
                 total = len(own) // 4
                 for start in range(0, total, capacity):

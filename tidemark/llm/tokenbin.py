@@ -62,7 +62,10 @@ class Codec:
     """Compresses and restores id arrays with one dictionary."""
 
     def __init__(self, dictionary: bytes):
-        shared = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+        shared = {}
+        if dictionary:
+            shared["dict_data"] = zstandard.ZstdCompressionDict(dictionary)
+            shared["dict_data"].precompute_compress(level=LEVEL)  # else it is digested for every document
         self.hash = dictionary_hash(dictionary)
         self.pack = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **shared).compress
         self.unpack = zstandard.ZstdDecompressor(**shared).decompress
