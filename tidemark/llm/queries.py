@@ -51,10 +51,10 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = mixing.mix(docs, MIX_SHARE, WEIGHTS, domain_of(), MIX_EPOCHS, MIX_SEED, with_text=False)
+    found = mixing.mixed_prefixes(docs, MIX_SHARE, WEIGHTS, domain_of(), MIX_EPOCHS, MIX_SEED)
     return found.select(
-        "doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"),
-        F.col("_tokens").alias("n_tokens"), F.col("_take").cast("long").alias("take_tokens"),
+        F.col("key").alias("doc_id"), "domain", "lang", "source", "epoch", F.col("tokens").alias("n_tokens"),
+        F.col("take").cast("long").alias("take_tokens"), F.col("chars").alias("prefix_chars"), F.col("crc32").alias("prefix_crc32"),
     )
 
 
