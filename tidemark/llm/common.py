@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -14,6 +15,10 @@ from pyspark.sql import types as T
 from tidemark.plans.session import shared_dir
 
 
+#: Nodes of plans whose rows come in the same order in every scan.
+STORED = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "Range", "DataSourceV2ScanRelation"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -34,9 +39,17 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df``, a stored table, with a number for each row by its place, the same in every scan.
 
     Spark cuts small tables into as many parts as there are cores, so a lost executor between two scans would
-    change the numbers. The session's number of parts is therefore held from here on, if it is not set.
+    change the numbers. The session's number of parts is therefore held from here on, if it is not set. A frame that
+    is more than columns and filters of stored rows is refused, since its rows may come in another order each time.
     """
     spark = df.sparkSession
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind not in STORED:
+            raise ValueError(f"row numbers need a stored table, not the result of {kind}: write it and read it back")
+        todo += [node.children().apply(i) for i in range(node.children().size())]
     key = "spark.sql.files.minPartitionNum"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
@@ -59,6 +72,16 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs.
+
+    It does once the driver's garbage collector finds that nothing refers to a shuffle any more, which may take half an
+    hour by itself. Called after large jobs, so that their files do not stay beside those of the next one.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in small parts, so that few texts are Python objects at a time."""
     for batch in batches:

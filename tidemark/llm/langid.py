@@ -16,6 +16,7 @@ from tidemark.llm.common import column, schema_of, slices
 
 UNKNOWN = "und"
 PROFILE = 400  # n-grams of a profile
+BLANK = 1  # not 0, which would make a gram with a leading blank the code of the shorter one
 ORDERS = (1, 2, 3)  # lengths of n-grams; three code points of 21 bits fill a long
 FLUSH = 500_000  # distinct n-grams that a training task holds before it emits their counts
 LONGEST = 1 << 20  # code points counted at once; the counts of longer texts are added up
@@ -32,10 +33,10 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     Letters are lower-cased; every run of other characters, and either end, is one blank.
     """
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(_letters()[points], points, 0).astype(np.int64)
-    points = np.concatenate(([0], points, [0]))
-    points = points[np.concatenate(([True], (points[1:] > 0) | (points[:-1] > 0)))]
-    if not points.any():
+    points = np.where(_letters()[points], points, BLANK).astype(np.int64)
+    points = np.concatenate(([BLANK], points, [BLANK]))
+    points = points[np.concatenate(([True], (points[1:] > BLANK) | (points[:-1] > BLANK)))]
+    if points.max() == BLANK:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     found: dict[int, int] = {}
     parts = []
@@ -48,9 +49,9 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
             for i in range(1, n):
                 codes = (codes << 21) | window[i : len(window) - n + 1 + i]
             if n == 1:
-                codes = codes[codes > 0]
+                codes = codes[codes > BLANK]
             parts.append(np.unique(codes, return_counts=True))
-    if len(points) <= LONGEST:  # codes of different lengths differ but for leading blanks
+    if len(points) <= LONGEST:  # no two lengths have a code in common
         codes = np.concatenate([p[0] for p in parts])
         counts = np.concatenate([p[1] for p in parts])
     else:
@@ -155,9 +156,13 @@ class Classifier:
 
 
 def with_language(
-    docs: DataFrame, profiles: Mapping[str, list[int]], text: str = "text", size: int = PROFILE
+    docs: DataFrame, profiles: Mapping[str, list[int]], text: str = "text", size: int = PROFILE,
+    into: tuple[str, str] = ("_lang", "_score"),
 ) -> DataFrame:
-    """``docs`` with ``_lang`` and ``_score``, from the text alone. Text NULL or without letters: und, 0."""
+    """``docs`` with language and score as the columns ``into``, from the text alone.
+
+    Text NULL or without letters: und, 0. A column of ``docs`` must not have one of the new names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Classifier(profiles, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +170,10 @@ def with_language(
             found = [shared.value.predict(t) for t in batch.column(text).to_pylist()]
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *added], names=[*batch.schema.names, "_lang", "_score"]
+                [*batch.columns, *added], names=[*batch.schema.names, *into]
             )
 
-    return docs.mapInArrow(run, schema_of(docs, _lang=T.StringType(), _score=T.DoubleType()))
+    return docs.mapInArrow(run, schema_of(docs, **dict(zip(into, (T.StringType(), T.DoubleType()), strict=True))))
 
 
 def held_out(key: str, folds: int, fold: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_rows, column, discard, lists, numbered, schema_of, slices, staged, unused
+from tidemark.llm.common import arrow_rows, column, discard, lists, numbered, release, schema_of, slices, staged, unused
 from tidemark.llm.components import components
 from tidemark.llm.setjoin import candidates
 
@@ -46,18 +46,18 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """``docs`` with the fingerprint of the text as a signed long in ``_fp``."""
+def with_fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, into: str = "_fp") -> DataFrame:
+    """``docs`` with the fingerprint of the text as a signed long in ``into``, a name that no column of ``docs`` has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [fingerprint(t or "", words) for t in batch.column(text).to_pylist()]
             signed = np.array(found, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(signed)], names=[*batch.schema.names, "_fp"]
+                [*batch.columns, pa.array(signed)], names=[*batch.schema.names, into]
             )
 
-    return docs.mapInArrow(run, schema_of(docs, _fp=T.LongType()))
+    return docs.mapInArrow(run, schema_of(docs, **{into: T.LongType()}))
 
 
 def _parts(radius: int) -> int:
@@ -271,11 +271,15 @@ def keep_one(
     marked = numbered(docs, row)
     every = marked.select(F.col(row).alias("_row"), F.coalesce(column(text), F.lit("")).alias("text"))
     worded = F.col("text").rlike(r"[^ \t\n\x0B\f\r]")
-    keyed = staged(every.select("_row", F.when(worded, F.sha2("text", 256)).otherwise("").alias("same")), "same")
-    firsts = staged(keyed.groupBy("same").agg(F.min("_row").alias("first")), "texts")
-    texts = every.join(firsts.select(F.col("first").alias("_row")), "_row", "left_semi")
+    spark = docs.sparkSession
+    same = F.when(worded, F.unhex(F.sha2("text", 256))).otherwise(F.lit(b"")).alias("same")
+    keyed = staged(every.select("_row", same), "same")
+    firsts = staged(keyed.groupBy("same").agg(F.min("_row").alias("first")), "firsts")
+    # Every later step reads these texts: one shuffle of the texts instead of one for each of them.
+    texts = staged(every.join(firsts.select(F.col("first").alias("_row")), "_row", "left_semi"), "texts")
+    release(spark)
     prints = staged(with_fingerprints(texts, "text", words).select("_row", "_fp"), "prints")
-    per_print = staged(prints.groupBy("_fp").agg(F.min("_row").alias("first")), "firsts")
+    per_print = staged(prints.groupBy("_fp").agg(F.min("_row").alias("first")), "prints")
     links = near_links(per_print.select("_fp"), radius, links=closest_links)
     apart = links.select(F.least("a", "b").alias("_fp"), F.greatest("a", "b").alias("other")).distinct()
     others = per_print.select(F.col("_fp").alias("other"), F.col("first").alias("b"))
@@ -283,7 +287,7 @@ def keep_one(
         apart.join(per_print, "_fp").join(others, "other").select(F.col("first").alias("a"), "b")
         .union(prints.join(per_print, "_fp").filter("_row <> first").select("_row", "first"))
     )
-    values = every.select(F.col("_row").alias("a"), F.col("text").alias("text_a"))
+    values = texts.select(F.col("_row").alias("a"), F.col("text").alias("text_a"))
     other_values = values.withColumnsRenamed({"a": "b", "text_a": "text_b"})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,11 +301,16 @@ def keep_one(
     def checked(pairs: DataFrame) -> DataFrame:
         with arrow_rows(docs.sparkSession, 1000):
             joined = pairs.join(values, "a").join(other_values, "b")
-            return staged(joined.mapInArrow(compare, "a long, b long"), "checked")
+            found = staged(joined.mapInArrow(compare, "a long, b long"), "checked")
+            release(spark)
+            return found
 
     near = checked(pairs)
+    discard(prints)
     rest = candidates(texts, components(near, "a", "b"), checked_words, similarity)
+    release(spark)
     groups = components(near.union(checked(rest)), "a", "b")
+    discard(texts)
     copies = keyed.join(firsts, "same").filter("_row <> first").select(F.col("_row").alias(row))
     gone = groups.filter("node <> component").select(F.col("node").alias(row)).union(copies)
     return marked.join(gone, row, "left_anti").select(*(column(c) for c in docs.columns))

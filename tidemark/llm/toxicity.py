@@ -162,10 +162,13 @@ def train(
     return fit([t for _, _, t in taken], [y for _, y, _ in taken])
 
 
-def with_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``_score`` and the offending sentences ``_toxic`` (start, end, score).
+def with_toxicity(
+    docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("_score", "_toxic")
+) -> DataFrame:
+    """``docs`` with the score and the offending sentences (start, end, score) as the columns ``into``.
 
-    Places count code points. Text NULL, empty or without words: score 0, no sentences.
+    Places count code points. Text NULL, empty or without words: score 0, no sentences. A column of ``docs`` must not
+    have one of the new names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = T.StructType(
@@ -182,10 +185,11 @@ def with_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFram
                 toxic.append([{"start": a, "end": b, "score": s} for a, b, s in found if s >= TOXIC_SENTENCE])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores, pa.float64()), pa.array(toxic, kind)],
-                names=[*batch.schema.names, "_score", "_toxic"],
+                names=[*batch.schema.names, *into],
             )
 
-    return docs.mapInArrow(run, schema_of(docs, _score=T.DoubleType(), _toxic=T.ArrayType(span)))
+    kinds = (T.DoubleType(), T.ArrayType(span))
+    return docs.mapInArrow(run, schema_of(docs, **dict(zip(into, kinds, strict=True))))
 
 
 def toxicity(
