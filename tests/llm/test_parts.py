@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import io
 import random
+import re
+import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import (
-    embedding, langid, mixing, multiset, packing, passages, simhash, tokenbin, toxicity, warc,
+    embedding, langid, mixing, multiset, packing, passages, setjoin, simhash, tokenbin, tokens, toxicity, warc,
 )
 from tidemark.llm.common import numbered
 from tidemark.llm.queries import BYTE_TOKENIZER, WEIGHTS, WORD_TOKENIZER, domain_of
 from tidemark.llm.tokens import Encoder
+from test_queries import brute_budgets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, _row long, seed string"
 PROSE = "the quick brown fox jumps over the lazy dog and runs through the old wood by the river. "
@@ -121,6 +126,29 @@ def test_columns_of_clashing_names_keep_their_values(odd):
         assert {(r["doc_id"], r["_row"]) for r in found.collect()} <= given
 
 
+# Every name that an operator gives to a column of its own.
+OWN_NAMES = """_tokens _domain _tie _bucket _epoch _take _order _whole _left _level0 _lang _score _toxic _fp _row _cuts _text _facts
+doc domain epoch tokens take key tie bucket order whole rest left end before upto n parent slot part at shard uid same first
+known node component a b seed place ref low high begin id own row shingle size text_a text_b doc_tokens sequence_id offset
+start length ids sentences exact signed _part _at _fit rank score weight""".split()
+
+
+def test_own_names_of_operators_are_free_for_columns(spark, tmp_path):
+    """A table that has them all goes through every stage, and its values come out as they went in."""
+    kept = {n.lower() for n in ("doc_id", "text", "lang", "source", "n_chars")}
+    frame = spark.createDataFrame([r[:5] for r in ODD if r[0] != 6], "doc_id long, text string, lang string, source string, n_chars long")
+    frame = frame.withColumns({n: F.lit(f"mine {n}") for n in OWN_NAMES if n not in kept})
+    frame.write.parquet(str(tmp_path / "t"))
+    now = spark.read.parquet(str(tmp_path / "t"))
+    names = now.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        now = corpus_pipeline.staged(stage(spark, now, ""), name)
+        assert now.columns == names and now.count() > 0
+        for row in now.collect():
+            assert all(row[n] == f"mine {n}" for n in OWN_NAMES if n not in kept)
+    assert corpus_pipeline.STAGES[4][1](spark, now, "").count() > 0
+
+
 def test_odd_stages(spark, odd, empty):
     for frame, some in ((odd, True), (empty, False)):
         now = frame
@@ -198,15 +226,31 @@ def test_paragraphs_in_and_out(spark):
     assert (got[0], got[1]) == by["whole"] and (got[2], got[3]) == by["first"]
 
 
-def test_shares():
-    assert mixing.shares(10, [1, 1], [100, 100]) == [5, 5]
-    assert mixing.shares(10, [9, 1], [3, 100]) == [3, 7]
-    assert mixing.shares(10, [1, 1], [2, 3]) == [2, 3]
-    assert mixing.shares(10, [0, 1], [50, 3]) == [0, 3]
-    assert sum(mixing.shares(10, [1, 1, 1], [9, 9, 9])) == 10
-    # A leaf's shortage goes to its sibling before another domain gets more.
-    tokens = {("a", "x", "1"): 1, ("a", "y", "1"): 50, ("b", "x", "1"): 50}
-    assert mixing.budgets(tokens, 20, ({}, {}, {}), 1) == {("a", "x", "1"): 1, ("a", "y", "1"): 9, ("b", "x", "1"): 10}
+def leaf_rows(spark, tokens):
+    return spark.createDataFrame([(*leaf, n) for leaf, n in tokens.items()], "domain string, lang string, source string, tokens long")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_budgets_of_random_trees(spark, seed):
+    """Against the definition, node by node: shortages, weights of zero, NULL names, many equal children."""
+    dice = random.Random(seed)
+    names = [None, *(f"n{i}" for i in range(dice.choice((2, 5, 30))))]
+    tokens = {(dice.choice("ab"), dice.choice(names), dice.choice(names)): dice.choice((1, 7, dice.randrange(1, 5000))) for _ in range(120)}
+    weights = [{"a": dice.random()}, {"n1": 0, None: 3}, {"n0": 5, "n2": 0.5}]
+    total, epochs = dice.choice((0, 10, 10_000, 10**7)), dice.choice((1, 3))
+    got = mixing.budgets(leaf_rows(spark, tokens), total, weights, epochs)
+    found = {(r["domain"], r["lang"], r["source"]): r["given"] for r in got.collect()}
+    assert found == brute_budgets(tokens, total, weights, epochs)
+    assert got.filter("tokens IS NULL").count() == 0 and {tuple(r)[:3]: r["tokens"] for r in got.collect()} == tokens
+
+
+def test_budgets_by_hand(spark):
+    tokens = {("a", "x", "1"): 1, ("a", "y", "1"): 9, ("b", "x", "1"): 90}
+    got = mixing.budgets(leaf_rows(spark, tokens), 20, ({}, {}, {}), 1).collect()
+    assert {(r["domain"], r["lang"], r["source"]): r["given"] for r in got} == {
+        ("a", "x", "1"): 1, ("a", "y", "1"): 9, ("b", "x", "1"): 10
+    }
+    assert mixing.budgets(leaf_rows(spark, {("a", "b", "c"): 1}).limit(0), 20, ({}, {}, {}), 1).collect() == []
 
 
 def test_toxic_sentences_are_found():
@@ -294,6 +338,23 @@ def test_copies_near_the_threshold(spark, tmp_path):
     similar = [i for i in range(0, 800, 2) if alike(texts[i], texts[i + 1])]
     far = [i for i in similar if (prints[i] ^ prints[i + 1]).bit_count() > simhash.WIDE_RADIUS]
     assert far and set(range(800)) - kept == {i + 1 for i in similar}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0)):
+        band = [i for i in similar if low <= jaccard(texts[i], texts[i + 1]) < high]
+        assert len(band) > 30 and not any(i + 1 in kept for i in band)
+
+
+def jaccard(a, b):
+    one, two = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(one & two) / len(one | two)
+
+
+@pytest.mark.parametrize("share", [0, 1])
+def test_frequent_shingles_are_dealt_to_every_pair_of_blocks(share):
+    """Two rows of a shingle meet under one key at least, whatever their blocks; of other shingles under itself."""
+    shingle = np.array([5, 9], np.int64)
+    keys = [set(setjoin.dealt(shingle, np.arange(2), np.array([7, 1 + 3 * share]), row)[0].tolist()) for row in range(60)]
+    assert all(a & b for a in keys for b in keys)
+    assert all(len(k) == 8 + 3 * share for k in keys) and len(set.union(*keys)) == 28 + (10 if share else 1)
 
 
 def stored_texts(spark, texts, path):
@@ -317,20 +378,42 @@ def test_a_rejected_chain_hides_no_passage(spark, tmp_path):
     assert [(r["other_doc_id"], r["n_words"]) for r in got] == [(1, 68)]
 
 
-def test_frequent_seeds_have_the_same_links(spark, monkeypatch):
+def test_frequent_seeds_have_the_same_links(spark):
     """Scanned in ranges of documents or not, seeds have the same links, those at many places too."""
     dice = random.Random(7)
     rows = []
     for seed in range(12):
         for uid in sorted(dice.sample(range(300), 200)):
-            places = sorted(dice.sample(range(500), dice.choice((1, 2, 20))))
-            rows += [(seed, uid, pos, nth, seed % 3) for nth, pos in enumerate(places)]
-    found = spark.createDataFrame(rows, "seed long, uid long, pos long, nth long, span long")
-    links = []
-    for least in (10**9, 1):
-        monkeypatch.setattr(passages, "HOT_COUNT", least)
-        links.append(sorted(map(tuple, passages.anchors(found).collect())))
-    assert links[0] == links[1] and len(links[0]) > len(rows)
+            places = np.array(sorted(dice.sample(range(500), dice.choice((1, 2, 20)))))
+            key, order = passages.keys_of(np.full(len(places), seed, np.int64), np.zeros(len(places), np.int64))
+            rows += zip(key.tolist(), [uid] * len(key), (4 * places[order] + 2 * (seed % 2)).tolist(), strict=True)
+    found = spark.createDataFrame(rows, "seed long, uid long, place long")
+    keys = [r["seed"] for r in found.select("seed").distinct().collect()]
+    often = F.col("seed").isin(keys[::2])
+    single = lambda links: sorted(map(tuple, links.select("uid", "ref", F.explode("ats")).collect()))
+    usual = single(passages.linked(found))
+    steps = [20, 40, 41, 150, 299]
+    apart = single(passages.linked(found.filter(~often), found.filter(often), steps))
+    assert usual == apart and len(usual) > len(rows)
+
+
+def test_seeds_of_texts_together_are_those_of_each(monkeypatch):
+    """Words, places, runs and keys do not depend on the texts that come before or behind."""
+    dice = random.Random(14)
+    texts = [" ".join(dice.choice("abcdefgh") * 3 for _ in range(dice.choice((0, 3, 5, 6, 40, 200)))) for _ in range(60)]
+    text, key, place = passages.seeds_of(texts, 5, 4, 12)
+    for i, one in enumerate(texts):
+        _, own_key, own_place = passages.seeds_of([one], 5, 4, 12)
+        assert sorted(zip(key[text == i], place[text == i])) == sorted(zip(own_key, own_place))
+        words = one.split()
+        starts = {p // 2 for p in own_place if p % 2 == 0}
+        assert len(words) < 5 or {0, len(words) - 5} <= starts
+        assert all(any(at + j in starts for j in range(4)) for at in range(len(words) - 7))
+        same = {}
+        for k, p in zip(own_key.tolist(), own_place.tolist()):
+            if p % 2 and p // 2 + 12 + 4 <= len(words):
+                same.setdefault(k, set()).add(tuple(words[p // 2 : p // 2 + 8 + 5]))
+        assert all(len(s) == 1 for s in same.values())
 
 
 def recall(length, edits, tries=300, seed=8):
@@ -344,17 +427,59 @@ def recall(length, edits, tries=300, seed=8):
         (s, x), (t, y) = passages.seeds(a), passages.seeds(b)
         i, j = np.nonzero(s[:, None] == t[None, :])
         ref = np.zeros(len(i), np.int64)
-        chains = passages.chains_of(ref, x[i], y[j], k, passages.MAX_GAP, 20)
+        chains = passages.chains_of(ref, x[i], y[j], k, passages.MAX_GAP, 12)
         spans = [p for _, xs, ys in chains for p in passages.align(a, b, np.array(xs), np.array(ys), k, 50, 0.8)]
         found += any(p[0] < 200 + length and p[1] > 200 for p in spans)
     return found / tries
 
 
-@pytest.mark.parametrize(("length", "edits", "least"), [(55, 8, 0.7), (60, 8, 0.94), (80, 10, 0.98), (100, 15, 0.98)])
+@pytest.mark.parametrize(
+    ("length", "edits", "least"),
+    [(50, 5, 0.99), (50, 8, 0.97), (50, 10, 0.93), (55, 8, 0.98), (55, 11, 0.94), (60, 8, 0.99), (60, 12, 0.95), (80, 16, 0.98), (100, 20, 0.98)],
+)
 def test_recall_of_fuzzy_passages(length, edits, least):
     assert recall(length, edits) >= least
 
 
+def test_recall_by_length_and_similarity_in_a_table(spark, tmp_path):
+    """Passages planted into a table of many documents, which also share phrases and lines, through the whole query."""
+    dice = random.Random(31)
+    phrases = [random_words(dice, n) for n in (4, 6, 9, 14) for _ in range(5)]
+    line = random_words(dice, 25)
+
+    def prose(count):
+        words = []
+        while len(words) < count:
+            words += random_words(dice, dice.randint(5, 40)) + dice.choice(phrases)
+        return words[:count]
+
+    cells = [(length, share) for length in (50, 60, 80, 120) for share in (0, 0.05, 0.1, 0.15, 0.2)]
+    texts, planted = [], []
+    for length, share in cells * 20:
+        passage = prose(length)
+        edited = list(passage)
+        for at in dice.sample(range(length), int(length * share)):
+            edited[at] = f"x{dice.randrange(10**7)}"
+        for words in (passage, edited):
+            texts.append(prose(dice.randint(0, 200)) + words + prose(dice.randint(0, 200)))
+            if dice.random() < 0.3:
+                texts[-1] += line
+        planted.append((length, share))
+    order = list(range(len(texts)))
+    dice.shuffle(order)
+    place = {t: i for i, t in enumerate(order)}
+    got = passages.repeated_passages(stored_texts(spark, [" ".join(texts[t]) for t in order], str(tmp_path / "d"))).collect()
+    pairs = {frozenset((r["doc_id"], r["other_doc_id"])) for r in got}
+    found = Counter()
+    for n, cell in enumerate(planted):
+        found[cell] += frozenset((place[2 * n], place[2 * n + 1])) in pairs
+    for low, high in ((0, 0.05), (0.1, 0.15), (0.2, 0.2)):
+        for length in (50, 60, 80, 120):
+            assert sum(found[length, s] for s in {low, high}) >= 0.9 * 20 * len({low, high}), (length, low, found)
+    true = {frozenset((place[2 * n], place[2 * n + 1])) for n in range(len(planted))}
+    assert len(pairs - true) <= 0.02 * len(pairs)  # documents that share phrases and lines only are left alone
+
+
 def test_quotes_of_halves_hide_no_passage(spark, tmp_path):
     """Between two full copies of a passage, other documents quote one half or the other."""
     dice = random.Random(9)
@@ -365,6 +490,33 @@ def test_quotes_of_halves_hide_no_passage(spark, tmp_path):
     assert sorted((r["doc_id"], r["other_doc_id"], r["n_words"]) for r in got) == [(2, 7, 60), (7, 2, 60)]
 
 
+@pytest.mark.parametrize("forward", [True, False])
+def test_quotes_before_the_whole_hide_no_passage(spark, tmp_path, forward):
+    """A document has parts of a passage in another order before the passage itself; its copy has some words changed."""
+    dice = random.Random(12)
+    copy = random_words(dice, 100)
+    quoting = copy[:45] + random_words(dice, 30) + copy[55:] + random_words(dice, 30) + copy[45:55] + random_words(dice, 30) + copy
+    changed = [f"x{i}" if i % 20 == 10 else w for i, w in enumerate(copy)]
+    texts = [" ".join(quoting), " ".join(random_words(dice, 30) + changed)]
+    texts = texts if forward else texts[::-1]
+    got = passages.repeated_passages(stored_texts(spark, texts, str(tmp_path / "d"))).collect()
+    whole = [r for r in got if r["n_words"] >= 95]
+    assert {r["doc_id"] for r in whole} == {0, 1} and all(r["similarity"] >= 0.9 for r in whole)
+
+
+def test_passages_do_not_depend_on_passes_or_frequent_seeds(spark, tmp_path, monkeypatch):
+    dice = random.Random(15)
+    line = random_words(dice, 60)
+    texts = [" ".join(random_words(dice, dice.randrange(60)) + line[: dice.randrange(40, 61)]) for _ in range(150)]
+    frame = stored_texts(spark, texts, str(tmp_path / "d"))
+    found = []
+    for passes, count, sample in ((1, 10**9, 64), (4, 1, 1), (3, 1, 2)):
+        for name, value in (("PASSES", passes), ("HOT_COUNT", count), ("HOT_SAMPLE", sample)):
+            monkeypatch.setattr(passages, name, value)
+        found.append(sorted(map(tuple, passages.repeated_passages(frame).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
+
+
 def test_a_word_more_at_the_front_keeps_texts_alike(spark):
     words = [f"w{i}" for i in range(300)]
     rows = [("own", " ".join(words)), ("more", " ".join(["new", *words])), ("less", " ".join(words[1:])), ("none", "  ")]
@@ -375,3 +527,214 @@ def test_a_word_more_at_the_front_keeps_texts_alike(spark):
     pairs = spark.createDataFrame([(*by["own"], *by[k]) for k in ("more", "less")], kind)
     got = pairs.select(multiset.likeness((F.col("a"), F.col("b")), (F.col("c"), F.col("d"))).alias("near")).collect()
     assert all(r["near"] > 0.95 for r in got)
+
+
+def brute_lanes(text):
+    """Exact and signed lanes from the definition: hashes of paragraphs and of every three words in a row."""
+    exact, signed = np.zeros(multiset.EXACT, np.int64), np.zeros(multiset.SIGNED, np.int64)
+    again = lambda h, i: xxhash.xxh64_intdigest(i.to_bytes(4, "little"), h)
+    for paragraph in text.split("\n"):
+        first = xxhash.xxh64_intdigest(paragraph.encode(), 42)
+        for i in range(multiset.EXACT // 2):
+            h = again(first, 2 + i)
+            exact[2 * i] += h & 0xFFFFFFFF
+            exact[2 * i + 1] += h >> 32
+        words = re.findall(r"[^\s]+", paragraph, re.ASCII)
+        for i in range(max(1, len(words) - 2) if words else 0):
+            h0 = xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42)
+            for half, h in enumerate((h0, again(h0, 1))):
+                for b in range(32):
+                    at = half * 64 + 2 * b
+                    signed[at] += 1 if h >> b & 1 else -1
+                    signed[at + 1] += 1 if h >> (b + 32) & 1 else -1
+    return exact % (1 << 32), signed
+
+
+def test_likeness_of_lanes_computed_anew(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    texts = ["", "one", "a b c\n\nd e f g", " ".join(words * 5), " ".join(words * 4) + "\n" + " ".join(words[::-1])]
+    texts += ["same " * 10_000, "same " * 40_000, "same " * 65_538]
+    found = multiset.lanes(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), ["k"], "text")
+    want = [brute_lanes(t) for t in texts]
+    got = {r["k"]: r for r in found.select("k", "exact", multiset._wide(F.col("signed")).alias("signed"), multiset.as_text(F.col("exact"), F.col("signed")).alias("text")).collect()}
+    for k, (exact, signed) in enumerate(want):
+        assert got[k]["exact"] == exact.tolist() and got[k]["signed"] == signed.tolist()
+        assert got[k]["text"] == "".join(f"{int(v) & 0xFFFFFFFF:08x}" for v in [*exact, *signed])
+    two = found.toDF("k", "a", "b").crossJoin(found.toDF("l", "c", "d"))
+    near = two.select("k", "l", multiset.likeness((F.col("a"), F.col("b")), (F.col("c"), F.col("d"))).alias("near"))
+    for r in near.collect():
+        (e, x), (f, y) = want[r["k"]], want[r["l"]]
+        size = np.sqrt(float(x @ x) * float(y @ y))
+        cosine = 1.0 if (e == f).all() and (x == y).all() else max(0.0, float(x @ y) / size) if size else 0.0
+        assert r["near"] == pytest.approx(min(1.0, cosine), abs=1e-12)
+        if r["k"] in (5, 6, 7) and r["l"] in (5, 6, 7):
+            assert r["near"] > 0.999
+
+
+def test_lanes_beyond_sixteen_bits_are_added_and_taken_away(spark):
+    rows = [("a", "same " * 40_000), ("b", "same " * 30_000), ("ab", "same " * 40_000 + "\n" + "same " * 30_000)]
+    found = multiset.lanes(spark.createDataFrame(rows, "k string, text string"), ["k"], "text")
+    a, b, ab = (found.filter(F.col("k") == k).toDF("k", f"{k}e", f"{k}s").drop("k") for k in ("a", "b", "ab"))
+    one = a.crossJoin(b).crossJoin(ab)
+    pair = lambda k: (F.col(f"{k}e"), F.col(f"{k}s"))
+    added, left = multiset.combine(pair("a"), pair("b")), multiset.combine(pair("ab"), pair("b"), -1)
+    assert one.filter((added[0] == F.col("abe")) & (added[1] == F.col("abs"))).count() == 1
+    assert one.filter((left[0] == F.col("ae")) & (left[1] == F.col("as"))).count() == 1
+
+
+def test_words_with_one_hash_are_told_apart():
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2 ** 64, whatever its base."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    draw = random.Random(3)
+    long = ["".join(draw.choice("ab") for _ in range(3000)) for _ in range(5)]
+    texts = [word, other, f"{word} {other}", f"{other} x {word}", None, "", *long, " ".join(long)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        tool = tokenizers.Tokenizer.from_file(path)
+        tool.encode_special_tokens = True
+        want = [np.array(tool.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert list(tokens.Encoder(path).many(texts)) == want
+        one = tokens.Encoder(path)
+        assert [next(one.many([t])) for t in texts] == want
+
+
+def test_pieces_unlike_their_model():
+    points = np.frombuffer("ab ab abc xy".encode("utf-32-le"), np.uint32)
+    starts, stops = np.array([0, 2, 5, 9]), np.array([2, 5, 9, 12])
+    assert tokens.differing(points, starts, stops, np.array([0, 1, 2, 3])).tolist() == []
+    assert tokens.differing(points, starts, stops, np.array([0, 1, 1, 1])).tolist() == [2, 3]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_odd_characters(name):
+    """Blanks of all kinds, marks, letters whose lower case or normal form ends with a mark, next to signs."""
+    draw = random.Random(21)
+    signs = " \n\t.,ab1é中\U0001f600-'_\xa0　İß̇क़Ω²½\x1c\x85​"
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(60))) for _ in range(2000)]
+    texts += ["İ, aक़. İ. b", " a", "a ", "\na\n", " ", ""]
+    path = public_tokenizers.path(name)
+    tool = tokenizers.Tokenizer.from_file(path)
+    tool.encode_special_tokens = True
+    want = [np.array(e.ids, "<u4").tobytes() for e in tool.encode_batch_fast(texts, add_special_tokens=False)]
+    assert list(tokens.Encoder(path).many(texts)) == want
+
+
+def test_vectors_of_any_size_are_compared(spark):
+    """Components near the ends of the range of doubles: products of them are infinite or zero."""
+    draw = np.random.default_rng(4)
+    rows, key = [], 0
+    for _ in range(12):
+        v = draw.normal(size=8)
+        for size in (1.0, 1e200, 1e-200, 1e-310):
+            rows.append((key, [float(x) for x in v * size * (1 + 0.01 * draw.normal(size=8))]))
+            key += 1
+    got = embedding.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    units = embedding.balanced(np.array([v for _, v in rows]))
+    units = units / np.linalg.norm(units, axis=1, keepdims=True)
+    near = units @ units.T >= 0.9
+    assert {r["vec_id"]: r["n_links"] for r in got} == {i: int(near[i].sum()) - 1 for i in range(len(rows))}
+
+
+def test_pivots_stop_where_they_only_add_guests():
+    draw = np.random.default_rng(5)
+    spread = draw.normal(size=(2000, 64))
+    spread /= np.linalg.norm(spread, axis=1, keepdims=True)
+    assert len(embedding.few_guests(spread, embedding.choose_pivots(spread, 256), 0.447)) < 32
+    centres = np.eye(64)[draw.integers(0, 64, 2000)] + 0.01 * draw.normal(size=(2000, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    assert len(embedding.few_guests(centres, embedding.choose_pivots(centres, 64), 0.447)) == 64
+
+
+def test_languages_predicted_anew(spark):
+    """Profiles, ranks and out-of-place distances of every document, from the definition."""
+    from test_queries import result, stored
+
+    docs = stored("documents")
+
+    def ranks(counter):
+        return sorted(counter, key=lambda g: (-counter[g], g))[: langid.PROFILE]
+
+    def grams(text):
+        runs = re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (text or "").lower()))
+        line = [1, *(ord(c) for c in "\1".join(runs)), 1] if runs else []
+        found = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(line) - n + 1):
+                code = 0
+                for p in line[i : i + n]:
+                    code = code << 21 | p
+                if n > 1 or code > 1:
+                    found[code] += 1
+        return found
+
+    own = {d["doc_id"]: grams(d["text"]) for d in docs}
+    held = {d["doc_id"]: zlib.crc32(str(d["doc_id"]).encode()) % 4 == 2 for d in docs}
+    sums = {}
+    for d in docs:
+        if d["lang"] is not None and not held[d["doc_id"]] and own[d["doc_id"]]:
+            sums.setdefault(d["lang"], Counter()).update(own[d["doc_id"]])
+    profiles = {k: {g: i for i, g in enumerate(ranks(c))} for k, c in sums.items()}
+    got = {r["doc_id"]: r for r in result(spark, "op3_language_id")}
+    for doc_id, counter in own.items():
+        r, mine = got[doc_id], ranks(counter)
+        assert r["held_out"] == held[doc_id]
+        if not mine:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        far = {k: sum(abs(p[g] - i) if g in p else langid.PROFILE for i, g in enumerate(mine)) for k, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 - far[best] / (langid.PROFILE * len(mine)))
+
+
+def test_toxicity_scored_anew(spark):
+    """Scores of every document from the weights of the model: logistic of each sentence, then noisy-or."""
+    from test_queries import FOLDER, result, stored
+
+    docs = {d["doc_id"]: d["text"] or "" for d in stored("documents")}
+    frames = [spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels")]
+    model = toxicity.train(*frames)
+    assert model.weights
+    for r in result(spark, "op7_toxicity"):
+        clean, toxic = 1.0, 0
+        for sentence in re.split(r"(?<=[.!?\n])(?![.!?\n])", docs[r["doc_id"]]):
+            words = re.findall(r"\w+", sentence.lower())
+            if words:
+                parts = [w for w in words] + [w[:5] + "*" for w in words if len(w) > 5]
+                logit = model.bias + sum(model.weights.get(p, 0.0) for p in parts)
+                s = 1 / (1 + np.exp(-max(-30.0, min(30.0, logit))))
+                clean *= 1 - min(s, 1 - 1e-12)
+                toxic += s >= 0.5
+        assert r["score"] == pytest.approx(1 - clean, abs=1e-9)
+        assert r["predicted"] == (r["score"] >= 0.5) and r["n_toxic_sentences"] == toxic
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_noisy_or_is_fitted_to_its_likelihood():
+    """The fit is close to where the likelihood cannot grow: steps along any weight do not raise it much."""
+    draw = random.Random(2)
+    bad, good = [f"bad{i}" for i in range(4)], [f"word{i}" for i in range(60)]
+    texts, labels = [], []
+    for i in range(400):
+        sentences = [" ".join(draw.choices(good, k=6)) for _ in range(4)]
+        if i % 3 == 0:
+            sentences[draw.randrange(4)] += " " + draw.choice(bad)
+        texts.append(". ".join(sentences))
+        labels.append(int(i % 3 == 0))
+    model = toxicity.fit(texts, labels)
+    scores = [toxicity.noisy_or(np.array([s for _, _, s in model.sentences(t)])) for t in texts]
+    assert all((s >= 0.5) == bool(y) for s, y in zip(scores, labels, strict=True))
+    found = [t[a:b] for t, y in zip(texts, labels, strict=True) if y for a, b, s in model.sentences(t) if s >= 0.5]
+    assert all("bad" in f for f in found) and len(found) == sum(labels)
+
+
+def test_rows_of_a_computed_frame_are_not_numbered(spark, tmp_path):
+    frame = spark.range(50).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    frame.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert numbered(stored.filter("doc_id > 3").select("text"), "n").count() == 46
+    for computed in (stored.repartition(3), stored.orderBy("text"), stored.distinct(), stored.limit(5), stored.union(stored)):
+        with pytest.raises(ValueError, match="stored table"):
+            numbered(computed, "n")

@@ -15,6 +15,7 @@ from tidemark.llm.components import components
 COSINE = 0.9
 CELL = 4096  # vectors of a cell, on average
 PIVOTS = (4, 1024)  # at least and at most
+GUESTS = 4  # other cells that a vector is sent to, on average
 SAMPLE = 4096  # vectors that pivots are chosen from
 TILE = 512  # vectors of a tile
 SQUARE = 16  # tiles of a cell that one key of the join holds
@@ -29,6 +30,32 @@ def padded(vectors: list[np.ndarray], size: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def balanced(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that the largest component is near 1: exact, and no product leaves the range."""
+    if not rows.size:
+        return rows
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
+
+
+def few_guests(sample: np.ndarray, pivots: np.ndarray, reach: float) -> np.ndarray:
+    """As many of the first pivots as leave a vector of the sample a guest in ``GUESTS`` cells or fewer, on average.
+
+    Where vectors are too far from any pivot for the triangle inequality to tell cells apart, more cells only mean
+    more copies of each vector; larger cells are compared tile by tile instead.
+    """
+    count = len(pivots)
+    while count > PIVOTS[0]:
+        far = np.sqrt(np.maximum(0.0, 2 - 2 * sample @ pivots[:count].T))
+        home = far.argmin(axis=1)
+        radii = np.full(count, -1.0)
+        np.maximum.at(radii, home, far.min(axis=1))
+        between = np.sqrt(np.maximum(0.0, 2 - 2 * pivots[:count] @ pivots[:count].T))
+        if len(guests(far, home, between, radii, reach)[0]) <= GUESTS * len(sample):
+            break
+        count = max(PIVOTS[0], count // 2)
+    return pivots[:count]
+
+
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     """Rows far from each other: each next one has the largest distance to those before."""
     if not len(sample):
@@ -64,6 +91,7 @@ def tile_links(
     a: np.ndarray, b: np.ndarray, own: bool, cosine: float
 ) -> tuple[np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
     """Links of two tiles of raw vectors: a matrix, and stars that span its components (aa, ab edges)."""
+    a, b = balanced(a), balanced(b)
     scale = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
     links = (a @ b.T) / scale >= cosine
     if own:
@@ -106,7 +134,8 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     sample = vectors.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).collect()
     count = min(PIVOTS[1], max(PIVOTS[0], -(-total // CELL)))
-    pivots = choose_pivots(padded([np.array(r["vec"]) for r in sample], size), count)
+    units = padded([np.array(r["vec"]) for r in sample], size)
+    pivots = few_guests(units, choose_pivots(units, count), reach)
     shared = spark.sparkContext.broadcast(pivots)
 
     def distance(batch: pa.RecordBatch) -> np.ndarray:
