@@ -297,3 +297,12 @@ def test_steps_read_one_stored_period(spark, name):
     assert first == second
     text = plan(QUERIES[name](spark, folder))
     assert "Bucketed" in text and "orders.parquet" not in text and "events.parquet" not in text
+
+
+def test_rows_that_are_known_to_be_none(spark, store):
+    """Adaptive execution drops an empty frame, and with it what counts its rows."""
+    store.write(snapshot(spark, 1, ("a", 1)), 1)
+    for none in (snapshot(spark, 1, ("a", 1)).filter("n > 5"), store.read(1).filter("false"), store.read(1).limit(0)):
+        assert store.write(none, 1) == 0 and rows(store.read(1)) == []
+        store.write(snapshot(spark, 1, ("a", 1)), 1)
+    assert store.write(store.read(1).filter("n > 5"), 1) == 0

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.sources.versions import observed
+
 
 def write_snapshot(
     df: DataFrame, path: str, period_column: str, rebalance: bool = True, period: Any = None
@@ -33,7 +35,7 @@ def write_snapshot(
         .partitionBy(period_column)
         .parquet(path)
     )
-    if period is not None and not seen.get["rows"]:
+    if period is not None and not observed(seen).get("rows"):
         store, place = _folder(df.sparkSession, f"{path}/{period_column}={period}")
         if store.exists(place):
             store.delete(place, True)
