@@ -386,11 +386,12 @@ def test_frequent_seeds_have_the_same_links(spark):
         for uid in sorted(dice.sample(range(300), 200)):
             places = np.array(sorted(dice.sample(range(500), dice.choice((1, 2, 20)))))
             key, order = passages.keys_of(np.full(len(places), seed, np.int64), np.zeros(len(places), np.int64))
-            rows += zip(key.tolist(), [uid] * len(key), (4 * places[order] + 2 * (seed % 2)).tolist(), strict=True)
+            rows += zip(key.tolist(), [uid] * len(key), (8 * places[order] + 4 * (seed % 2)).tolist(), strict=True)
     found = spark.createDataFrame(rows, "seed long, uid long, place long")
     keys = [r["seed"] for r in found.select("seed").distinct().collect()]
     often = F.col("seed").isin(keys[::2])
-    single = lambda links: sorted(map(tuple, links.select("uid", "ref", F.explode("ats")).collect()))
+    place = lambda at: F.transform(at, lambda v: v.bitwiseAND(F.lit(~2)))  # noqa: E731  # whether few have it is no part of a link
+    single = lambda links: sorted(map(tuple, links.select("uid", "ref", F.explode(place("ats"))).collect()))
     usual = single(passages.linked(found))
     steps = [20, 40, 41, 150, 299]
     apart = single(passages.linked(found.filter(~often), found.filter(often), steps))
@@ -427,7 +428,7 @@ def recall(length, edits, tries=300, seed=8):
         (s, x), (t, y) = passages.seeds(a), passages.seeds(b)
         i, j = np.nonzero(s[:, None] == t[None, :])
         ref = np.zeros(len(i), np.int64)
-        chains = passages.chains_of(ref, x[i], y[j], k, passages.MAX_GAP, 12)
+        chains = passages.chains_of(ref, x[i], y[j], k, passages.MAX_GAP, 20)
         spans = [p for _, xs, ys in chains for p in passages.align(a, b, np.array(xs), np.array(ys), k, 50, 0.8)]
         found += any(p[0] < 200 + length and p[1] > 200 for p in spans)
     return found / tries
@@ -435,7 +436,7 @@ def recall(length, edits, tries=300, seed=8):
 
 @pytest.mark.parametrize(
     ("length", "edits", "least"),
-    [(50, 5, 0.99), (50, 8, 0.97), (50, 10, 0.93), (55, 8, 0.98), (55, 11, 0.94), (60, 8, 0.99), (60, 12, 0.95), (80, 16, 0.98), (100, 20, 0.98)],
+    [(50, 5, 0.99), (50, 8, 0.95), (50, 10, 0.92), (55, 8, 0.98), (55, 11, 0.93), (60, 8, 0.99), (60, 12, 0.94), (80, 16, 0.97), (100, 20, 0.98)],
 )
 def test_recall_of_fuzzy_passages(length, edits, least):
     assert recall(length, edits) >= least
