@@ -491,6 +491,56 @@ def test_quotes_of_halves_hide_no_passage(spark, tmp_path):
     assert sorted((r["doc_id"], r["other_doc_id"], r["n_words"]) for r in got) == [(2, 7, 60), (7, 2, 60)]
 
 
+def covered(got, key, texts):
+    """Numbers of the words of a text that its passages cover."""
+    starts = [m.start() for m in passages.WORD.finditer(texts[key])]
+    return {i for i, at in enumerate(starts) for r in got if r["doc_id"] == key and r["start"] <= at < r["end"]}
+
+
+def test_holders_of_a_part_hide_no_passage(spark, tmp_path):
+    """The first holder, and those between two whole copies, have no more than parts of 44 of its 50 words."""
+    dice = random.Random(21)
+    copy = random_words(dice, 50)
+    texts = []
+    for n in range(17):
+        parts = [copy] if n in (1, 14) else [copy[i : i + 44] for i in range(7)]
+        texts.append(" ".join(w for p in parts for w in random_words(dice, 60) + p + random_words(dice, 60)))
+    got = passages.repeated_passages(stored_texts(spark, texts, str(tmp_path / "d"))).collect()
+    assert sorted((r["doc_id"], r["other_doc_id"], r["n_words"]) for r in got) == [(1, 14, 50), (14, 1, 50)]
+
+
+def test_copies_have_the_first_as_their_partner(spark, tmp_path):
+    """Equal texts, one that shares a passage with them, and a short text that comes twice."""
+    dice = random.Random(24)
+    text, other = random_words(dice, 200), random_words(dice, 80)
+    texts = ["short words"] + [" ".join(w) for w in (other + text[40:120], text, text, text)] + ["short words"]
+    got = passages.repeated_passages(stored_texts(spark, texts, str(tmp_path / "d"))).collect()
+    found = sorted((r["doc_id"], r["other_doc_id"], r["n_words"], r["later"]) for r in got)
+    assert found == [(1, 2, 80, False), (2, 1, 80, True), (2, 4, 200, False), (3, 2, 200, True), (4, 2, 200, True)]
+
+
+def test_a_later_holder_is_a_partner_too(spark, tmp_path):
+    """All seeds that two documents share have an earlier holder, in another order."""
+    dice = random.Random(22)
+    pieces = [random_words(dice, 15) for _ in range(4)]
+    first = [w for piece in pieces[::-1] for w in piece + random_words(dice, 60)]
+    copies = [[w for piece in pieces for w in piece + random_words(dice, 1)] for _ in range(2)]
+    texts = [" ".join(first), *(" ".join(random_words(dice, 40) + c + random_words(dice, 40)) for c in copies)]
+    got = passages.repeated_passages(stored_texts(spark, texts, str(tmp_path / "d"))).collect()
+    assert sorted((r["doc_id"], r["other_doc_id"]) for r in got) == [(1, 2), (2, 1)]
+
+
+def test_every_place_of_a_repeated_passage_is_found(spark, tmp_path):
+    """One document has a passage at more than ``PLACES`` places, the other once; so with many more documents."""
+    dice = random.Random(23)
+    copy = random_words(dice, 60)
+    often = [w for _ in range(20) for w in random_words(dice, 20) + copy]
+    for others in (1, 12):
+        texts = [" ".join(often), *(" ".join(random_words(dice, 30) + copy) for _ in range(others))]
+        got = passages.repeated_passages(stored_texts(spark, texts, str(tmp_path / f"d{others}"))).collect()
+        assert covered(got, 0, texts) == {80 * n + i for n in range(20) for i in range(20, 80)}
+
+
 @pytest.mark.parametrize("forward", [True, False])
 def test_quotes_before_the_whole_hide_no_passage(spark, tmp_path, forward):
     """A document has parts of a passage in another order before the passage itself; its copy has some words changed."""
