@@ -541,6 +541,29 @@ def test_every_place_of_a_repeated_passage_is_found(spark, tmp_path):
         assert covered(got, 0, texts) == {80 * n + i for n in range(20) for i in range(20, 80)}
 
 
+def test_a_repeated_word_has_no_chain_for_every_place(spark, tmp_path, monkeypatch):
+    """Texts of one word, or of three in turn, many hundred times: chains as long as the shorter text, all words covered."""
+    sizes, stored = {}, passages.staged
+
+    def counted(df, purpose):
+        frame = stored(df, purpose)
+        sizes[purpose] = frame.count()
+        return frame
+
+    monkeypatch.setattr(passages, "staged", counted)
+    texts = [" ".join(["thor"] * n) for n in (200, 900, 1000)] + [" ".join(["ode", "to", "joy"] * n) for n in (100, 400)]
+    got = passages.repeated_passages(stored_texts(spark, texts, str(tmp_path / "d"))).collect()
+    assert [len(covered(got, key, texts)) for key in range(5)] == [200, 900, 1000, 300, 1200]
+    assert sizes["chains"] < 200
+
+
+def test_words_of_texts_are_in_lower_case_each_by_itself():
+    for text in ("One TWO one", "\u0130stanbul ISTANBUL", "\u039f\u0394\u039f\u03a3'\u0391 \u039f\u0394\u039f\u03a3", "a_b 1\u00b2 x-Y", ""):
+        assert passages.words_of(text) == [w.lower() for w in passages.WORD.findall(text)]
+    one, two = passages.numbers("a B c", "b A d")
+    assert (one[:2] == two[1::-1]).all() and len({*one.tolist(), *two.tolist()}) == 4
+
+
 @pytest.mark.parametrize("forward", [True, False])
 def test_quotes_before_the_whole_hide_no_passage(spark, tmp_path, forward):
     """A document has parts of a passage in another order before the passage itself; its copy has some words changed."""
