@@ -88,3 +88,15 @@ def test_policy_does_not_leak(spark):
     apart = set_join_policy(spark.newSession(), False)
     assert apart.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+
+
+def test_partitions_grow_with_the_input(spark):
+    """A session for a large table has a partition for every 16 MB of it, and merges none beyond 32 MB."""
+    from tidemark.plans.session import sized_session
+
+    key, before = "spark.sql.shuffle.partitions", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    large, small = sized_session(spark, 640 << 20), sized_session(spark, 1)
+    assert int(large.conf.get(key)) == 40 and int(small.conf.get(key)) == before == int(spark.conf.get(key))
+    assert large.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "32m"
+    rows = large.range(2_000_000).selectExpr("id % 1000003 AS k").groupBy("k").count()
+    assert rows.filter("count > 1").count() == 999_997

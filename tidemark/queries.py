@@ -29,7 +29,7 @@ from tidemark.operators import (
     scd,
     sequences,
 )
-from tidemark.plans.session import join_policy, shared_dir
+from tidemark.plans.session import join_policy, shared_dir, sized_session
 from tidemark.plans.skew import HotKeys, find_hot_keys, rows_bound
 from tidemark.sources.files import bucket_count, read_csv, write_bucketed
 from tidemark.sources.kafka import EVENT_TIME_FORMAT, parse_events, read_event_files
@@ -89,6 +89,11 @@ def _store(
     return store
 
 
+def _sized(t: Tables, source: str) -> Tables:
+    """The same tables, read by a session with partitions enough for the rows of ``source``."""
+    return Tables(sized_session(t.spark, t.state(source)[0]), t.folder)
+
+
 def _list(array: str) -> Column:
     return F.array_join(F.col(array).cast("array<string>"), ",", "-")
 
@@ -658,6 +663,7 @@ def snapshot_rewrite(t: Tables) -> DataFrame:
 
 @query
 def grouping_rollup(t: Tables) -> DataFrame:
+    t = _sized(t, "lineitem")
     return grouping.grouping_rollup(t.game_details(), t.games())
 
 
