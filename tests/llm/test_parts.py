@@ -812,3 +812,59 @@ def test_rows_of_a_computed_frame_are_not_numbered(spark, tmp_path):
     for computed in (stored.repartition(3), stored.orderBy("text"), stored.distinct(), stored.limit(5), stored.union(stored)):
         with pytest.raises(ValueError, match="stored table"):
             numbered(computed, "n")
+
+
+def test_passages_left_unaligned_are_those_that_others_cover():
+    """Chains are aligned as needed, with the passages that are kept if all are; few of the chains of a document are."""
+    dice = random.Random(41)
+    calls = 0
+    for _ in range(200):
+        chains, every = [], []
+        for i in range(dice.randrange(1, 30)):
+            low = dice.randrange(150)
+            high, later, ref = dice.randrange(low + 10, 210), dice.random() < 0.5, dice.randrange(9)
+            ends = (low + dice.randrange(3), high - dice.randrange(3))
+            cuts = sorted(dice.sample(range(ends[0], ends[1] + 1), 2 * dice.randrange(1, 3)))
+            spans = [ends] if dice.random() < 0.5 else [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+            chains.append((later, ref, low, high, i))
+            every.append((ends, [(a, b, (n, i)) for n, (a, b) in enumerate(spans)]))
+        whole = [(True, 200, 3, 5, (0, "whole"))] if dice.random() < 0.3 else []
+
+        def aligned(i, every=every):
+            nonlocal calls
+            calls += 1
+            return every[i][1]
+
+        before = calls
+        got = passages.kept_passages(chains, whole, 210, 5, lambda i, every=every: every[i][0], aligned)
+        assert calls - before <= len(chains)
+        rows = [(not r[0], a - b, r[1], a, it) for r in chains for a, b, it in every[r[4]][1]]
+        rows += [(not later, -n, ref, first, it) for later, n, ref, first, it in whole]
+        covered, kept = set(), []
+        for _, size, _, first, it in sorted(rows, key=lambda r: r[:4] + (r[4][0],)):
+            words = set(range(first, first - size))
+            if len(words - covered) >= 5:
+                covered |= words
+                kept.append(it)
+        assert got == kept
+    one = [(True, ref, 0, 200, ref) for ref in range(9)]
+    calls = 0
+
+    def first_only(i):
+        nonlocal calls
+        calls += 1
+        return [(0, 200, (0, i))]
+
+    assert passages.kept_passages(one, [], 200, 5, lambda i: (0, 200), first_only) == [(0, 0)] and calls == 1
+
+
+def test_passages_of_earlier_documents_are_the_same_alone(spark, tmp_path):
+    """Without the links with later documents, in near copies, quotes, equal texts and a phrase of many documents."""
+    dice = random.Random(42)
+    text, line = random_words(dice, 150), random_words(dice, 60)
+    texts = [text, text, *([w if dice.random() > 0.04 else f"x{i}" for i, w in enumerate(text)] for _ in range(12))]
+    texts += [random_words(dice, 40) + line[dice.randrange(8) :] + random_words(dice, 20) + text[: dice.randrange(100)] for _ in range(30)]
+    frame = stored_texts(spark, [" ".join(t) for t in texts], str(tmp_path / "d"))
+    whole = sorted(map(tuple, passages.repeated_passages(frame).filter("later").collect()))
+    alone = sorted(map(tuple, passages.repeated_passages(frame, earlier=True).collect()))
+    assert alone == whole and len(whole) > 40
