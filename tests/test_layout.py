@@ -2,6 +2,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from tidemark.operators import layout
 from tidemark.operators.layout import _key_figures, arrange, layout_report
 from tidemark.plans.session import shared_dir
 
@@ -44,6 +45,18 @@ def test_rows_out_of_order_are_counted(spark, tmp_path):
     assert rows(found) == [(6, 1, 3)]
 
 
+def test_order_is_looked_at_in_blocks(spark, tmp_path, monkeypatch):
+    """Falls inside blocks and at their borders; no task sorts a whole file."""
+    monkeypatch.setattr(layout, "BLOCK", 4)
+    keys = [5, 5, None, 7, 6, 6, 9, 8, 9, 9, 1, 1, 0, 2]
+    spark.createDataFrame([(k,) for k in keys], "k int").coalesce(1).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.schema("k int").parquet(str(tmp_path / "t"))
+    found = _key_figures(stored, ["k"])
+    assert rows(found) == [(len(set(keys)), 1, 5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "block" in plan.split("lag(key", 1)[1].splitlines()[0]
+
+
 def test_range_splits_a_hot_key_and_hash_does_not(matches):
     def largest(by):
         sizes = arrange(matches, ["playlist"], 8, by, ["match_id"]).groupBy(F.spark_partition_id())

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY_FIGURES = ("keys", "files_of_a_key", "unsorted")
+BLOCK = 1 << 16  # rows of a file whose order is looked at together
 
 
 def arrange(
@@ -76,16 +77,25 @@ def _file_figures(stored: DataFrame) -> DataFrame:
 
 
 def _key_figures(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Figures of the order in the files. A file is read by one task, whatever the key."""
+    """Figures of the order in the files.
+
+    Rows are compared with those before them in blocks of ``BLOCK`` row numbers, and the first of each block with the last of
+    the block before, so no task has to sort a whole file.
+    """
     rows = stored.select(
         F.struct(*keys).alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
     )
-    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
-    placed = rows.withColumn("falls", F.coalesce(before > F.col("key"), F.lit(False)))
-    in_files = placed.groupBy("key", "file").agg(F.count_if("falls").alias("falls"))
-    by_key = in_files.groupBy("key").agg(F.count(F.lit(1)).alias("files"), F.sum("falls").alias("falls"))
-    return by_key.agg(
-        F.count(F.lit(1)).alias("keys"),
-        F.coalesce(F.max("files"), F.lit(0)).alias("files_of_a_key"),
-        F.coalesce(F.sum("falls"), F.lit(0)).alias("unsorted"),
+    by_key = rows.groupBy("key", "file").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count(F.lit(1)).alias("files"))
+    held = by_key.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.max("files"), F.lit(0)).alias("files_of_a_key"))
+
+    def falls(before: Column, key: Column) -> Column:
+        return F.coalesce(before > key, F.lit(False))
+
+    blocks = rows.withColumn("block", F.floor(F.col("at") / BLOCK))
+    before = F.lag("key").over(Window.partitionBy("file", "block").orderBy("at"))
+    inside = blocks.withColumn("falls", falls(before, F.col("key"))).groupBy("file", "block").agg(
+        F.count_if("falls").alias("falls"), F.min_by("key", "at").alias("first"), F.max_by("key", "at").alias("last")
     )
+    last = F.lag("last").over(Window.partitionBy("file").orderBy("block"))
+    borders = inside.withColumn("falls", F.col("falls") + falls(last, F.col("first")).cast("int"))
+    return held.crossJoin(borders.agg(F.coalesce(F.sum("falls"), F.lit(0)).alias("unsorted")))
