@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import (
+    common,
     embedding, langid, mixing, multiset, packing, passages, setjoin, simhash, tokenbin, tokens, toxicity, warc,
 )
 from tidemark.llm.common import numbered
@@ -868,3 +870,26 @@ def test_passages_of_earlier_documents_are_the_same_alone(spark, tmp_path):
     whole = sorted(map(tuple, passages.repeated_passages(frame).filter("later").collect()))
     alone = sorted(map(tuple, passages.repeated_passages(frame, earlier=True).collect()))
     assert alone == whole and len(whole) > 40
+
+
+def test_seeds_in_buckets_give_the_same_links(spark, tmp_path):
+    dice = random.Random(31)
+    line = random_words(dice, 30)
+    texts = [" ".join(random_words(dice, dice.randrange(40)) + line[: dice.randrange(10, 31)] * dice.choice((1, 2, 12))) for _ in range(60)]
+    rows = passages.numbered(stored_texts(spark, texts, str(tmp_path / "d")), "uid").select("uid", "text")
+    single = lambda links: sorted(map(tuple, links.select("uid", "ref", F.explode("ats")).collect()))
+    usual = single(passages.linked(passages.seed_rows(rows, 5, 4, 12)))
+    dealt = passages.seed_buckets(rows, 5, 4, 12, 0, passages.NOTHING, 16)
+    assert usual == single(passages.linked_buckets(dealt)) and len(usual) > 1000
+    assert dealt.count() <= 16 * rows.rdd.getNumPartitions() < passages.seed_rows(rows, 5, 4, 12).count()
+
+
+def test_files_of_a_finished_shuffle_go_at_once(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = names()
+    common.staged(spark.range(1000).repartition(4, "id"), "dealt")
+    assert names() - before
+    common.release(spark)
+    time.sleep(1)
+    assert not names() - before
