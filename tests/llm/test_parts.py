@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import (
-    common,
+    common, components,
     embedding, langid, mixing, multiset, packing, passages, setjoin, simhash, tokenbin, tokens, toxicity, warc,
 )
 from tidemark.llm.common import numbered
@@ -893,3 +893,15 @@ def test_files_of_a_finished_shuffle_go_at_once(spark):
     common.release(spark)
     time.sleep(1)
     assert not names() - before
+
+
+def test_small_results_are_in_few_files(spark, tmp_path):
+    spark.range(5000).repartition(8).write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    summed = stored.repartition(7, "id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    found = common.gathered(summed, "sums")
+    assert len(found.inputFiles()) == 1 and sorted(map(tuple, found.collect())) == [(i, 1) for i in range(5000)]
+    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(i,) for i in range(9)], 3), "id long")
+    assert common.gathered(unknown, "rows").count() == 9
+    linked = components.components(stored.select("id", (F.col("id") + 1).alias("next")).filter("id < 50"), "id", "next")
+    assert len(linked.inputFiles()) == 1 and linked.filter("component = 0").count() == 51

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import gathered
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     NULL ends are ignored; no edges give no rows.
     """
     a, b = F.col(left), F.col(right)
-    current = staged(
+    current = gathered(
         edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
         "edges",
     )
@@ -46,4 +46,4 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
                 current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = figures
-        current = staged(_small_star(_large_star(current).distinct()).distinct(), "edges")
+        current = gathered(_small_star(_large_star(current).distinct()).distinct(), "edges")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import column, discard, staged
+from tidemark.llm.common import column, discard, gathered, staged
 from tidemark.llm.kdtree import with_slots
 from tidemark.plans.skew import broadcast_if_small
 
@@ -42,14 +42,14 @@ def dealt_out(children: DataFrame, parents: Sequence[str], name: str) -> DataFra
     anew, until no more are. That is a few rounds, each a sum for each parent. Whole tokens: what rounding leaves goes to
     the largest fractions, the first name among equals. With weights of zero only, nothing is dealt out.
     """
-    rows = staged(children.withColumn("open", (F.col("weight") > 0) & (F.col("supply") > 0)), "children")
+    rows = gathered(children.withColumn("open", (F.col("weight") > 0) & (F.col("supply") > 0)), "children")
     share = F.when(F.col("of") > 0, F.col("rest") * F.col("weight") / F.col("of")).otherwise(F.lit(0.0))
     full = F.col("open") & (share >= F.col("supply"))
 
     def added(condition: Column, value: str, nothing: float) -> Column:
         return F.sum(F.when(condition, F.col(value)).otherwise(F.lit(nothing)))
 
-    state = staged(
+    state = gathered(
         rows.groupBy(*parents).agg(
             F.least(F.first("budget"), added(F.col("open"), "supply", 0)).alias("whole"),
             added(F.col("open"), "weight", 0.0).alias("of"),
@@ -65,7 +65,7 @@ def dealt_out(children: DataFrame, parents: Sequence[str], name: str) -> DataFra
         return _matched(rows, state, parents)
 
     while True:
-        after = staged(
+        after = gathered(
             joined(state).groupBy(*parents).agg(
                 F.first("whole").alias("whole"), F.first("of").alias("old_of"), F.first("rest").alias("old_rest"),
                 added(F.col("open") & ~full, "weight", 0.0).alias("of"),
@@ -121,7 +121,7 @@ def budgets(
             children = level.withColumn("budget", F.lit(total).cast("long"))
         else:
             children = _matched(level, above.select(*parents, F.col("given").alias("budget")), parents)
-        above = staged(dealt_out(children, parents, name), "budgets")
+        above = gathered(dealt_out(children, parents, name), "budgets")
     return above.select(*names, F.floor(F.col("supply") / epochs).cast("long").alias("tokens"), "given")
 
 
@@ -170,13 +170,13 @@ def mix(
     )
     marked = counted.filter("tokens > 0")
     marked = marked if with_text else staged(marked, "counted")
-    leaves = staged(marked.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
+    leaves = gathered(marked.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
     if isinstance(total, float):
         total = int(total * (leaves.agg(F.sum("tokens")).first()[0] or 0))
     given = budgets(leaves, total, weights, epochs, default).select(
         *LEVELS, F.floor(F.col("given") / F.col("tokens")).alias("whole"), (F.col("given") % F.col("tokens")).alias("rest")
     )
-    budgeted = _matched(marked, staged(given, "given"), LEVELS)
+    budgeted = _matched(marked, gathered(given, "given"), LEVELS)
     columns = ["doc", *LEVELS, "key", "tie", "tokens"]
     whole = budgeted.filter("whole > 0").select(
         *columns, F.explode(F.sequence(F.lit(0), (F.col("whole") - 1).cast("int"))).alias("epoch"), F.col("tokens").alias("take"),
@@ -192,7 +192,7 @@ def mix(
         .filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
         .select(*LEVELS, F.col("bucket").alias("end"), (F.col("upto") - F.col("n")).alias("before"))
     )
-    placed = _matched(partial, staged(ends, "ends"), LEVELS)
+    placed = _matched(partial, gathered(ends, "ends"), LEVELS)
     columns += [F.col("whole").cast("int").alias("epoch")]
     inside = placed.filter("bucket < end").select(*columns, F.col("tokens").alias("take"))
     by_leaf = Window.partitionBy(*LEVELS).orderBy("order", "key", "tie").rowsBetween(Window.unboundedPreceding, -1)

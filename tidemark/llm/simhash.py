@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_rows, column, discard, lists, numbered, release, schema_of, slices, staged, unused
+from tidemark.llm.common import arrow_rows, column, discard, gathered, lists, numbered, release, schema_of, slices, staged, unused
 from tidemark.llm.components import components
 from tidemark.llm.setjoin import candidates
 
@@ -274,12 +274,12 @@ def keep_one(
     spark = docs.sparkSession
     same = F.when(worded, F.unhex(F.sha2("text", 256))).otherwise(F.lit(b"")).alias("same")
     keyed = staged(every.select("_row", same), "same")
-    firsts = staged(keyed.groupBy("same").agg(F.min("_row").alias("first")), "firsts")
+    firsts = gathered(keyed.groupBy("same").agg(F.min("_row").alias("first")), "firsts")
     # Every later step reads these texts: one shuffle of the texts instead of one for each of them.
     texts = staged(every.join(firsts.select(F.col("first").alias("_row")), "_row", "left_semi"), "texts")
     release(spark)
     prints = staged(with_fingerprints(texts, "text", words).select("_row", "_fp"), "prints")
-    per_print = staged(prints.groupBy("_fp").agg(F.min("_row").alias("first")), "prints")
+    per_print = gathered(prints.groupBy("_fp").agg(F.min("_row").alias("first")), "prints")
     links = near_links(per_print.select("_fp"), radius, links=closest_links)
     apart = links.select(F.least("a", "b").alias("_fp"), F.greatest("a", "b").alias("other")).distinct()
     others = per_print.select(F.col("_fp").alias("other"), F.col("first").alias("b"))
@@ -301,7 +301,7 @@ def keep_one(
     def checked(pairs: DataFrame) -> DataFrame:
         with arrow_rows(docs.sparkSession, 1000):
             joined = pairs.join(values, "a").join(other_values, "b")
-            found = staged(joined.mapInArrow(compare, "a long, b long"), "checked")
+            found = gathered(joined.mapInArrow(compare, "a long, b long"), "checked")
             release(spark)
             return found
 
