@@ -905,3 +905,17 @@ def test_small_results_are_in_few_files(spark, tmp_path):
     assert common.gathered(unknown, "rows").count() == 9
     linked = components.components(stored.select("id", (F.col("id") + 1).alias("next")).filter("id < 50"), "id", "next")
     assert len(linked.inputFiles()) == 1 and linked.filter("component = 0").count() == 51
+
+
+def test_the_mixture_counts_tokens_once(spark):
+    """Scans of the texts for the selection count no tokens but those of the few documents around a prefix's end."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = mixing.mixed_documents(docs, 0.9, WEIGHTS, domain_of(), 1, 17)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\s+, -1") <= 1 and plan.count("Relation [doc_id") == 2
+    for share, epochs in ((0.3, 1), (0.9, 3)):
+        rows = []
+        for with_text in (True, False):
+            mixed = mixing.mix(docs, share, WEIGHTS, domain_of(), epochs, 17, with_text=with_text)
+            rows.append(sorted(map(tuple, mixed.select("key", "tie", "epoch", "tokens", "take", "cut").collect())))
+        assert rows[0] == rows[1] and any(r[5] for r in rows[0]) and all(r[5] == (r[4] < r[3]) for r in rows[0])

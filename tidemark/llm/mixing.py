@@ -18,11 +18,11 @@ BUCKETS = 1 << 16  # parts of an epoch, by the leading bits of the order
 PIECES = r"(?<=\S)(?=\s)"  # cuts a text after each word, blanks go with the next
 
 
-def _matched(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str = "_") -> DataFrame:
+def _matched(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str = "_", how: str = "inner") -> DataFrame:
     """The rows of ``left`` with those of ``right`` that have the same names, NULL being one, under names with a prefix."""
     others = right.withColumnsRenamed({n: f"{prefix}{n}" for n in names})
     same = reduce(Column.__and__, (left[n].eqNullSafe(others[f"{prefix}{n}"]) for n in names))
-    return left.join(broadcast_if_small(others), same).drop(*(f"{prefix}{n}" for n in names))
+    return left.join(broadcast_if_small(others), same, how).drop(*(f"{prefix}{n}" for n in names))
 
 
 def _weight(name: str, listed: Mapping[str | None, float], default: float) -> Column:
@@ -145,63 +145,71 @@ def mix(
     default: float = 1.0,
     with_text: bool = True,
 ) -> DataFrame:
-    """The selection: ``doc``, a row of ``docs`` as a struct, ``domain``, ``epoch``, ``tokens`` and ``take``.
+    """The selection: ``doc``, a row of ``docs`` as a struct, ``domain``, ``epoch``, ``tokens``, ``take`` and ``cut``.
 
     One row per document and epoch. ``total`` is a number of tokens, or a float: that share of all tokens of ``docs``.
     Tokens are words. A leaf's stream is its documents in the order of a hash of seed, epoch and key, once for
     each epoch; it gives exactly its budget, the first tokens of that stream. ``take`` is how many
-    tokens of the document belong to it: fewer than ``tokens`` for the last document of a leaf only.
+    tokens of the document belong to it: fewer than ``tokens`` for the last document of a leaf only, which ``cut`` marks.
 
     NULL domain, language or source is a leaf name like any other. Documents without tokens belong to no
     prefix and are left out. Repeated keys are ordered by a hash of their texts; repeated rows are alike, so which
     of them comes last makes no difference. An empty table gives no rows; texts may have any length and columns any
-    name. With ``with_text`` False the text is left out of ``doc``, and tokens are counted once and stored; with it they
-    are counted again in each pass, since a stored copy of all texts would cost more.
+    name. Tokens are counted once and stored, without the texts. With ``with_text`` False the text is left out of ``doc``; with it
+    the texts are read again for the selection, and ``tokens`` of whole documents are counted again only if they are asked for.
 
     Counts are aggregated before the shuffle. Whole epochs need no order. In the last one the
     documents fall into ``BUCKETS`` parts by the leading bits of the hash; sums per part find the
-    one in which the prefix ends, and only the documents of that part are sorted.
+    one in which the prefix ends, and only the documents of that part are sorted, and their tokens counted.
     """
     held = F.struct(*(column(c).alias(c) for c in docs.columns if with_text or c != text))
-    counted = docs.select(
-        held.alias("doc"), domain.cast("string").alias("domain"), column(lang).cast("string").alias("lang"),
-        column(source).cast("string").alias("source"), column(key).alias("key"), count_tokens(column(text)).alias("tokens"),
-        F.xxhash64(column(text)).alias("tie"),
+    leaf = (
+        domain.cast("string").alias("domain"), column(lang).cast("string").alias("lang"), column(source).cast("string").alias("source"),
+        column(key).alias("key"),
     )
-    marked = counted.filter("tokens > 0")
-    marked = marked if with_text else staged(marked, "counted")
+    facts = {"tokens": count_tokens, "tie": F.xxhash64}
+    own = [f(column(text)).alias(name) for name, f in facts.items()]
+    worded = docs.filter(column(text).rlike(r"\S"))  # a filter on the count would count again
+    if with_text:
+        marked = staged(worded.select(*leaf, own[0]), "counted")
+        rows = worded.select(held.alias("doc"), *leaf)
+    else:
+        rows = marked = staged(worded.select(held.alias("doc"), *leaf, *own), "counted")
+
+    def told(found: DataFrame) -> DataFrame:
+        """``found`` with tokens and tie, which a row with its text has not yet."""
+        return found.withColumns({name: f(F.col("doc").getField(text)) for name, f in facts.items()}) if with_text else found
+
     leaves = gathered(marked.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
     if isinstance(total, float):
         total = int(total * (leaves.agg(F.sum("tokens")).first()[0] or 0))
     given = budgets(leaves, total, weights, epochs, default).select(
         *LEVELS, F.floor(F.col("given") / F.col("tokens")).alias("whole"), (F.col("given") % F.col("tokens")).alias("rest")
     )
-    budgeted = _matched(marked, gathered(given, "given"), LEVELS)
-    columns = ["doc", *LEVELS, "key", "tie", "tokens"]
-    whole = budgeted.filter("whole > 0").select(
-        *columns, F.explode(F.sequence(F.lit(0), (F.col("whole") - 1).cast("int"))).alias("epoch"), F.col("tokens").alias("take"),
-    )
+    given = gathered(given, "given")
     order = F.xxhash64(F.lit(seed), F.col("whole"), F.col("key"))
-    partial = budgeted.filter("rest > 0").withColumns(
-        {"order": order, "bucket": F.shiftrightunsigned(order, 48).cast("int")}
-    )
+    bucket = F.shiftrightunsigned(order, 48).cast("int")
+    partial = _matched(marked.select(*LEVELS, "key", "tokens"), given.filter("rest > 0"), LEVELS)
     ending = Window.partitionBy(*LEVELS).orderBy("bucket")
     ends = (
-        partial.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
+        partial.groupBy(*LEVELS, bucket.alias("bucket")).agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
         .withColumn("upto", F.sum("n").over(ending))
         .filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
         .select(*LEVELS, F.col("bucket").alias("end"), (F.col("upto") - F.col("n")).alias("before"))
     )
-    placed = _matched(partial, gathered(ends, "ends"), LEVELS)
-    columns += [F.col("whole").cast("int").alias("epoch")]
-    inside = placed.filter("bucket < end").select(*columns, F.col("tokens").alias("take"))
+    limits = gathered(_matched(given, gathered(ends, "ends"), LEVELS, how="left"), "limits")
+    placed = _matched(rows, limits, LEVELS).withColumn("bucket", bucket)
+    columns = ["doc", *LEVELS, "key", "tie", "tokens"]
+    whole = (F.col("whole") - 1 + F.coalesce(F.col("bucket") < F.col("end"), F.lit(False)).cast("int")).cast("int")  # the last whole epoch
+    inside = placed.filter(whole >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), whole)))
+    inside = told(inside).select(*columns, "epoch", F.col("tokens").alias("take"), F.lit(False).alias("cut"))
     by_leaf = Window.partitionBy(*LEVELS).orderBy("order", "key", "tie").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("before") - F.coalesce(F.sum("tokens").over(by_leaf), F.lit(0))
     border = (
-        placed.filter("bucket = end").withColumn("left", left).filter("left > 0")
-        .select(*columns, F.least("left", "tokens").alias("take"))
+        told(placed.filter("bucket = end")).withColumn("order", order).withColumn("left", left).filter("left > 0")
+        .select(*columns, F.col("whole").cast("int").alias("epoch"), F.least("left", "tokens").alias("take"), (F.col("left") < F.col("tokens")).alias("cut"))
     )
-    return whole.unionByName(inside).unionByName(border)
+    return inside.unionByName(border)
 
 
 def prefix(text: Column, tokens: Column) -> Column:
@@ -212,7 +220,7 @@ def prefix(text: Column, tokens: Column) -> Column:
 def mixed_documents(docs: DataFrame, *args, text: str = "text", chars: str = "n_chars", **options) -> DataFrame:
     """Selected documents with the columns of ``docs``; a text of which fewer tokens belong to the mix is cut there."""
     found = mix(docs, *args, text=text, **options)
-    whole = F.col("take") == F.col("tokens")
+    whole = ~F.col("cut")
     body = F.col("doc").getField(text)
     cut = F.when(whole, body).otherwise(prefix(body, F.col("take")))
     new = {text: cut}
