@@ -919,3 +919,41 @@ def test_the_mixture_counts_tokens_once(spark):
             mixed = mixing.mix(docs, share, WEIGHTS, domain_of(), epochs, 17, with_text=with_text)
             rows.append(sorted(map(tuple, mixed.select("key", "tie", "epoch", "tokens", "take", "cut").collect())))
         assert rows[0] == rows[1] and any(r[5] for r in rows[0]) and all(r[5] == (r[4] < r[3]) for r in rows[0])
+
+
+def test_a_crowd_of_holders_of_parts_hides_no_fuzzy_passage(spark, tmp_path):
+    """Two changed copies of a passage; every seed they share is in far more than ``ALL`` documents, before, between and behind them."""
+    dice = random.Random(51)
+    copy = random_words(dice, 80)
+    texts = []
+    for n in range(42):
+        if n in (15, 30):
+            parts = [[f"x{n}{i}" if i % 16 == (4 if n == 15 else 12) else w for i, w in enumerate(copy)]]
+        else:
+            parts = [copy[i : i + 13] for i in range(n % 2 * 7, 68, 14)]
+            dice.shuffle(parts)
+        texts.append(" ".join(w for p in parts for w in random_words(dice, 60) + p) + " " + " ".join(random_words(dice, 20)))
+    frame = stored_texts(spark, texts, str(tmp_path / "d"))
+    found = lambda earlier: sorted(
+        (r["doc_id"], r["other_doc_id"], r["n_words"], r["equal_words"]) for r in passages.repeated_passages(frame, earlier=earlier).collect()
+    )
+    assert found(False) == [(15, 30, 80, 70), (30, 15, 80, 70)] and found(True) == [(30, 15, 80, 70)]
+
+
+def test_pairs_of_seeds_link_all_documents_that_have_both():
+    """No number of documents is too large; equal words between are no chain if it would be too short."""
+    half = np.array([11, 22], np.int64)
+    for distance, linked in ((20, 0), (passages.STRAIGHT, 39)):
+        rows = []
+        for uid in range(40):
+            at = np.array([3 + uid, 3 + uid + distance]) << 34 | half << 2 | 3
+            if distance < passages.STRAIGHT:  # a seed every three words, so all words between are equal
+                inner = np.arange(3, distance, 3)
+                at = np.sort(np.r_[at, 3 + uid + inner << 34 | (1000 + inner) << 2])
+            covered = np.full(len(at), uid != 39)
+            rows.append(passages.pairs_of_seeds(np.full(len(at), uid), at, (covered, np.ones(len(at), bool))))
+        key, uid, place, _ = (np.concatenate(c) for c in zip(*rows, strict=True))
+        ends = np.isin(key, key[(place >> 2 & 63) == distance])
+        links = list(passages.pair_links(key[ends], uid[ends], place[ends]))
+        pairs = {(int(a), int(b)) for u, r, _ in links for a, b in zip(u, r, strict=True)}
+        assert pairs == {(39, n) for n in range(linked)}
